@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,3 +82,16 @@ def broadcast_if_small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFr
 def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` but for the ids in ``dropped`` (a stored table with that one column)."""
     return docs.join(broadcast_if_small(dropped), id_col, "left_anti").select(*docs.columns)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors' Python, unless PYTHONPATH has it already."""
+    root = Path(__file__).resolve().parents[2]
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(spark.sparkContext, "_moraine_shipped", False):
+        return
+    name = Path(tempfile.mkdtemp(prefix="moraine-")) / "moraine.zip"
+    with zipfile.ZipFile(name, "w") as z:
+        for p in sorted((root / "moraine").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    spark.sparkContext.addPyFile(str(name))
+    spark.sparkContext._moraine_shipped = True

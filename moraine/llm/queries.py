@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exactdup, mixing, rules, secretscan
+from .common import ship
+from . import bpe, exactdup, langid, mixing, rules, secretscan, tokenfile
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -18,6 +20,23 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "fail_bits")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    learned = docs.filter(~langid.held_out(F.col("doc_id")))
+    found = langid.predict(docs, langid.train(learned))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_docs(spark, sf_dir), tokenizer_path())
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exactdup.exact_groups(_docs(spark, sf_dir), hash_all=True)
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -42,6 +61,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.token_ranges(_docs(spark, sf_dir), tokenizer_path())
+
+
 def queries() -> dict:
-    found = [op1_quality_rules, op5_exact_dedup, op6_mixing, op8_secret_scan]
+    found = [op1_quality_rules, op2_language_id, op3_bpe_round_trip, op5_exact_dedup, op6_mixing, op8_secret_scan, op10_token_files]
     return {f.__name__: f for f in found}
