@@ -10,11 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, normalised, stored, without
+from .common import broadcast_if_small, normalised, skew_join, stored, without
 
 PREFIX = 64
-#: A group that holds more than this share of all rows is joined by broadcast; there are fewer than 1024.
-HOT_SHARE = 1024
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_all: bool = False) -> DataFrame:
@@ -52,18 +50,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     groups = hashed.filter("open").groupBy("full").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     groups = stored(groups, "exact-groups")
-    hot_rows = max(1, hashed.count() // HOT_SHARE)
-    hot = groups.filter(F.col("n") > hot_rows).select("full", F.col("keep_id").alias("hot_keep"), F.col("n").alias("hot_n"))
-    cold = groups.filter(F.col("n") <= hot_rows).select(F.col("full").alias("key"), "keep_id", "n")
-    # rows of hot groups are matched by broadcast and then, as texts that are alone, are dealt by id
-    own = F.concat(F.lit("id "), F.col("id").cast("string"))
-    members = hashed.join(F.broadcast(hot), "full", "left")
-    members = members.withColumn("key", F.when(F.col("open") & F.col("hot_n").isNull(), F.col("full")).otherwise(own))
-    return members.join(cold, "key", "left").select(
+    keep = F.coalesce("keep_id", "id")
+    return skew_join(hashed, groups, "full", "n", "id").select(
         F.col("id").alias(id_col),
-        F.coalesce("hot_keep", "keep_id", "id").alias("keep_id"),
-        F.coalesce("hot_n", "n", F.lit(1)).cast("long").alias("group_size"),
-        (F.coalesce("hot_keep", "keep_id", "id") == F.col("id")).alias("kept"),
+        F.when(F.col("open"), keep).otherwise(F.col("id")).alias("keep_id"),
+        F.when(F.col("open") & F.col("n").isNotNull(), F.col("n")).otherwise(F.lit(1)).cast("long").alias("group_size"),
+        (~F.col("open") | keep.eqNullSafe(F.col("id"))).alias("kept"),
         F.col("full").alias("text_sha256"),
     )
 

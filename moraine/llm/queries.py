@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ship
-from . import bpe, exactdup, langid, mixing, rules, secretscan, tokenfile
+from . import bpe, exactdup, langid, mixing, neardup, rules, secretscan, tokenfile
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,11 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_docs(spark, sf_dir), tokenizer_path())
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_components(_docs(spark, sf_dir), percent=85)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exactdup.exact_groups(_docs(spark, sf_dir), hash_all=True)
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -66,5 +71,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_quality_rules, op2_language_id, op3_bpe_round_trip, op5_exact_dedup, op6_mixing, op8_secret_scan, op10_token_files]
+    found = [op1_quality_rules, op2_language_id, op3_bpe_round_trip, op4_near_dedup, op5_exact_dedup, op6_mixing, op8_secret_scan, op10_token_files]
     return {f.__name__: f for f in found}
