@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ship
-from . import bpe, exactdup, langid, mixing, neardup, rules, secretscan, tokenfile
+from . import bpe, exactdup, langid, mixing, neardup, rules, secretscan, substrings, tokenfile
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +51,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.repeated_spans(_docs(spark, sf_dir))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     found = secretscan.scan(docs, secretscan.train(docs))
@@ -71,5 +77,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_quality_rules, op2_language_id, op3_bpe_round_trip, op4_near_dedup, op5_exact_dedup, op6_mixing, op8_secret_scan, op10_token_files]
+    found = [op1_quality_rules, op2_language_id, op3_bpe_round_trip, op4_near_dedup, op5_exact_dedup, op6_mixing, op7_repeated_substrings, op8_secret_scan, op10_token_files]
     return {f.__name__: f for f in found}
