@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ship
-from . import bpe, exactdup, langid, mixing, neardup, rules, secretscan, substrings, tokenfile
+from . import bpe, exactdup, langid, mixing, neardup, pii, rules, secretscan, substrings, tokenfile
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,10 +72,16 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key is a fixed one here, so that reruns agree; a user passes one from a secret store."""
+    found = pii.pseudonymise(_docs(spark, sf_dir), key=b"key of the registered query")
+    return found.select("doc_id", "text", F.size("spans").cast("long").alias("n_values"), F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",").alias("spans"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_ranges(_docs(spark, sf_dir), tokenizer_path())
 
 
 def queries() -> dict:
-    found = [op1_quality_rules, op2_language_id, op3_bpe_round_trip, op4_near_dedup, op5_exact_dedup, op6_mixing, op7_repeated_substrings, op8_secret_scan, op10_token_files]
+    found = [op1_quality_rules, op2_language_id, op3_bpe_round_trip, op4_near_dedup, op5_exact_dedup, op6_mixing, op7_repeated_substrings, op8_secret_scan, op9_pseudonyms, op10_token_files]
     return {f.__name__: f for f in found}
