@@ -28,8 +28,10 @@ from .bpe import Encoder, byte_symbols
 from .common import broadcast_if_small, new_path, stored
 
 MAGIC, PER_BLOCK = b"MTK1", 4096
-#: Ids of a segment and of a shard (one task's output), unless one document has more.
-SEGMENT, SHARD = 1 << 19, 1 << 22
+#: Ids of a segment, unless one document has more.
+SEGMENT = 1 << 19
+#: Text that one shard encodes, and shards at most (beyond that they grow, and sort on disk).
+SHARD_BYTES, MAX_SHARDS, TIES = 12 << 20, 5000, 1 << 20
 HEAD = struct.Struct("<4sB3xIIQ")
 
 
@@ -118,36 +120,56 @@ def vocabulary_bits(path: str) -> int:
     return max(1, (Tokenizer.from_file(path).get_vocab_size() - 1).bit_length())
 
 
-def encoded(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
-    """doc_id, n (long), ids (binary, 2 or 4 bytes an id): the library's ids and ``end_id``."""
+def split_points(docs: DataFrame) -> list[int]:
+    """Ids that cut the id order into shards of about SHARD_BYTES of text, MAX_SHARDS at most.
+
+    Approximate quantiles of the ids; an id with many rows is listed more than once.
+    """
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    shards = min(MAX_SHARDS, max(1, -(-size // SHARD_BYTES)))
+    if shards == 1:
+        return []
+    points = F.percentile_approx("doc_id", [k / shards for k in range(1, shards)], 10 * MAX_SHARDS)
+    return sorted(docs.select(F.col("doc_id").cast("long").alias("doc_id")).agg(points.alias("p")).first()["p"] or [])
+
+
+def encoded(docs: DataFrame, path: str, points: list[int], end_id: int = 0) -> DataFrame:
+    """shard, doc_id, tie, n, ids (binary, 2 or 4 bytes an id): the library's ids and ``end_id``.
+
+    Shards follow the order by doc_id and tie (a hash of the text): rows of an id that is several
+    split points are dealt to the shards between them by tie.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library_encoder(path)
+        encoder, cuts = library_encoder(path), np.array(points, np.int64)
         end = encoder.pack([end_id])
         for batch in batches:
             packed = [b"".join(encoder.encode(text)) + end for text in batch.column("text").to_pylist()]
             n = pa.array([len(p) // len(end) for p in packed], pa.int64())
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": n, "ids": pa.array(packed, pa.binary())})
+            ids = batch.column("doc_id").fill_null(-(1 << 63)).to_numpy()
+            low, high = np.searchsorted(cuts, ids, "left"), np.searchsorted(cuts, ids, "right")
+            shard = low + batch.column("tie").to_numpy() * (high - low + 1) // TIES
+            out = {"shard": pa.array(shard, pa.int32()), "doc_id": batch.column("doc_id"), "tie": batch.column("tie"), "n": n, "ids": pa.array(packed, pa.binary())}
+            yield pa.RecordBatch.from_pydict(out)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, ids binary")
+    tie = F.pmod(F.xxhash64("text"), F.lit(TIES))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tie.cast("long").alias("tie"), "text")
+    return rows.mapInArrow(run, "shard int, doc_id long, tie long, n long, ids binary")
 
 
 def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = 0) -> DataFrame:
     """Write the ids of ``docs`` to ``out`` in ascending doc_id order; return the index.
 
     Index: shard, segment, n_ids, before (ids of all segments before it).  Nulls come first; rows
-    that repeat an id follow each other, ordered by length and content.
+    that repeat an id follow each other, ordered by a hash of the text, length and content.
     """
-    rows = stored(encoded(docs, path, end_id), "tokens")
-    total = rows.agg(F.sum("n")).first()[0] or 0
     bits = vocabulary_bits(path)
-    order = ["doc_id", "n", F.xxhash64("ids")]
-    dealt = rows.repartitionByRange(max(1, -(-total // SHARD)), *order).sortWithinPartitions(*order)
+    points = split_points(docs)
+    rows = encoded(docs, path, points, end_id)
+    dealt = rows.repartition(len(points) + 1, "shard").sortWithinPartitions("shard", "doc_id", "tie", "n", F.xxhash64("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        shard, segment = TaskContext.get().partitionId(), 0
+        shard, segment = -1, 0
         keys: list[int | None] = []
         held: list[np.ndarray] = []
         size = 0
@@ -158,10 +180,12 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = 0) -> DataF
             return pa.RecordBatch.from_pydict({k: pa.array(v, t) for (k, v), t in zip(row.items(), kinds)})
 
         for batch in batches:
-            for key, n, ids in zip(batch.column("doc_id").to_pylist(), batch.column("n").to_pylist(), batch.column("ids").to_pylist()):
-                if held and size + n > SEGMENT:
+            for at, key, n, ids in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "n", "ids"))):
+                if held and (size + n > SEGMENT or at != shard):
                     yield flush()
                     keys, held, size, segment = [], [], 0, segment + 1
+                if at != shard:
+                    shard, segment = at, 0
                 keys.append(key)
                 held.append(np.frombuffer(ids, dtype=f"<u{len(ids) // n}").astype("<u4"))
                 size += n
