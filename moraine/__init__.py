@@ -1,0 +1 @@
+"""Glacial-lake observation and outburst hazard scoring on Spark."""
