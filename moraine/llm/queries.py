@@ -85,3 +85,47 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     found = [op1_quality_rules, op2_language_id, op3_bpe_round_trip, op4_near_dedup, op5_exact_dedup, op6_mixing, op7_repeated_substrings, op8_secret_scan, op9_pseudonyms, op10_token_files]
     return {f.__name__: f for f in found}
+
+
+_SPACES = r"[\x20\x09-\x0D]+"
+
+ORACLE = {
+    "op5_exact_dedup": rf"""
+WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '{_SPACES}', ' ', 'g')) AS sha FROM documents),
+g AS (SELECT sha, min(doc_id) AS keep_id, count(*) AS n FROM t GROUP BY 1)
+SELECT doc_id, keep_id, n AS group_size, doc_id = keep_id AS kept, sha AS text_sha256 FROM t JOIN g USING (sha)""",
+    "op1_quality_rules": rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACES}'), lambda x: x <> '') AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+win AS (SELECT doc_id, i, list_slice(w, i, i + 7) AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 7)) AS i FROM t)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM twice, generate_series(0, 7) s(o) GROUP BY 1),
+stut AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, w, unnest(generate_series(2, len(w))) AS i FROM t) WHERE w[i] = w[i - 1] GROUP BY 1),
+m AS (SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(list_aggregate(w, 'string_agg', '')) AS BIGINT) AS wc, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  length(text) - length(regexp_replace(text, '\p{{Lu}}', '', 'g')) AS caps, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words, coalesce(stut.n, 0) AS stutter
+  FROM t LEFT JOIN cov USING (doc_id) LEFT JOIN stut USING (doc_id)),
+b AS (SELECT *, coalesce(wc, 0) AS word_chars, (n_words < 20) AS r0, (100 * n_repeat_words > 30 * n_words) AS r1, (100 * n_symbols > 20 * n_words) AS r2, (100 * caps > 40 * coalesce(wc, 0)) AS r3, (100 * stutter > 30 * n_words) AS r4,
+  (100 * n_dup_lines > 60 * n_lines) AS r5, (coalesce(wc, 0) < 2 * n_words OR coalesce(wc, 0) > 20 * n_words) AS r6 FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, r0 OR r1 AS base_failed, NOT (r0 OR r1 OR r2 OR r3 OR r4 OR r5 OR r6) AS kept,
+  CAST(r0::INT + 2 * r1::INT + 4 * r2::INT + 8 * r3::INT + 16 * r4::INT + 32 * r5::INT + 64 * r6::INT AS BIGINT) AS fail_bits FROM b""",
+    "op6_mixing": rf"""
+WITH t AS (SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACES}'), lambda x: x <> '')) AS BIGINT) AS size,
+  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS place FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS ss, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM t GROUP BY 1),
+w AS (SELECT source, ss, CAST([5, 2, 1][(k - 1) % 3 + 1] AS DOUBLE) AS w, 2.0::DOUBLE * ss AS cap FROM s),
+o AS (SELECT *, cap / w AS r, row_number() OVER (ORDER BY cap / w, source NULLS LAST) AS j FROM w),
+v AS (SELECT *, (1.5::DOUBLE * (SELECT sum(ss) FROM s) - coalesce((SELECT sum(cap) FROM o p WHERE p.j < o.j), 0)) / (SELECT sum(w) FROM o p WHERE p.j >= o.j) AS level FROM o),
+x AS (SELECT arg_min(level, j) AS level FROM v WHERE level <= r),
+g AS (SELECT o.source, ss, least(cap, coalesce(x.level * w, cap)) AS target FROM o LEFT JOIN x ON true),
+p AS (SELECT *, CAST(CASE WHEN ss > 0 THEN floor(target / ss) ELSE 0 END AS BIGINT) AS whole FROM g),
+c AS (SELECT t.source, place, CAST(sum(size) AS DOUBLE) AS words FROM t GROUP BY 1, 2),
+u AS (SELECT c.source, place, words, sum(words) OVER (PARTITION BY c.source ORDER BY place) AS upto, greatest(0, p.target - p.whole * p.ss) AS budget FROM c JOIN p ON p.source IS NOT DISTINCT FROM c.source WHERE ss > 0),
+f AS (SELECT source, min(place) AS first, arg_min(upto, place) AS upto, arg_min(words, place) AS words, any_value(budget) AS budget FROM u WHERE upto > budget GROUP BY 1),
+e AS (SELECT source, CASE WHEN upto - budget < budget - (upto - words) THEN first + 1 ELSE first END AS cut FROM f)
+SELECT t.doc_id, t.size, p.ss AS source_size, p.target AS target, CAST((p.whole + CASE WHEN t.place < coalesce(e.cut, 0) THEN 1 ELSE 0 END) * t.size AS BIGINT) AS taken
+FROM t JOIN p ON p.source IS NOT DISTINCT FROM t.source LEFT JOIN e ON e.source IS NOT DISTINCT FROM t.source""",
+}
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLE)
