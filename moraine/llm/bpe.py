@@ -222,8 +222,8 @@ class Encoder:
         self.spaced: dict[str, bytes] = {}
         self.plain: dict[str, bytes] = {}
         self.borders = re.compile(r"(?<=\S) (?=\S)")
-        #: white space but space and line end, the zero that is used as a sign, and marks after a mark
-        self.rare = re.compile(r"[^\S \n]|\0").search
+        #: white space but space and line end, and marks after a mark
+        self.rare = re.compile(r"[^\S \n]").search
         self.marked = re.compile(r"[^\w\s][.,](?:[ \n]|\Z)|_[.,]").search
         self.special = re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
 
@@ -267,6 +267,8 @@ class Encoder:
 
     def _block(self, text: str) -> bytes:
         out: list[bytes] = []
+        if "\0" in text:  # the sign itself
+            return b"".join(map(self.pack, self.pieces_to_ids(self.split(text))))
         if self._odd(text):
             self._line(self.borders.split(text), out)
             return b"".join(out)
