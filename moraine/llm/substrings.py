@@ -38,8 +38,6 @@ COVER = np.array([0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109])
 BLOCK_BYTES, STEP = 4 << 20, 1 << 20
 #: Names that one range of them holds, about.
 RANGE_NAMES = 1 << 19
-#: Blocks whose bits may be broadcast: BLOCK_BYTES / 8 bytes each at most, so 32 MB.
-MAX_BROADCAST_BLOCKS = 64
 
 _BYTE = np.random.default_rng(20240608).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
@@ -151,7 +149,8 @@ def _answered(blocks: DataFrame, asked: DataFrame) -> DataFrame:
     """``blocks`` with ``answers``: the bits of its ranges in order."""
     replies = asked.groupBy("range").applyInArrow(_answer, "block long, range long, bits binary")
     by_block = stored(replies.groupBy("block").agg(F.transform(F.sort_array(F.collect_list(F.struct("range", "bits"))), lambda x: x["bits"]).alias("answers")), "repeat-answers")
-    return blocks.join(broadcast_if_small(by_block, MAX_BROADCAST_BLOCKS), "block", "left")
+    # the bits grow with the texts, so they are never broadcast: blocks meet them by shuffle
+    return blocks.join(by_block.hint("shuffle_hash"), "block", "left")
 
 
 def _repeated(names: np.ndarray, answers: list[bytes] | None, bits: int) -> np.ndarray:
@@ -235,12 +234,14 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
                 starts = rest[np.append(True, np.diff(rest) > 1)] if len(rest) else rest
                 ends = rest[np.append(np.diff(rest) > 1, True)] + 1 if len(rest) else rest
                 runs = np.stack([starts, ends]).astype(np.int64)
-                yield pa.RecordBatch.from_pydict({"block": pa.array([row["block"]], pa.int64()), "runs": pa.array([runs.tobytes()], pa.binary()), "left": pa.array([len(rest)], pa.int64())})
+                kinds = (pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64())
+                values = (row["block"], row["shas"], row["offsets"], row["data"], runs.tobytes(), len(rest))
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], ["block", "shas", "offsets", "data", "runs", "left"])
 
-    runs = stored(once.mapInArrow(narrowed, "block long, runs binary, left long"), "repeat-runs")
-    left = runs.agg(F.sum("left")).first()[0] or 0
+    # stored with their texts, which so travel twice in all
+    open_ = stored(once.mapInArrow(narrowed, "block long, shas array<binary>, offsets array<long>, data binary, runs binary, left long"), "repeat-open")
+    left = open_.agg(F.sum("left")).first()[0] or 0
     second = bits(left)
-    open_ = blocks.join(broadcast_if_small(runs.select("block", "runs"), MAX_BROADCAST_BLOCKS), "block")
 
     def remaining(row: dict) -> tuple[np.ndarray, np.ndarray, Block]:
         b = Block(row["data"], row["offsets"], length)
