@@ -163,8 +163,12 @@ def _repeated(names: np.ndarray, answers: list[bytes] | None, bits: int) -> np.n
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows of blocks with ``data`` unpacked; ``packed`` is what is stored and moved."""
     for k in range(len(batch)):
-        yield {name: batch.column(name)[k].as_py() for name in batch.schema.names}
+        row = {name: batch.column(name)[k].as_py() for name in batch.schema.names}
+        row["packed"] = row["data"]
+        row["data"] = pa.decompress(row["packed"], decompressed_size=row["offsets"][-1], codec="zstd", asbytes=True)
+        yield row
 
 
 def _pack(texts: DataFrame, length: int) -> DataFrame:
@@ -176,7 +180,7 @@ def _pack(texts: DataFrame, length: int) -> DataFrame:
         block, held, shas, offsets = TaskContext.get().partitionId() << 32, [], [], [0]
 
         def flush() -> pa.RecordBatch:
-            row = [pa.array([block], pa.int64()), pa.array([shas], pa.list_(pa.binary())), pa.array([offsets], pa.list_(pa.int64())), pa.array([b"".join(held)], pa.binary())]
+            row = [pa.array([block], pa.int64()), pa.array([shas], pa.list_(pa.binary())), pa.array([offsets], pa.list_(pa.int64())), pa.array([pa.compress(b"".join(held), codec="zstd", asbytes=True)], pa.binary())]
             return pa.RecordBatch.from_arrays(row, ["block", "shas", "offsets", "data"])
 
         for batch in batches:
@@ -235,7 +239,7 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
                 ends = rest[np.append(np.diff(rest) > 1, True)] + 1 if len(rest) else rest
                 runs = np.stack([starts, ends]).astype(np.int64)
                 kinds = (pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64())
-                values = (row["block"], row["shas"], row["offsets"], row["data"], runs.tobytes(), len(rest))
+                values = (row["block"], row["shas"], row["offsets"], row["packed"], runs.tobytes(), len(rest))
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], ["block", "shas", "offsets", "data", "runs", "left"])
 
     # stored with their texts, which so travel twice in all
