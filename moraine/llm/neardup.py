@@ -9,9 +9,12 @@
    since linked sets have similar sizes.
 3. Pairs are estimated by the union of their sketches, and those that pass are counted exactly on
    the words of both texts.
-4. Of a list, members are first paired with its least one only; components are taken; then those
-   pairs of members follow that these components still separate.  So a list of copies costs as
-   many pairs as it has members, and no link between components is lost.
+4. Of a list, members are first paired with its most ordinary one only, and components are taken.
+   So a list of copies costs as many pairs as it has members.
+5. Members of lists that still hold several components go on with their whole sets: exact prefix
+   lists by bands of size, in which a set that is far from the centre of its group has only values
+   of its own.  They are paired with the most ordinary member, then those pairs follow that the
+   components still separate, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ from .graph import components
 from .shingles import mix, shingle_sets
 
 K = 32
+#: Bands of size between a set and the smallest one that it can be linked with.
+BANDS = 8
 #: Odds that a pair just at the threshold is not found.
 MISS = 1e-6
 
@@ -44,8 +49,9 @@ def needed(percent: int, k: int = K, miss: float = MISS) -> int:
     return k
 
 
-def sketches(docs: DataFrame, size: int = 5, k: int = K) -> DataFrame:
-    """id, n (size of the shingle set), fp (binary fingerprint of it), sketch (array<long>, ascending).
+def sketches(docs: DataFrame, size: int = 5, k: int | None = K) -> DataFrame:
+    """id, n (size of the shingle set), fp (binary fingerprint of it), sketch (array<long>, ascending;
+    the whole set if k is None).
 
     A text of fewer than ``size`` words has its whole sequence as one shingle; a null text or one
     without words has the empty set, n 0.
@@ -67,16 +73,77 @@ def sketches(docs: DataFrame, size: int = 5, k: int = K) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, n long, fp binary, sketch array<long>")
 
 
+def _ordered(sets: DataFrame) -> DataFrame:
+    """(id, n, vs): of each class the values that other classes have too, rarest first, as (c, v)."""
+    values = sets.select("id", "n", F.explode("sketch").alias("v"))
+    counts = stored(values.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "near-counts")
+    return values.join(broadcast_if_small(counts), "v").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("vs"))
+
+
 def _index(reps: DataFrame, percent: int, k: int) -> DataFrame:
-    """(v, id, n): the entries of each class in the lists that more than one class shares."""
+    """(v, id, n, own): the entries of each class in the lists that more than one class shares, and
+    how many retained values the class has for itself."""
     need = F.least(F.lit(needed(percent, k)), F.ceil(F.col("n") * percent / 100))
     mine = F.least(F.col("n"), F.lit(k))
-    values = reps.select("id", "n", F.explode("sketch").alias("v"))
-    counts = stored(values.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "near-counts")
-    shared = values.join(broadcast_if_small(counts), "v").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("vs"))
+    own = mine - F.size("vs")
     # values that no other class has come first in the order and fill places without an entry
-    places = mine - need + 1 - (mine - F.size("vs"))
-    return shared.select("id", "n", F.explode(F.slice("vs", F.lit(1), F.greatest(places, F.lit(0)).cast("int"))).alias("e")).select("e.v", "id", "n")
+    places = mine - need + 1 - own
+    entries = F.explode(F.slice("vs", F.lit(1), F.greatest(places, F.lit(0)).cast("int")))
+    return _ordered(reps).select("id", "n", own.alias("own"), entries.alias("e")).select("e.v", "id", "n", "own")
+
+
+def _whole_lists(docs: DataFrame, ids: DataFrame, percent: int, size: int) -> DataFrame:
+    """(v, s, home, id, n, own, at): prefix lists of the whole sets of the classes ``ids``.
+
+    Linked sets of na <= nb values share ``o`` = ceil(t / (1 + t) * (na + nb)) of them, so their first
+    na - o + 1 and nb - o + 1 values, rarest first, have one in common.  A set is at home in its band
+    of sizes, where partners are no smaller, and a guest in the bands that smaller partners can have.
+    ``at`` is the place of the value in the order.
+    """
+    step = math.log(100 / percent) / BANDS
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(broadcast_if_small(ids), "id", "left_semi").dropDuplicates(["id"])
+    sets = stored(sketches(texts.withColumnRenamed("id", "doc_id"), size, None).select("id", "n", "sketch"), "near-sets")
+    least = F.ceil(F.col("n") * percent / 100)
+    band = lambda n: F.floor(F.log(n) / step + 1e-9).cast("int")
+    guest = F.transform(F.sequence(band(least), band(F.col("n"))), lambda b: F.struct(b.alias("s"), F.lit(False).alias("home"), F.greatest(least, F.floor(F.exp(b * step) * (1 - 1e-8))).alias("m")))
+    home = F.array(F.struct(band(F.col("n")).alias("s"), F.lit(True).alias("home"), F.col("n").alias("m")))
+    roles = _ordered(sets).select("id", "n", "vs", (F.col("n") - F.size("vs")).alias("own"), F.explode(F.concat(home, guest)).alias("r"))
+    share = F.ceil((F.col("n") + F.col("r.m")) * percent / (100 + percent) - 1e-9)
+    places = F.greatest(F.col("n") - share + 1 - F.col("own"), F.lit(0)).cast("int")
+    entries = roles.select("id", "n", "own", "r.s", "r.home", F.posexplode(F.slice("vs", F.lit(1), places)).alias("i", "e"))
+    return entries.select("e.v", "s", "home", "id", "n", "own", (F.col("own") + F.col("i")).alias("at"))
+
+
+def _star(lists: DataFrame) -> DataFrame:
+    """(a, b, na, nb): each member of a list with the one at home there that has least for itself."""
+    heads = lists.groupBy("v", "s").agg(F.min(F.when(F.col("home"), F.struct("own", "id", "n"))).alias("h"), F.count(F.lit(1)).alias("c")).filter("h is not null and c > 1")
+    return lists.join(heads, ["v", "s"]).select(F.col("h.id").alias("a"), F.col("h.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb"))
+
+
+def _placed(lists: DataFrame, found: DataFrame) -> DataFrame:
+    return lists.join(broadcast_if_small(found), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+
+
+def _between(lists: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb): pairs of members of a list that the components separate.
+
+    Members of the largest component of a list are never held against each other.
+    """
+    placed = _placed(lists, found)
+    sizes = placed.groupBy("v", "s", "comp").agg(F.count(F.lit(1)).alias("c"))
+    most = sizes.groupBy("v", "s").agg(F.max_by("comp", F.struct("c", "comp")).alias("most"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
+    open_ = stored(placed.join(most, ["v", "s"]).withColumn("odd", F.col("comp") != F.col("most")), "near-open")
+    homes, guests = open_.filter("home"), open_.filter("not home")
+
+    def held(x: DataFrame, y: DataFrame) -> DataFrame:
+        x, y = x.alias("x"), y.alias("y")
+        order = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id")))
+        left = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+        enough = (100 + percent) * left >= percent * (F.col("x.n") + F.col("y.n"))
+        on = (F.col("x.v") == F.col("y.v")) & (F.col("x.s") == F.col("y.s")) & (F.col("x.comp") != F.col("y.comp"))
+        return x.join(y, on & order & enough).select(F.col("x.id").alias("a"), F.col("x.n").alias("na"), F.col("y.id").alias("b"), F.col("y.n").alias("nb"))
+
+    return held(homes, guests.filter("odd")).unionAll(held(homes.filter("odd"), guests.filter("not odd")))
 
 
 def _estimate(a: Column, b: Column, na: Column, nb: Column, percent: int, k: int) -> Column:
@@ -130,7 +197,7 @@ def near_components(docs: DataFrame, percent: int = 80, size: int = 5, k: int =
     # lists by value and size: linked sizes are in one class of sizes or in neighbouring ones
     step = math.log(100 / percent)
     entries = _index(reps, percent, k).withColumn("s", F.floor(F.log("n") / step + 1e-9).cast("int"))
-    lists = stored(entries.select("v", "id", "n", F.explode(F.array(F.struct(F.col("s"), F.lit(True).alias("home")), F.struct((F.col("s") - 1).alias("s"), F.lit(False).alias("home")))).alias("t")).select("v", "t.s", "t.home", "id", "n"), "near-lists")
+    lists = stored(entries.select("v", "id", "n", "own", F.explode(F.array(F.struct(F.col("s"), F.lit(True).alias("home")), F.struct((F.col("s") - 1).alias("s"), F.lit(False).alias("home")))).alias("t")).select("v", "t.s", "t.home", "id", "n", "own"), "near-lists")
     close = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
     def accepted(pairs: DataFrame) -> DataFrame:
@@ -140,20 +207,20 @@ def near_components(docs: DataFrame, percent: int = 80, size: int = 5, k: int =
         likely = pairs.join(sb, "b").join(sa, "a").filter(_estimate(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb"), percent, k)).select("a", "b")
         return stored(_verify(stored(likely, "near-likely"), docs, percent, size), "near-links")
 
-    heads = lists.groupBy("v", "s").agg(F.min(F.when(F.col("home"), F.struct("id", "n"))).alias("h"), F.count(F.lit(1)).alias("c")).filter("h is not null and c > 1")
-    star = lists.join(heads, ["v", "s"]).select(F.col("h.id").alias("a"), F.col("h.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb"))
-    links = accepted(star)
+    links = accepted(_star(lists))
     found = stored(components(links), "near-components")
 
-    # members that the components still separate, of lists that have more than one component
-    placed = lists.join(broadcast_if_small(found), "id", "left").withColumn("comp", F.coalesce("component", "id"))
+    # members of lists that have more than one component still
+    placed = _placed(lists, found)
     mixed = placed.groupBy("v", "s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("home").alias("any")).filter("lo < hi and any").select("v", "s")
-    open_ = stored(placed.join(mixed, ["v", "s"], "left_semi").select("v", "s", "home", "id", "n", "comp"), "near-open")
-    x, y = open_.filter("home").alias("x"), open_.alias("y")
-    rest = x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.s") == F.col("y.s")) & (F.col("x.comp") != F.col("y.comp")) & (~F.col("y.home") | (F.col("x.id") < F.col("y.id"))) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")))
-    more = accepted(rest.select(F.col("x.id").alias("a"), F.col("x.n").alias("na"), F.col("y.id").alias("b"), F.col("y.n").alias("nb")))
-    if not more.isEmpty():
-        found = stored(components(links.unionAll(more)), "near-components")
+    open_ = stored(placed.join(mixed, ["v", "s"], "left_semi").select("id").distinct(), "near-open-ids")
+    if not open_.isEmpty():
+        whole = stored(_whole_lists(docs, open_, percent, size), "near-whole")
+        links = links.unionAll(accepted(_star(whole)))
+        found = stored(components(links), "near-components")
+        more = accepted(_between(whole, found, percent))
+        if not more.isEmpty():
+            found = stored(components(links.unionAll(more)), "near-components")
 
     named = classes.join(broadcast_if_small(found.withColumnRenamed("id", "rep")), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"), "members")
     joined = skew_join(rows.select("id", "n", "fp"), stored(named, "near-named"), "fp", "members", "id")
