@@ -32,6 +32,8 @@ from .graph import components
 from .shingles import mix, shingle_sets
 
 K = 32
+#: Texts of an Arrow batch that are held as hashes or words at once.
+SLICE = 500
 #: Bands of size between a set and the smallest one that it can be linked with.
 BANDS = 8
 #: Odds that a pair just at the threshold is not found.
@@ -49,6 +51,12 @@ def needed(percent: int, k: int = K, miss: float = MISS) -> int:
     return k
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, SLICE):
+            yield batch.slice(i, SLICE)
+
+
 def sketches(docs: DataFrame, size: int = 5, k: int | None = K) -> DataFrame:
     """id, n (size of the shingle set), fp (binary fingerprint of it), sketch (array<long>, ascending;
     the whole set if k is None).
@@ -59,7 +67,7 @@ def sketches(docs: DataFrame, size: int = 5, k: int | None = K) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salts = np.array([0x5851F42D4C957F2D, 0x14057B7EF767814F], dtype=np.uint64)
-        for batch in batches:
+        for batch in _slices(batches):
             ns, fps, kept = [], [], []
             for s in shingle_sets(batch.column("text"), size):
                 ns.append(len(s))
@@ -167,7 +175,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, mine = None, set()
-        for batch in batches:
+        for batch in _slices(batches):
             ok = []
             for a, x, y in zip(batch.column("a").to_pylist(), batch.column("x").to_pylist(), batch.column("y").to_pylist()):
                 if a != held:
