@@ -33,6 +33,8 @@ PATTERNS = (
     ("card", r"(?<![A-Za-z0-9])[0-9](?:[\x20-]?[0-9]){12,18}(?![A-Za-z0-9])"),
 )
 KINDS = tuple(k for k, _ in PATTERNS)
+#: The longest text that the IBAN pattern takes: 4 characters, 7 times a space and 4, a space and 3.
+REACH = 43
 
 
 class Permutation:
@@ -85,7 +87,7 @@ class Pseudonyms:
     def __init__(self, key: bytes, undo: bool = False):
         self.key, self.undo = key, undo
         self.find = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS)).finditer
-        self.anchors, self.gap = re.compile(r"[0-9@]+").finditer, re.compile(r"[ \n]+").search
+        self.anchors, self.gap = re.compile(r"[0-9@]+").finditer, re.compile(r"[ \n]").search
         self.permutation = lru_cache(maxsize=4096)(lambda tweak, size: Permutation(key, tweak, size))
         self.value = lru_cache(maxsize=100_000)(self._value)
 
@@ -186,32 +188,31 @@ class Pseudonyms:
         return "".join(map(pick, body))
 
     def _regions(self, text: str) -> Iterator[tuple[int, int]]:
-        """Stretches that can hold a value: from the word before a digit or @ to two words after it.
+        """Stretches that can hold a value: from two words before a digit or @ on, up to the end of
+        the word that is REACH characters after the last digit or @ of the stretch.
 
-        Every value has a digit or @ in each word of it but, in an IBAN, one; so a value never
-        crosses the end of a stretch, which merges with the next one while they overlap."""
-        left = right = -1
+        Every value has a digit or @ in its first word.  Of all kinds but IBANs each further word has
+        a digit too, and an e-mail address is one word; an IBAN is no longer than REACH.  So no value
+        crosses the end of a stretch."""
+        left = reach = right = -1
         for m in self.anchors(text):
-            if m.end() <= right:
-                continue
-            if m.start() > right:
-                if right >= 0:
-                    yield left, right
-                left = m.start()
-                for _ in range(2):
-                    left = max(text.rfind(" ", 0, left), text.rfind("\n", max(0, left - 4096), left), -1)
-                    if left < 0:
-                        break
-                left += 1
-            right = m.end()
-            for _ in range(3):
-                found = self.gap(text, right)
-                if not found:
-                    right = len(text)
-                    break
-                right = found.end()
-        if right >= 0:
-            yield left, right
+            if m.start() > reach:
+                if reach >= 0:
+                    found = self.gap(text, reach)
+                    right = found.start() if found else len(text)
+                if m.start() > right:
+                    if right >= 0:
+                        yield left, right
+                    left = m.start()
+                    for _ in range(2):
+                        left = max(text.rfind(" ", 0, left), text.rfind("\n", max(0, left - 4096), left), -1)
+                        if left < 0:
+                            break
+                    left += 1
+            reach = m.end() + REACH
+        if reach >= 0:
+            found = self.gap(text, reach)
+            yield left, found.start() if found else len(text)
 
     def replace(self, text: str | None) -> tuple[str | None, list[tuple[int, str, int]]]:
         """The text with its pseudonyms, and the spans (start, kind, end) of the values in it."""

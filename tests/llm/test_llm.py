@@ -253,6 +253,14 @@ def test_pseudonyms(spark, empty):
     assert pii.pseudonymise(empty, b"k").count() == 0
 
 
+def test_pseudonyms_of_ibans_with_groups_of_letters():
+    names = pii.Pseudonyms(b"k")
+    for iban in ("GB29 NWBK 6016 1331 9268 19", "NL91 ABNA 0417 1643 00", "IE29 AIBK 9311 5212 3456 78"):
+        for text in (iban, f"invoice 12 from {iban}", f"invoice 12 {iban}", f"a@b.co 7\n{iban} 9"):
+            at = text.index(iban)
+            assert (at, "iban", at + len(iban)) in names.replace(text)[1] and iban not in names.replace(text)[0], text
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
