@@ -188,12 +188,12 @@ class Pseudonyms:
         return "".join(map(pick, body))
 
     def _regions(self, text: str) -> Iterator[tuple[int, int]]:
-        """Stretches that can hold a value: from two words before a digit or @ on, up to the end of
+        """Disjoint stretches that can hold a value: from the word of a digit or @ on, up to the end of
         the word that is REACH characters after the last digit or @ of the stretch.
 
         Every value has a digit or @ in its first word.  Of all kinds but IBANs each further word has
         a digit too, and an e-mail address is one word; an IBAN is no longer than REACH.  So no value
-        crosses the end of a stretch."""
+        crosses an end of a stretch, and the values are those of a search of the whole text."""
         left = reach = right = -1
         for m in self.anchors(text):
             if m.start() > reach:
@@ -203,12 +203,9 @@ class Pseudonyms:
                 if m.start() > right:
                     if right >= 0:
                         yield left, right
-                    left = m.start()
-                    for _ in range(2):
-                        left = max(text.rfind(" ", 0, left), text.rfind("\n", max(0, left - 4096), left), -1)
-                        if left < 0:
-                            break
-                    left += 1
+                    # not before the end of the last stretch, where a space is
+                    since = max(0, right)
+                    left = max(text.rfind(" ", since, m.start()), text.rfind("\n", since, m.start())) + 1
             reach = m.end() + REACH
         if reach >= 0:
             found = self.gap(text, reach)

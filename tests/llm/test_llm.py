@@ -261,6 +261,23 @@ def test_pseudonyms_of_ibans_with_groups_of_letters():
             assert (at, "iban", at + len(iban)) in names.replace(text)[1] and iban not in names.replace(text)[0], text
 
 
+def test_pseudonyms_of_neighbouring_values():
+    class Whole(pii.Pseudonyms):
+        def _regions(self, text):
+            yield 0, len(text)
+
+    names, back, whole = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", undo=True), Whole(b"k")
+    rng = random.Random(8)
+    values = ["a@b.co", "jane@c.de", "GB29 NWBK 6016 1331 9268 19", "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "NL91 ABNA 0417 1643 00", "2024-02-29", "3.11.1999", "126.40.69.100", "123-45-6789"]
+    values += ["(415) 555-2671", "+1 (544) 555-8128", "+44 20 7946 0958", "4111 1111 1111 1111", "12", "mails", "from", "NWBK", "x@", "AB12", "é", "long" * 12]
+    cases = ["3 mails a@b.co jane@c.de", "7 from 2 (415) 555-2671 (415) 555-2671", "1 a@b.co +44 20 7946 0958 DE89 3704 0044 0532 0130 00"]
+    cases += ["".join(rng.choice(values) + rng.choice([" ", " ", "\n", ", ", "  ", "\t"]) for _ in range(rng.randrange(1, 12))) for _ in range(3000)]
+    for text in cases:
+        new, spans = names.replace(text)
+        assert all(x[2] <= y[0] for x, y in zip(spans, spans[1:])), text
+        assert (new, spans) == whole.replace(text) and back.replace(new)[0] == text, text
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
