@@ -79,9 +79,12 @@ def broadcast_if_small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFr
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` but for the ids in ``dropped`` (a stored table with that one column)."""
-    return docs.join(broadcast_if_small(dropped), id_col, "left_anti").select(*docs.columns)
+def without(docs: DataFrame, dropped: DataFrame, digest: Column, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` but for the rows with an (id, digest) of ``dropped`` (a stored table with columns id and
+    digest; an id may be null).  ``digest``: of a row of ``docs``; the rows of one id may differ in it."""
+    keyed = docs.withColumn("_digest", digest)
+    gone = broadcast_if_small(dropped).select(F.col("id").alias("_id"), F.col("digest").alias("_gone"))
+    return keyed.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_gone")), "left_anti").select(*docs.columns)
 
 
 def ship(spark: SparkSession) -> None:

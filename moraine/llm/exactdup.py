@@ -61,6 +61,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, whole, whose text no row with a smaller doc_id has."""
-    dropped = stored(exact_groups(docs).filter(~F.col("kept")).select("doc_id").distinct(), "exact-dropped")
-    return without(docs, dropped)
+    """The rows of ``docs``, whole, that ``exact_groups`` keeps: no row with a smaller doc_id has their
+    text, and for rows without an id, no row with one has it."""
+    dropped = exact_groups(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("digest"))
+    return without(docs, stored(dropped.distinct(), "exact-dropped"), F.sha2(normalised(F.col("text")), 256))

@@ -87,36 +87,50 @@ def _cuts(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select("source", F.when(F.col("words").isNull(), F.lit(0)).when(nearer, F.col("first") + 1).otherwise(F.col("first")).cast("long").alias("cut"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, source, size, source_size, target, times, taken.
-
-    size counts words (0 for null or empty text); ``times`` is how often the mix takes the document
-    and taken = times * size.  A document of a source is taken floor(target / source_size) times or
-    once more, so that the source's taken words come as near its target as one document allows.
-    Equal doc_ids share a place and are taken alike.  A source without words has target 0 and its
-    documents are taken 0 times.  Depends on ids, sources and sizes alone: reruns agree.
-    """
-    size = F.size(words_of(F.col("text")))
-    sized = stored(docs.select("doc_id", "source", size.cast("long").alias("size"), place(F.col("doc_id")).alias("place")), "mix-sized")
+def _plan(sized: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
+    """(source, source_size, target, whole, cut), stored; one row a source."""
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = targets(sums, weights, share, most).withColumn("whole", F.floor(ratio).cast("long"))
     plan = stored(plan.withColumn("budget", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))), "mix-plan")
     cuts = stored(_cuts(sized, stored(plan.filter("source_size > 0").select("source", "budget"), "mix-budgets")), "mix-cuts")
     p, c = plan.alias("p"), cuts.alias("c")
-    plan = stored(
+    return stored(
         p.join(c, F.col("p.source").eqNullSafe(F.col("c.source")), "left").select("p.source", "p.source_size", "p.target", "p.whole", F.coalesce("c.cut", F.lit(0)).alias("cut")),
         "mix-cut-plan",
     )
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    size = F.size(words_of(F.col("text")))
+    return stored(docs.select("doc_id", "source", size.cast("long").alias("size"), place(F.col("doc_id")).alias("place")), "mix-sized")
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, source, size, source_size, target, times, taken.
+
+    size counts words (0 for null or empty text); ``times`` is how often the mix takes the document
+    and taken = times * size.  A document of a source is taken floor(target / source_size) times or
+    once more, so that the source's taken words come as near its target as one document allows.
+    Equal doc_ids share a place and are taken alike.  A source without words has target 0 and its
+    documents are taken 0 times.  Depends on ids, sources and sizes alone: reruns agree.
+    """
+    sized = _sized(docs)
+    plan = _plan(sized, weights, share, most)
     d, p = sized.alias("d"), broadcast_if_small(plan).alias("p")
     times = F.col("p.whole") + F.when(F.col("d.place") < F.col("p.cut"), 1).otherwise(0)
     joined = d.join(p, F.col("d.source").eqNullSafe(F.col("p.source")))
     return joined.select("d.doc_id", "d.source", "d.size", "p.source_size", "p.target", times.cast("long").alias("times"), (times * F.col("d.size")).cast("long").alias("taken"))
 
 
-def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it (twice: two equal rows)."""
-    chosen = stored(mix(docs, **options).groupBy("doc_id").agg(F.max("times").alias("times")).filter("times > 0"), "mix-times")
-    joined = docs.join(broadcast_if_small(chosen), "doc_id")
-    repeated = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it (twice: two equal rows).
+
+    The plan of the sources meets the rows themselves, so rows without an id or with the id of
+    another row are taken as ``mix`` counts them.
+    """
+    plan = _plan(_sized(docs), weights, share, most).select(F.col("source").alias("_source"), F.struct("whole", "cut").alias("_plan"))
+    joined = docs.join(broadcast_if_small(plan), F.col("source").eqNullSafe(F.col("_source")))
+    times = (F.col("_plan.whole") + F.when(place(F.col("doc_id")) < F.col("_plan.cut"), 1).otherwise(0)).cast("int")
+    repeated = joined.withColumn("_times", times).filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     return repeated.select(*docs.columns)

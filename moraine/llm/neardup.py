@@ -57,9 +57,22 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(i, SLICE)
 
 
+def text_hash() -> Column:
+    """Tells the texts of rows with one id apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _texts(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text): the text of each class in ``ids``."""
+    named = classes.join(broadcast_if_small(ids), "id", "left_semi").select("id", F.col("rep").alias("_rep"), F.col("h").alias("_h"))
+    named = stored(named, "near-text-ids")
+    rows = docs.select(F.col("doc_id").cast("long").alias("_rep"), text_hash().alias("_h"), "text")
+    return rows.join(broadcast_if_small(named), ["_rep", "_h"]).select("id", "text").dropDuplicates(["id"])
+
+
 def sketches(docs: DataFrame, size: int = 5, k: int | None = K) -> DataFrame:
-    """id, n (size of the shingle set), fp (binary fingerprint of it), sketch (array<long>, ascending;
-    the whole set if k is None).
+    """id, h (hash of the text), n (size of the shingle set), fp (binary fingerprint of it), sketch
+    (array<long>, ascending; the whole set if k is None).
 
     A text of fewer than ``size`` words has its whole sequence as one shingle; a null text or one
     without words has the empty set, n 0.
@@ -75,10 +88,10 @@ def sketches(docs: DataFrame, size: int = 5, k: int | None = K) -> DataFrame:
                 kept.append(s[:k])
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in kept]))).astype(np.int32)
             flat = np.concatenate([*kept, np.zeros(0, np.int64)])
-            out = {"id": batch.column("id"), "n": pa.array(ns, pa.int64()), "fp": pa.array(fps, pa.binary()), "sketch": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))}
+            out = {"id": batch.column("id"), "h": batch.column("h"), "n": pa.array(ns, pa.int64()), "fp": pa.array(fps, pa.binary()), "sketch": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))}
             yield pa.RecordBatch.from_pydict(out)
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, n long, fp binary, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("id"), text_hash().alias("h"), "text").mapInArrow(run, "id long, h long, n long, fp binary, sketch array<long>")
 
 
 def _ordered(sets: DataFrame) -> DataFrame:
@@ -100,7 +113,7 @@ def _index(reps: DataFrame, percent: int, k: int) -> DataFrame:
     return _ordered(reps).select("id", "n", own.alias("own"), entries.alias("e")).select("e.v", "id", "n", "own")
 
 
-def _whole_lists(docs: DataFrame, ids: DataFrame, percent: int, size: int) -> DataFrame:
+def _whole_lists(docs: DataFrame, classes: DataFrame, ids: DataFrame, percent: int, size: int) -> DataFrame:
     """(v, s, home, id, n, own, at): prefix lists of the whole sets of the classes ``ids``.
 
     Linked sets of na <= nb values share ``o`` = ceil(t / (1 + t) * (na + nb)) of them, so their first
@@ -109,7 +122,7 @@ def _whole_lists(docs: DataFrame, ids: DataFrame, percent: int, size: int) -> Da
     ``at`` is the place of the value in the order.
     """
     step = math.log(100 / percent) / BANDS
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(broadcast_if_small(ids), "id", "left_semi").dropDuplicates(["id"])
+    texts = _texts(docs, classes, ids)
     sets = stored(sketches(texts.withColumnRenamed("id", "doc_id"), size, None).select("id", "n", "sketch"), "near-sets")
     least = F.ceil(F.col("n") * percent / 100)
     band = lambda n: F.floor(F.log(n) / step + 1e-9).cast("int")
@@ -170,7 +183,7 @@ def _word_sets(text: str | None, size: int) -> set[bytes]:
     return {b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)}
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
+def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, size: int) -> DataFrame:
     """Those of (a, b) whose full sets of shingles, as words, are close enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,21 +199,34 @@ def _verify(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> DataF
             yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(ok, pa.bool_()))
 
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-ids")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(broadcast_if_small(ids), "id", "left_semi").dropDuplicates(["id"])
+    texts = _texts(docs, classes, ids)
     x, y = texts.select(F.col("id").alias("a"), F.col("text").alias("x")), texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
     return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def near_components(docs: DataFrame, percent: int = 80, size: int = 5, k: int = K) -> DataFrame:
-    """id, n_shingles, component_id, kept for each row of ``docs``.
-
-    Texts are linked when 100 * |intersection| >= percent * |union| of their shingle sets;
-    component_id is the least id that links reach, kept the row with that id.  Empty sets are
-    linked with nothing.  An id stands for one text: rows that repeat an id share its component.
-    """
+def _classes(rows: DataFrame) -> DataFrame:
+    """(id, fp, rep, h, members): each fingerprint, the least doc_id that has it and the hash of its text
+    there.  ``id`` is that doc_id too, but for texts that share it: these have ids of their own."""
+    found = rows.filter("n > 0 and id is not null").groupBy("fp").agg(F.min(F.struct("id", "h")).alias("rep"), F.count(F.lit(1)).alias("members"))
+    found = stored(found.select("fp", F.col("rep.id").alias("rep"), F.col("rep.h").alias("h"), "members"), "near-classes")
+    shared = stored(found.groupBy("rep").agg(F.min("fp").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("rep", "first"), "near-shared")
+    named = found.withColumn("id", F.col("rep"))
+    if shared.isEmpty():
+        return named
+    top = rows.agg(F.max("id")).first()[0]
+    own = F.col("first").isNotNull() & (F.col("fp") != F.col("first"))
+    split = found.join(broadcast_if_small(shared), "rep", "left").select("fp", "rep", "h", "members", own.alias("own"))
+    extra = split.filter("own").withColumn("id", F.lit(top) + 1 + F.monotonically_increasing_id()).drop("own")
+    return stored(split.filter("not own").drop("own").withColumn("id", F.col("rep")).unionByName(extra), "near-split-classes")
+
+
+def _rows(docs: DataFrame, percent: int, size: int, k: int) -> DataFrame:
+    """``near_components`` and h, the hash of the row's text."""
     rows = stored(sketches(docs, size, k), "near-sketches")
-    classes = stored(rows.filter("n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("members")), "near-classes")
-    reps = stored(rows.join(classes.select(F.col("rep").alias("id"), "fp"), ["id", "fp"], "left_semi").dropDuplicates(["id"]).select("id", "n", "sketch"), "near-reps")
+    classes = _classes(rows)
+    firsts = classes.select(F.col("rep").alias("_rep"), F.col("fp").alias("_fp"), F.col("id").alias("_class"))
+    reps = rows.join(firsts, (F.col("id") == F.col("_rep")) & (F.col("fp") == F.col("_fp"))).select(F.col("_class").alias("id"), "n", "sketch")
+    reps = stored(reps.dropDuplicates(["id"]), "near-reps")
 
     # lists by value and size: linked sizes are in one class of sizes or in neighbouring ones
     step = math.log(100 / percent)
@@ -213,7 +239,7 @@ def near_components(docs: DataFrame, percent: int = 80, size: int = 5, k: int =
         pairs = pairs.filter(close & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         sa, sb = (reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
         likely = pairs.join(sb, "b").join(sa, "a").filter(_estimate(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb"), percent, k)).select("a", "b")
-        return stored(_verify(stored(likely, "near-likely"), docs, percent, size), "near-links")
+        return stored(_verify(stored(likely, "near-likely"), docs, classes, percent, size), "near-links")
 
     links = accepted(_star(lists))
     found = stored(components(links), "near-components")
@@ -223,20 +249,36 @@ def near_components(docs: DataFrame, percent: int = 80, size: int = 5, k: int =
     mixed = placed.groupBy("v", "s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("home").alias("any")).filter("lo < hi and any").select("v", "s")
     open_ = stored(placed.join(mixed, ["v", "s"], "left_semi").select("id").distinct(), "near-open-ids")
     if not open_.isEmpty():
-        whole = stored(_whole_lists(docs, open_, percent, size), "near-whole")
+        whole = stored(_whole_lists(docs, classes, open_, percent, size), "near-whole")
         links = links.unionAll(accepted(_star(whole)))
         found = stored(components(links), "near-components")
         more = accepted(_between(whole, found, percent))
         if not more.isEmpty():
             found = stored(components(links.unionAll(more)), "near-components")
 
-    named = classes.join(broadcast_if_small(found.withColumnRenamed("id", "rep")), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"), "members")
-    joined = skew_join(rows.select("id", "n", "fp"), stored(named, "near-named"), "fp", "members", "id")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
-    return joined.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
+    named = classes.join(broadcast_if_small(found), "id", "left").select("id", "rep", "fp", F.coalesce("component", "id").alias("component"), "members")
+    if not classes.filter("id <> rep").isEmpty():
+        # a component by the least doc_id in it
+        named = stored(named.withColumn("component", F.col("component").cast("string")), "near-placed")
+        least = stored(named.groupBy("component").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("classes")), "near-least")
+        named = skew_join(named, least, "component", "classes", "id").withColumn("component", F.col("least"))
+    joined = skew_join(rows.select("id", "h", "n", "fp"), stored(named.select("fp", "component", "members"), "near-named"), "fp", "members", "id")
+    component = F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
+    return joined.select("id", "h", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
+
+
+def near_components(docs: DataFrame, percent: int = 80, size: int = 5, k: int = K) -> DataFrame:
+    """id, n_shingles, component_id, kept for each row of ``docs``.
+
+    Texts are linked when 100 * |intersection| >= percent * |union| of their shingle sets;
+    component_id is the least id that links reach, kept the rows with that id.  Empty sets are
+    linked with nothing.  Rows with one id and different texts are searched each by its own text.
+    A text that only rows without an id have is linked with nothing.
+    """
+    return _rows(docs, percent, size, k).drop("h")
 
 
 def near_dedup(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     """The rows of ``docs``, whole, that are the least of their component; null ids stay."""
-    dropped = near_components(docs, percent, size).filter(~F.col("kept") & F.col("id").isNotNull())
-    return without(docs, stored(dropped.select(F.col("id").alias("doc_id")).distinct(), "near-dropped"))
+    dropped = _rows(docs, percent, size, K).filter(~F.col("kept") & F.col("id").isNotNull())
+    return without(docs, stored(dropped.select("id", F.col("h").alias("digest")).distinct(), "near-dropped"), text_hash())

@@ -132,6 +132,28 @@ def test_mixing(spark, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_rows_without_an_id_and_ids_with_two_texts(spark):
+    rng = random.Random(9)
+    say = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    near = lambda t: t.rsplit(" ", 1)[0] + " end"
+    x, y, z, u, v = (say(200) for _ in range(5))
+    frame_of = lambda rows: spark.createDataFrame([(i, t, "en", s, 0, "x", 1) for i, t, s in rows], SCHEMA)
+    got = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    # the other text of an id, and a text that only a row without an id has, stay
+    exact = frame_of([(1, x, "s"), (1, y, "s"), (0, y, "s"), (None, z, "s"), (None, y, "s"), (None, None, "s")])
+    assert got(exactdup.exact_dedup(exact)) == sorted([(1, x), (0, y), (None, z), (None, None)], key=str)
+    # each text of an id is held against all others: near(u) goes, and of id 2 only near(y)
+    rows = [(1, x, "s"), (1, u, "s"), (0, y, "s"), (2, near(y), "s"), (2, v, "s"), (3, near(u), "s"), (4, near(x), "s"), (None, z, "s")]
+    assert got(neardup.near_dedup(frame_of(rows))) == sorted([(1, x), (1, u), (0, y), (2, v), (None, z)], key=str)
+    found = neardup.near_components(frame_of(rows)).collect()
+    assert sorted((r["id"], r["component_id"]) for r in found if r["id"] is not None) == [(0, 0), (1, 1), (1, 1), (2, 0), (2, 2), (3, 1), (4, 1)]
+    rows = [(rng.choice([None, *range(40)]), say(rng.randrange(1, 30)), rng.choice(["a", "b", None])) for _ in range(200)]
+    df = frame_of(rows)
+    times = [r["times"] for r in mixing.mix(df).collect()]
+    taken = mixing.mix_documents(df)
+    assert taken.count() == sum(times) and taken.filter("doc_id is null").count() == sum(r["times"] for r in mixing.mix(df).collect() if r["doc_id"] is None) > 0
+
+
 def test_substrings(spark, docs, texts, empty):
     data = [(t or "").encode() for t in texts]
     data += [data[i] for i in (0, 3, 8)]
