@@ -107,13 +107,14 @@ HOT_SHARE = 1024
 def skew_join(rows: DataFrame, table: DataFrame, key: str, count: str, id_col: str) -> DataFrame:
     """Left join of ``rows`` with ``table`` (stored; one row a key, ``count`` = its rows in ``rows``).
 
-    Hot keys, fewer than HOT_SHARE, are matched by broadcast, and their rows then dealt by id.
+    Hot keys, fewer than HOT_SHARE, are matched by broadcast, and their rows then dealt by id; so are
+    rows whose key is null, which match nothing.
     """
     hot_rows = max(1, (table.agg(F.sum(count)).first()[0] or 0) // HOT_SHARE)
     rest = [c for c in table.columns if c != key]
     hot = table.filter(F.col(count) > hot_rows).select(F.col(key), F.struct(*rest).alias("_hot"))
     cold = table.filter(F.col(count) <= hot_rows).select(F.col(key).alias("_key"), F.struct(*rest).alias("_cold"))
     own = F.concat(F.lit("id "), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast(table.schema[key].dataType)
-    met = rows.join(F.broadcast(hot), key, "left").withColumn("_key", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(own))
+    met = rows.join(F.broadcast(hot), key, "left").withColumn("_key", F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(own))
     met = met.join(cold, "_key", "left").withColumn("_found", F.coalesce("_hot", "_cold"))
     return met.select(*rows.columns, *(F.col(f"_found.{c}").alias(c) for c in rest))

@@ -262,7 +262,7 @@ def _rows(docs: DataFrame, percent: int, size: int, k: int) -> DataFrame:
         named = stored(named.withColumn("component", F.col("component").cast("string")), "near-placed")
         least = stored(named.groupBy("component").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("classes")), "near-least")
         named = skew_join(named, least, "component", "classes", "id").withColumn("component", F.col("least"))
-    joined = skew_join(rows.select("id", "h", "n", "fp"), stored(named.select("fp", "component", "members"), "near-named"), "fp", "members", "id")
+    joined = skew_join(rows.select("id", "h", "n", F.when(F.col("n") > 0, F.col("fp")).alias("fp")), stored(named.select("fp", "component", "members"), "near-named"), "fp", "members", "id")
     component = F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
     return joined.select("id", "h", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from moraine.llm import bpe, exactdup, graph, langid, mixing, neardup, pii, queries, rules, secretscan, substrings, tokenfile
+from moraine.llm import bpe, common, exactdup, graph, langid, mixing, neardup, pii, queries, rules, secretscan, substrings, tokenfile
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, n int"
 WORDS = [f"w{i}{'aeiou'[i % 5]}" for i in range(400)]
@@ -154,6 +154,21 @@ def test_rows_without_an_id_and_ids_with_two_texts(spark):
     assert taken.count() == sum(times) and taken.filter("doc_id is null").count() == sum(r["times"] for r in mixing.mix(df).collect() if r["doc_id"] is None) > 0
 
 
+def test_rows_without_a_key_are_dealt(spark):
+    rows = spark.range(400).selectExpr("id", "if(id < 390, null, concat('k', id)) AS key")
+    table = spark.createDataFrame([(f"k{i}", 1, i) for i in range(395, 400)], "key string, c long, v long")
+    got = common.skew_join(rows.repartition(4), table, "key", "c", "id")
+    assert {r["id"]: r["v"] for r in got.collect()} == {i: i if i >= 395 else None for i in range(400)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        dealt = common.skew_join(rows.repartition(4), table, "key", "c", "id").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(r["count"] for r in dealt) < 200
+
+
 def test_substrings(spark, docs, texts, empty):
     data = [(t or "").encode() for t in texts]
     data += [data[i] for i in (0, 3, 8)]
