@@ -36,6 +36,8 @@ K = 32
 SLICE = 500
 #: Bands of size between a set and the smallest one that it can be linked with.
 BANDS = 8
+#: Pairs of one text that are compared by one task, about.
+PAIRS = 200
 #: Odds that a pair just at the threshold is not found.
 MISS = 1e-6
 
@@ -183,6 +185,19 @@ def _word_sets(text: str | None, size: int) -> set[bytes]:
     return {b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)}
 
 
+def _with_text(rows: DataFrame, pairs: DataFrame, texts: DataFrame, key: str, other: str, name: str) -> DataFrame:
+    """``rows`` of ``pairs`` (stored), with the text of ``key`` as ``name``.
+
+    A text with more than PAIRS pairs is copied once for about as many, which are dealt by ``other``."""
+    many = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > PAIRS)
+    many = stored(many.select(F.col(key), F.ceil(F.col("c") / PAIRS).cast("int").alias("_copies")), "near-many")
+    salt = F.coalesce(F.pmod(F.xxhash64(other), F.col("_copies")), F.lit(0)).cast("int")
+    dealt = rows.join(broadcast_if_small(many), key, "left").withColumn("_salt", salt).drop("_copies")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1))
+    text = texts.select(F.col("id").alias(key), F.col("text").alias(name)).join(broadcast_if_small(many), key, "left").withColumn("_salt", copies).drop("_copies")
+    return dealt.join(text, [key, "_salt"]).drop("_salt")
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, size: int) -> DataFrame:
     """Those of (a, b) whose full sets of shingles, as words, are close enough."""
 
@@ -200,8 +215,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int,
 
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-ids")
     texts = _texts(docs, classes, ids)
-    x, y = texts.select(F.col("id").alias("a"), F.col("text").alias("x")), texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    both = _with_text(_with_text(pairs, pairs, texts, "b", "a", "y"), pairs, texts, "a", "b", "x")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _classes(rows: DataFrame) -> DataFrame:

@@ -169,6 +169,24 @@ def test_rows_without_a_key_are_dealt(spark):
     assert max(r["count"] for r in dealt) < 200
 
 
+def test_pairs_of_one_text_are_dealt(spark):
+    n = 5 * neardup.PAIRS
+    texts = spark.createDataFrame([(i, f"t{i}") for i in range(n + 1)], "id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        for pairs in (spark.range(1, n + 1).selectExpr("0L AS a", "id AS b"), spark.range(n).selectExpr("id AS a", f"{n}L AS b")):
+            for key, other in ("ab", "ba"):
+                got = neardup._with_text(pairs, pairs, texts, key, other, "x").withColumn("p", F.spark_partition_id()).collect()
+                assert sorted((r["a"], r["b"], r["x"]) for r in got) == sorted((r["a"], r["b"], f"t{r[key]}") for r in pairs.collect())
+                assert max(np.bincount([r["p"] for r in got])) < n / 2
+    finally:
+        for k in ("autoBroadcastJoinThreshold", "adaptive.coalescePartitions.enabled"):
+            spark.conf.unset(f"spark.sql.{k}")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_substrings(spark, docs, texts, empty):
     data = [(t or "").encode() for t in texts]
     data += [data[i] for i in (0, 3, 8)]
