@@ -40,7 +40,7 @@ def boxes_to_cells(boxes: DataFrame, size: float) -> DataFrame:
 
 
 def points_in_boxes(boxes: DataFrame, points: DataFrame, size: float) -> DataFrame:
-    """Range join of (lake_id, box) with points (lon, lat): by grid cell, then exactly."""
+    """Range join of rows with a box with points (lon, lat): by grid cell, then exactly."""
     joined = boxes_to_cells(boxes, size).join(with_cell(points, "lon", "lat", size), ["cx", "cy"])
     return joined.filter(geo.contains(F.col("box"), F.col("lon"), F.col("lat"))).drop("cx", "cy")
 
@@ -48,8 +48,10 @@ def points_in_boxes(boxes: DataFrame, points: DataFrame, size: float) -> DataFra
 def exposure(lakes: DataFrame, population: DataFrame, radius_km: float, size: float) -> DataFrame:
     """lake_id, population: of cells in the buffer box; negative (no data) counts 0, no cells 0."""
     boxes = lakes.select("lake_id", geo.buffer_box(F.col("lon"), F.col("lat"), F.lit(radius_km)).alias("box"))
-    found = points_in_boxes(boxes, population, size).groupBy("lake_id").agg(F.sum(F.greatest(F.col("pop").cast("double"), F.lit(0.0))).alias("p"))
-    return boxes.select("lake_id").join(found, "lake_id", "left").select("lake_id", F.coalesce("p", F.lit(0.0)).alias("population"))
+    # each place and each box once in the range join
+    places = population.groupBy("lon", "lat").agg(F.sum(F.greatest(F.col("pop").cast("double"), F.lit(0.0))).alias("p"))
+    found = points_in_boxes(boxes.select("box").distinct(), places, size).groupBy("box").agg(F.sum("p").alias("p"))
+    return boxes.join(found, "box", "left").select("lake_id", F.coalesce("p", F.lit(0.0)).alias("population"))
 
 
 def upsample(band: DataFrame, factor: int = 2) -> DataFrame:

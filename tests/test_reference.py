@@ -114,6 +114,15 @@ def test_population(spark):
     assert large == {1: 10.0, 2: 0.0} and 0 < small[1] < large[1]
 
 
+def test_population_of_shared_places(spark, monkeypatch):
+    seen, join = [], terrain.points_in_boxes
+    monkeypatch.setattr(terrain, "points_in_boxes", lambda boxes, points, size: seen.append((boxes.count(), points.count())) or join(boxes, points, size))
+    lakes = spark.createDataFrame([(i, 74.6 + i % 2, 36.4) for i in range(20)], "lake_id long, lon double, lat double")
+    pop = spark.createDataFrame([(74.6, 36.4 + i % 3 / 1000, 2.0 - 3 * (i == 0)) for i in range(30)], "lon double, lat double, pop double")
+    assert dict(terrain.exposure(lakes, pop, 5.0, 0.05).collect()) == {i: 0.0 if i % 2 else 58.0 for i in range(20)}
+    assert seen == [(2, 3)]
+
+
 def test_alignment(spark):
     fine = spark.range(223 * 180).selectExpr("1L AS lake_id", "cast(id div 180 AS int) AS row", "cast(id % 180 AS int) AS col")
     coarse = spark.range(111 * 90).selectExpr("1L AS lake_id", "cast(id div 90 AS int) AS row", "cast(id % 90 AS int) AS col", "id AS scl")
