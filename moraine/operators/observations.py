@@ -51,5 +51,5 @@ def lookback(observations: DataFrame, as_of: str, strict: bool = False) -> DataF
 
 def seeded(registry: DataFrame, lakes: DataFrame) -> DataFrame:
     """``registry`` (slug, ordinal) with lake_id, or an error text for a lake that is not there."""
-    joined = registry.join(F.broadcast(lakes.select("slug", "lake_id")), "slug", "left")
+    joined = registry.join(lakes.select("slug", "lake_id"), "slug", "left")
     return joined.withColumn("error", F.when(F.col("lake_id").isNull(), F.lit("lake not seeded in DB")))

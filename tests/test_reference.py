@@ -152,6 +152,18 @@ def test_staleness(spark):
     assert at("2026-07-01 00:00:01") == {1: True, 2: True, 3: True}
 
 
+def test_seeding_broadcasts_by_size_only(spark):
+    registry = spark.range(50).selectExpr("concat('l', id) AS slug", "id AS ordinal")
+    found = ob.seeded(registry, registry.filter("ordinal < 20").selectExpr("slug", "ordinal AS lake_id"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+        got = {r["ordinal"]: (r["lake_id"], r["error"]) for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {i: (i, None) if i < 20 else (None, "lake not seeded in DB") for i in range(50)}
+
+
 def test_backfill_and_append_and_stream(spark, tmp_path):
     df = scenes(spark, ("2026-01-05T00:00", 5.0, 0.1), ("2026-02-05T00:00", 5.0, 0.1), ("2026-02-05T10:00", 5.0, 0.2), ("2026-03-05T00:00", 5.0, 0.9))
     registry = spark.createDataFrame([("a", 0), ("b", 1)], "slug string, ordinal int")
