@@ -31,8 +31,11 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Characters of a text that are split and encoded at once, and of a run without a safe border.
 BLOCK, SLICE = 1 << 16, 1 << 12
 SHORT = (2, 1)
-#: Entries of a worker's memo: about 150 bytes each.
-MEMO = 1_200_000
+#: Bytes of a piece that the transducer takes at once.
+PART = 256
+#: Bytes of an encoder's memo, whatever it has read, with ENTRY for what a dictionary takes for one
+#: stretch; and pairs of tokens known to fit or not (about 130 bytes each).
+MEMO_BYTES, ENTRY, MEMO_PAIRS = 64 << 20, 260, 250_000
 
 
 def byte_symbols() -> list[str]:
@@ -148,7 +151,7 @@ class Transducer:
                 key = before << 32 | token
                 fit = memo.get(key)
                 if fit is None:
-                    if len(memo) > MEMO:
+                    if len(memo) >= MEMO_PAIRS:
                         memo.clear()
                     fit = memo[key] = fits(before, token)
                 if fit:
@@ -190,14 +193,12 @@ class Transducer:
         return tokens
 
 
-def encode_piece(merges: Merges, data: bytes) -> list[int]:
-    token = merges.id_of.get(data)
-    if token is not None:
-        return [token]
-    t = Transducer(merges)
-    t.data += data
-    t._extend()
-    return t.finish()
+def encode_piece(transducer: Transducer, data: bytes) -> list[int]:
+    """Ids of a whole piece: fed part by part, each token taken as soon as it is stable."""
+    tokens: list[int] = []
+    for i in range(0, len(data), PART):
+        tokens += transducer.feed(data[i : i + PART])
+    return tokens + transducer.finish()
 
 
 #: Marks that, between a letter or digit and white space, are a piece of their own.
@@ -210,17 +211,19 @@ class Encoder:
     ``pieces_to_ids`` encodes pieces that PATTERN has split off, many at once.  Text is cut where a
     single space or line end stands between two other characters, and before a full stop or comma
     that follows a letter or digit and precedes white space: PATTERN always splits there.  What a
-    stretch encodes to is kept in a memo of MEMO entries; beyond that the later half goes, since
+    stretch encodes to is kept in a memo of ``memo_bytes``; beyond that the later half goes, since
     what is frequent is met early.
     """
 
-    def __init__(self, pieces_to_ids: Callable[[list[str]], Iterable[list[int]]], specials: dict[str, int], dtype: str, stream: Callable[[str], Iterator[list[int]]]):
+    def __init__(self, pieces_to_ids: Callable[[list[str]], Iterable[list[int]]], specials: dict[str, int], dtype: str, stream: Callable[[str], Iterator[list[int]]], memo_bytes: int = MEMO_BYTES):
         self.pieces_to_ids, self.specials, self.dtype, self.stream = pieces_to_ids, specials, dtype, stream
+        self.memo_bytes = memo_bytes
         self.code = "H" if dtype == "<u2" else "I"
         self.split = regex.compile(PATTERN).findall
         #: by a stretch: of a space and it; of itself, where it follows a border without a space
         self.spaced: dict[str, bytes] = {}
         self.plain: dict[str, bytes] = {}
+        self.held = 0  # bytes of both, about
         self.borders = re.compile(r"(?<=\S) (?=\S)")
         #: white space but space and line end, and marks after a mark
         self.rare = re.compile(r"[^\S \n]").search
@@ -235,14 +238,21 @@ class Encoder:
 
     def _learn(self, words: list[str], memo: dict[str, bytes], lead: str) -> None:
         """Fill ``memo`` for the words that it lacks; after \\0 comes what no space precedes."""
-        if len(memo) > MEMO:
-            for word in list(memo)[len(memo) // 2 :]:
-                del memo[word]
+        if self.held > self.memo_bytes:
+            for some in (self.spaced, self.plain):
+                for word in list(some)[len(some) // 2 :]:
+                    del some[word]
+            self.held = sum(ENTRY + len(w) + len(p) for some in (self.spaced, self.plain) for w, p in some.items())
+            if self.held > self.memo_bytes // 2:  # few, but long
+                self.spaced.clear()
+                self.plain.clear()
+                self.held = 0
         texts = {w: lead + w if w[:1] != "\0" else w[1:] for w in words if w not in memo}
         parts = [[t] if t.isalpha() or t[:1] == " " and t[1:].isalpha() else self.split(t) for t in texts.values()]
         found = map(self.pack, self.pieces_to_ids([p for ps in parts for p in ps]))
         for w, ps in zip(texts, parts):
             memo[w] = next(found) if len(ps) == 1 else b"".join([next(found) for _ in ps])
+            self.held += ENTRY + len(w) + len(memo[w])
 
     def _line(self, words: list[str], out: list[bytes]) -> None:
         """Append what the words of a stretch encode to: a space stands before all but the first."""
@@ -397,7 +407,8 @@ def width(merges: Merges) -> str:
 def transducer_encoder(path: str) -> Encoder:
     m = merges_at(path)
     slices = lambda text: (text[i : i + SLICE] for i in range(0, len(text), SLICE))
-    return Encoder(lambda ps: (encode_piece(m, p.encode("utf-8")) for p in ps), m.specials, width(m), lambda text: encode_stream(m, slices(text)))
+    t = Transducer(m)
+    return Encoder(lambda ps: (encode_piece(t, p.encode("utf-8")) for p in ps), m.specials, width(m), lambda text: encode_stream(m, slices(text)))
 
 
 def round_trip(docs, path: str):

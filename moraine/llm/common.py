@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,11 +23,14 @@ _LOCAL_DIR: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared scratch folder: ``spark.checkpoint.dir``.
 
-    Where the setting is missing (tests on one machine) a temporary folder is made once.
+    Where the setting is missing on one machine (tests) a temporary folder is made once; on a
+    cluster that is an error, since no folder of the driver is seen by the executors.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _LOCAL_DIR:
         _LOCAL_DIR.append("file://" + tempfile.mkdtemp(prefix="moraine-"))
     return _LOCAL_DIR[0]
@@ -35,16 +41,45 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/moraine/{name}-{uuid.uuid4().hex}"
 
 
+#: Removes the shuffle files of a query when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside remove their shuffle files when they end, not when the driver collects garbage."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation, and what follows
-    plans with the true size of the table.
+    plans with the true size of the table.  The shuffles that made it are removed at once; the
+    table stays until ``forget``, since a result that the caller has not read yet may need it.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with cleaned(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove stored tables that nothing will read again: later stored tables hold what they were for."""
+    for df in tables:
+        spark, path = df.sparkSession, getattr(df, "_stored_at", None)
+        if path:
+            jvm = spark._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def let(value: Column, body) -> Column:
@@ -65,11 +100,6 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(normalised(text), " "), "")
 
 
-def partitions_for(df: DataFrame, rows_each: int) -> int:
-    """Shuffle partitions so that one holds about ``rows_each`` rows of a stored table."""
-    return max(1, -(-df.count() // rows_each))
-
-
 #: Rows of (id) or (key) that may be broadcast: a hash relation of these takes under 100 MB.
 MAX_BROADCAST_ROWS = 1_000_000
 
@@ -87,8 +117,20 @@ def without(docs: DataFrame, dropped: DataFrame, digest: Column, id_col: str = "
     return keyed.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_gone")), "left_anti").select(*docs.columns)
 
 
+#: Bytes of an Arrow batch between the JVM and Python: both sides hold a few copies of one for each core.
+ARROW_BYTES = 4 << 20
+_ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Give this package to the executors' Python, unless PYTHONPATH has it already."""
+    """Make the session ready for operators in Python.
+
+    Arrow batches are held to ARROW_BYTES, unless the session has a lower bound already.  This package
+    goes to the executors' Python, unless PYTHONPATH has it.
+    """
+    found = spark.conf.get(_ARROW).strip().lower()
+    if not re.fullmatch(r"[0-9]+b?", found) or int(found.rstrip("b")) > ARROW_BYTES:
+        spark.conf.set(_ARROW, str(ARROW_BYTES))
     root = Path(__file__).resolve().parents[2]
     if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(spark.sparkContext, "_moraine_shipped", False):
         return

@@ -16,22 +16,28 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import Encoder, byte_symbols
-from .common import broadcast_if_small, new_path, stored
+from .common import broadcast_if_small, cleaned, forget, new_path, stored
 
 MAGIC, PER_BLOCK = b"MTK1", 4096
 #: Ids of a segment, unless one document has more.
-SEGMENT = 1 << 19
-#: Text that one shard encodes, and shards at most (beyond that they grow, and sort on disk).
-SHARD_BYTES, MAX_SHARDS, TIES = 12 << 20, 5000, 1 << 20
+SEGMENT = 1 << 18
+#: Text of a shard: the least, and the most, which a table of more than SHARDS of the least has; its
+#: task sorts on disk and holds one segment, so the most costs time alone.
+SHARD_BYTES, MOST_BYTES, SHARDS = 4 << 20, 1 << 30, 4096
+#: Rows of an id are dealt apart by a hash of the text below this.
+TIES = 1 << 20
+#: Bytes of a worker's memo: the library takes 8 microseconds for a word that the memo lacks.
+MEMO_BYTES = 96 << 20
 HEAD = struct.Struct("<4sB3xIIQ")
 
 
@@ -65,12 +71,12 @@ def write_segment(doc_ids: list[int | None], docs: list[np.ndarray], bits: int)
 class Segment:
     """Reads a segment; ``ids(a, b)`` touches only the blocks that hold ids a to b."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes | memoryview):
         magic, self.bits, self.n_docs, self.per_block, self.n_ids = HEAD.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a token segment")
         at = HEAD.size
-        nulls = data[at : at + self.n_docs]
+        nulls = bytes(data[at : at + self.n_docs])
         at += self.n_docs + -self.n_docs % 8
         keys = np.frombuffer(data, "<i8", self.n_docs, at).tolist()
         self.doc_ids = [None if null else k for k, null in zip(keys, nulls)]
@@ -111,7 +117,7 @@ def library_encoder(path: str) -> Encoder:
         for p in pieces:
             yield [x.id for x in model.tokenize(p.encode("utf-8").decode("latin-1").translate(symbols))]
 
-    return Encoder(encode, specials, dtype, lambda text: [t.encode(text, add_special_tokens=False).ids])
+    return Encoder(encode, specials, dtype, lambda text: [t.encode(text, add_special_tokens=False).ids], MEMO_BYTES)
 
 
 def vocabulary_bits(path: str) -> int:
@@ -120,103 +126,118 @@ def vocabulary_bits(path: str) -> int:
     return max(1, (Tokenizer.from_file(path).get_vocab_size() - 1).bit_length())
 
 
-def split_points(docs: DataFrame) -> list[int]:
-    """Ids that cut the id order into shards of about SHARD_BYTES of text, MAX_SHARDS at most.
+def _key() -> tuple[Column, Column]:
+    return F.col("doc_id").cast("long").alias("doc_id"), F.pmod(F.xxhash64("text"), F.lit(TIES)).cast("long").alias("tie")
 
-    Approximate quantiles of the ids; an id with many rows is listed more than once.
-    """
-    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    shards = min(MAX_SHARDS, max(1, -(-size // SHARD_BYTES)))
-    if shards == 1:
-        return []
-    points = F.percentile_approx("doc_id", [k / shards for k in range(1, shards)], 10 * MAX_SHARDS)
-    return sorted(docs.select(F.col("doc_id").cast("long").alias("doc_id")).agg(points.alias("p")).first()["p"] or [])
 
+def shard_borders(docs: DataFrame) -> list[tuple[int | None, int]]:
+    """The first (doc_id, tie) of each shard but the first, in order: shards of about equal bytes.
 
-def encoded(docs: DataFrame, path: str, points: list[int], end_id: int = 0) -> DataFrame:
-    """shard, doc_id, tie, n, ids (binary, 2 or 4 bytes an id): the library's ids and ``end_id``.
-
-    Shards follow the order by doc_id and tie (a hash of the text): rows of an id that is several
-    split points are dealt to the shards between them by tie.
+    Bytes are added up along the order by id: within ranges of ids, each in one task, and over the
+    ranges.  There is one border for MOST_BYTES of text, or SHARDS of them, whichever is more.
     """
+    keys = stored(docs.select(*_key(), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n")), "token-keys")
+    size = keys.agg(F.sum("n")).first()[0] or 0
+    each = max(SHARD_BYTES, min(MOST_BYTES, -(-size // SHARDS)))
+    if size <= each:
+        forget(keys)
+        return []
+    order = (F.col("doc_id").asc_nulls_first(), F.col("tie"))
+    ranged = stored(keys.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "token-ranges")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    bases = ranged.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    within = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("inside", F.coalesce(F.sum("n").over(within), F.lit(0))).join(F.broadcast(bases), "part")
+    shard = F.floor((F.col("base") + F.col("inside")) / each)
+    first = placed.groupBy(shard.alias("shard")).agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "tie")).alias("f"))
+    with cleaned(docs.sparkSession):
+        found = first.filter("shard > 0").orderBy("shard").select("f.doc_id", "f.tie").collect()
+    forget(keys, ranged)
+    return [(r["doc_id"], r["tie"]) for r in found]
+
+
+def _binary(column: pa.Array) -> Iterator[memoryview]:
+    """The values of a binary column, in the memory of the batch."""
+    for x in column:
+        yield memoryview(x.as_buffer())
+
+
+def encoded(docs: DataFrame, path: str, borders: list[tuple[int | None, int]], end_id: int = 0) -> DataFrame:
+    """shard, doc_id, tie, n, ids (binary, 2 or 4 bytes an id): the library's ids and ``end_id``."""
+    known = lambda i, tie: (i is not None, i or 0, tie)
+    cuts = [known(*b) for b in borders]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, cuts = library_encoder(path), np.array(points, np.int64)
+        encoder = library_encoder(path)
         end = encoder.pack([end_id])
         for batch in batches:
-            packed = [b"".join(encoder.encode(text)) + end for text in batch.column("text").to_pylist()]
+            packed = [b"".join(encoder.encode(x.as_py())) + end for x in batch.column("text")]
             n = pa.array([len(p) // len(end) for p in packed], pa.int64())
-            ids = batch.column("doc_id").fill_null(-(1 << 63)).to_numpy()
-            low, high = np.searchsorted(cuts, ids, "left"), np.searchsorted(cuts, ids, "right")
-            shard = low + batch.column("tie").to_numpy() * (high - low + 1) // TIES
+            shard = [bisect_right(cuts, known(i, t)) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("tie").to_pylist())]
             out = {"shard": pa.array(shard, pa.int32()), "doc_id": batch.column("doc_id"), "tie": batch.column("tie"), "n": n, "ids": pa.array(packed, pa.binary())}
             yield pa.RecordBatch.from_pydict(out)
 
-    tie = F.pmod(F.xxhash64("text"), F.lit(TIES))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tie.cast("long").alias("tie"), "text")
-    return rows.mapInArrow(run, "shard int, doc_id long, tie long, n long, ids binary")
+    return docs.select(*_key(), "text").mapInArrow(run, "shard int, doc_id long, tie long, n long, ids binary")
 
 
 def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = 0) -> DataFrame:
-    """Write the ids of ``docs`` to ``out`` in ascending doc_id order; return the index.
+    """Write the ids of ``docs`` to ``out`` in ascending doc_id order; return (shard, base), base being
+    the ids of all shards before it.
 
-    Index: shard, segment, n_ids, before (ids of all segments before it).  Nulls come first; rows
-    that repeat an id follow each other, ordered by a hash of the text, length and content.
+    Each row of ``out`` is a segment: shard, segment, n_docs, n_ids, inside (ids of the shard before
+    it), data.  Nulls come first; rows that repeat an id follow each other, ordered by a hash of the
+    text, length and content.  An empty table gives no segments.
     """
     bits = vocabulary_bits(path)
-    points = split_points(docs)
-    rows = encoded(docs, path, points, end_id)
-    dealt = rows.repartition(len(points) + 1, "shard").sortWithinPartitions("shard", "doc_id", "tie", "n", F.xxhash64("ids"))
+    borders = shard_borders(docs)
+    rows = encoded(docs, path, borders, end_id)
+    dealt = rows.repartitionById(len(borders) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "tie", "n", F.xxhash64("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, segment = -1, 0
+        shard, segment, inside, size = -1, 0, 0, 0
         keys: list[int | None] = []
         held: list[np.ndarray] = []
-        size = 0
 
         def flush() -> pa.RecordBatch:
-            row = {"shard": [shard], "segment": [segment], "n_docs": [len(keys)], "n_ids": [size], "data": [write_segment(keys, held, bits)]}
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            row = {"shard": [shard], "segment": [segment], "n_docs": [len(keys)], "n_ids": [size], "inside": [inside], "data": [write_segment(keys, held, bits)]}
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             return pa.RecordBatch.from_pydict({k: pa.array(v, t) for (k, v), t in zip(row.items(), kinds)})
 
         for batch in batches:
-            for at, key, n, ids in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "n", "ids"))):
+            for at, key, n, ids in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "n")), _binary(batch.column("ids"))):
                 if held and (size + n > SEGMENT or at != shard):
                     yield flush()
-                    keys, held, size, segment = [], [], 0, segment + 1
+                    inside, segment, keys, held, size = inside + size, segment + 1, [], [], 0
                 if at != shard:
-                    shard, segment = at, 0
+                    shard, segment, inside = at, 0, 0
                 keys.append(key)
-                held.append(np.frombuffer(ids, dtype=f"<u{len(ids) // n}").astype("<u4"))
+                held.append(np.frombuffer(bytes(ids), dtype=f"<u{len(ids) // n}"))
                 size += n
         if held:
             yield flush()
 
-    dealt.mapInArrow(run, "shard int, segment int, n_docs long, n_ids long, data binary").write.option("compression", "none").parquet(out)
-    segments = docs.sparkSession.read.parquet(out).select("shard", "segment", "n_ids")
-    shards = segments.groupBy("shard").agg(F.sum("n_ids").alias("n"))
-    # one row a shard of millions of ids goes through one task; segments are added up by shard
+    with cleaned(docs.sparkSession):
+        dealt.mapInArrow(run, "shard int, segment int, n_docs long, n_ids long, inside long, data binary").write.option("compression", "none").parquet(out)
+    shards = docs.sparkSession.read.parquet(out).groupBy("shard").agg(F.sum("n_ids").alias("n"))
+    # one row a shard of millions of ids goes through one task
     earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    bases = shards.select("shard", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    within = Window.partitionBy("shard").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    index = segments.withColumn("inside", F.coalesce(F.sum("n_ids").over(within), F.lit(0))).join(bases, "shard")
-    return stored(index.select("shard", "segment", "n_ids", (F.col("base") + F.col("inside")).alias("before")), "token-index")
+    return stored(shards.select("shard", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base")), "token-bases")
 
 
-def read_tokens(spark, out: str, index: DataFrame) -> DataFrame:
+def read_tokens(spark, out: str, bases: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the files at ``out``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for before, data in zip(batch.column("before").to_pylist(), batch.column("data").to_pylist()):
+            for before, data in zip(batch.column("before").to_pylist(), _binary(batch.column("data"))):
                 s = Segment(data)
-                crc = [zlib.crc32(s.doc(k).astype("<u4").tobytes()) for k in range(s.n_docs)]
+                every, ends = s.ids(0, s.n_ids), s.starts.tolist()
+                crc = [zlib.crc32(every[a:b]) for a, b in zip(ends, ends[1:])]
                 out = {"doc_id": pa.array(s.doc_ids, pa.int64()), "start": pa.array(s.starts[:-1] + before), "n_tokens": pa.array(np.diff(s.starts)), "ids_crc32": pa.array(crc, pa.int64())}
                 yield pa.RecordBatch.from_pydict(out)
 
-    files = spark.read.parquet(out).select("shard", "segment", "data")
-    joined = files.join(broadcast_if_small(index.select("shard", "segment", "before")), ["shard", "segment"])
-    return joined.select("before", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    files = spark.read.parquet(out).join(broadcast_if_small(bases), "shard")
+    return files.select((F.col("base") + F.col("inside")).alias("before"), "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_ranges(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:

@@ -246,6 +246,33 @@ def test_transducer_holds_a_bounded_number_of_bytes(library):
     assert most <= m.lookahead + m.longest + 64
 
 
+def test_ordinary_texts_go_through_the_transducer_in_bounded_memory(library, monkeypatch):
+    """Every piece is fed; what the transducer and the memo hold doesn't grow with the text."""
+    feed, held, fed = bpe.Transducer.feed, [], []
+
+    def watched(self, data):
+        out = feed(self, data)
+        fed.append(len(data))
+        held.append(len(self.data))
+        return out
+
+    monkeypatch.setattr(bpe.Transducer, "feed", watched)
+    bpe.transducer_encoder.cache_clear()
+    encoder, rng, sizes = bpe.transducer_encoder(queries.tokenizer_path()), random.Random(6), []
+    monkeypatch.setattr(encoder, "memo_bytes", 1 << 20)
+    for n in (1000, 4000, 16000):
+        text = " ".join("".join(rng.choice("thersaonig.") for _ in range(rng.randrange(1, 14))) for _ in range(n)) + " " + "ab" * 4000
+        del fed[:]
+        ids = [i for p in encoder.encode(text) for i in np.frombuffer(p, encoder.dtype).tolist()]
+        assert ids == library.encode(text, add_special_tokens=False).ids and sum(fed) > n
+        sizes.append(encoder.held)
+    m = bpe.merges_at(queries.tokenizer_path())
+    assert max(held) <= m.lookahead + m.longest + bpe.PART
+    # the memo is cut before a line of one block is learned
+    assert max(sizes) <= (1 << 20) + bpe.BLOCK * bpe.ENTRY and len(m.memo) <= bpe.MEMO_PAIRS
+    bpe.transducer_encoder.cache_clear()
+
+
 @pytest.mark.parametrize("bits", [1, 7, 8, 13, 16, 17, 31, 32])
 def test_bits(bits):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 9001, dtype=np.uint64).astype("<u4")
@@ -265,6 +292,24 @@ def test_token_files(spark, docs, texts, library, empty):
     assert tokenfile.token_ranges(empty, queries.tokenizer_path()).count() == 0
 
 
+def test_token_files_in_many_shards(spark, library, monkeypatch):
+    """Shards of equal bytes; null ids, one id with many texts and repeated rows across borders."""
+    monkeypatch.setattr(tokenfile, "SHARD_BYTES", 2000)
+    rng = random.Random(12)
+    rows = [(rng.choice([None, 7, 7, *range(60)]), " ".join(rng.choice(WORDS) for _ in range(rng.randrange(80)))) for _ in range(400)]
+    rows += rows[:9]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    size = sum(len(t) for _, t in rows)
+    borders = tokenfile.shard_borders(df)
+    assert len(borders) > 0.7 * size / 2000 and borders == sorted(borders, key=lambda b: (b[0] is not None, b[0] or 0, b[1]))
+    got = sorted(tokenfile.token_ranges(df, queries.tokenizer_path()).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] is not None for r in got] == sorted(r["doc_id"] is not None for r in got)
+    known = [r["doc_id"] for r in got if r["doc_id"] is not None]
+    assert known == sorted(known) and [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got])[:-1]]
+    crc = lambda t: zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes())
+    assert sorted(((r["doc_id"], r["ids_crc32"]) for r in got), key=str) == sorted(((i, crc(t)) for i, t in rows), key=str)
+
+
 def test_language_held_out(spark, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = queries.op2_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
