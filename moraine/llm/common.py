@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import threading
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -56,12 +57,15 @@ def cleaned(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(CLEANUP, before)
 
 
+_scopes = threading.local()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation, and what follows
-    plans with the true size of the table.  The shuffles that made it are removed at once; the
-    table stays until ``forget``, since a result that the caller has not read yet may need it.
+    plans with the true size of the table.  The shuffles that made it are removed at once, the table
+    at the end of the ``scratch`` it was made in, else by ``forget``.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
@@ -69,17 +73,38 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    if getattr(_scopes, "open", None) is not None:
+        _scopes.open.append(out)
     return out
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Stored tables made inside are removed at the end, but for those passed to the function that this
+    gives: what a result that has not been computed yet reads."""
+    outer, mine, kept = getattr(_scopes, "open", None), [], []
+    _scopes.open = mine
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _scopes.open = outer
+        forget(*(t for t in mine if not any(t is k for k in kept)))
+        if outer is not None:
+            outer.extend(kept)
+
+
 def forget(*tables: DataFrame) -> None:
     """Remove stored tables that nothing will read again: later stored tables hold what they were for."""
     for df in tables:
-        spark, path = df.sparkSession, getattr(df, "_stored_at", None)
+        path, df._stored_at = getattr(df, "_stored_at", None), None
         if path:
-            jvm = spark._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def let(value: Column, body) -> Column:
@@ -109,12 +134,21 @@ def broadcast_if_small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFr
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def without(docs: DataFrame, dropped: DataFrame, digest: Column, id_col: str = "doc_id") -> DataFrame:
     """``docs`` but for the rows with an (id, digest) of ``dropped`` (a stored table with columns id and
     digest; an id may be null).  ``digest``: of a row of ``docs``; the rows of one id may differ in it."""
-    keyed = docs.withColumn("_digest", digest)
-    gone = broadcast_if_small(dropped).select(F.col("id").alias("_id"), F.col("digest").alias("_gone"))
-    return keyed.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_gone")), "left_anti").select(*docs.columns)
+    mine, gone_id, gone = (free_name(docs, x) for x in ("_digest", "_gone_id", "_gone"))
+    keyed = docs.withColumn(mine, digest)
+    gone_rows = broadcast_if_small(dropped).select(F.col("id").alias(gone_id), F.col("digest").alias(gone))
+    return keyed.join(gone_rows, F.col(id_col).eqNullSafe(F.col(gone_id)) & (F.col(mine) == F.col(gone)), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 #: Bytes of an Arrow batch between the JVM and Python: both sides hold a few copies of one for each core.

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, skew_join, stored, without
+from .common import broadcast_if_small, scratch, skew_join, stored, without
 from .graph import components
 from .shingles import mix, shingle_sets
 
@@ -235,9 +235,8 @@ def _classes(rows: DataFrame) -> DataFrame:
     return stored(split.filter("not own").drop("own").withColumn("id", F.col("rep")).unionByName(extra), "near-split-classes")
 
 
-def _rows(docs: DataFrame, percent: int, size: int, k: int) -> DataFrame:
-    """``near_components`` and h, the hash of the row's text."""
-    rows = stored(sketches(docs, size, k), "near-sketches")
+def _named(rows: DataFrame, docs: DataFrame, percent: int, size: int, k: int) -> DataFrame:
+    """(fp, component, members), stored: the component of each set."""
     classes = _classes(rows)
     firsts = classes.select(F.col("rep").alias("_rep"), F.col("fp").alias("_fp"), F.col("id").alias("_class"))
     reps = rows.join(firsts, (F.col("id") == F.col("_rep")) & (F.col("fp") == F.col("_fp"))).select(F.col("_class").alias("id"), "n", "sketch")
@@ -277,7 +276,16 @@ def _rows(docs: DataFrame, percent: int, size: int, k: int) -> DataFrame:
         named = stored(named.withColumn("component", F.col("component").cast("string")), "near-placed")
         least = stored(named.groupBy("component").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("classes")), "near-least")
         named = skew_join(named, least, "component", "classes", "id").withColumn("component", F.col("least"))
-    joined = skew_join(rows.select("id", "h", "n", F.when(F.col("n") > 0, F.col("fp")).alias("fp")), stored(named.select("fp", "component", "members"), "near-named"), "fp", "members", "id")
+    return stored(named.select("fp", "component", "members"), "near-named")
+
+
+def _rows(docs: DataFrame, percent: int, size: int, k: int) -> DataFrame:
+    """``near_components`` and h, the hash of the row's text.  Of what is stored on the way only the
+    sketches and the table of classes stay."""
+    with scratch() as keep:
+        rows = keep(stored(sketches(docs, size, k), "near-sketches"))
+        named = keep(_named(rows, docs, percent, size, k))
+    joined = skew_join(rows.select("id", "h", "n", F.when(F.col("n") > 0, F.col("fp")).alias("fp")), named, "fp", "members", "id")
     component = F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
     return joined.select("id", "h", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
 
@@ -295,5 +303,7 @@ def near_components(docs: DataFrame, percent: int = 80, size: int = 5, k: int =
 
 def near_dedup(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     """The rows of ``docs``, whole, that are the least of their component; null ids stay."""
-    dropped = _rows(docs, percent, size, K).filter(~F.col("kept") & F.col("id").isNotNull())
-    return without(docs, stored(dropped.select("id", F.col("h").alias("digest")).distinct(), "near-dropped"), text_hash())
+    with scratch() as keep:
+        dropped = _rows(docs, percent, size, K).filter(~F.col("kept") & F.col("id").isNotNull())
+        dropped = keep(stored(dropped.select("id", F.col("h").alias("digest")).distinct(), "near-dropped"))
+    return without(docs, dropped, text_hash())

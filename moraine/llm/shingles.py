@@ -17,7 +17,7 @@ BLOCK = 1 << 20
 _rng = np.random.default_rng(20240607)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)[_LOWER] | np.uint64(1)
+_BYTE = _rng.integers(0, (1 << 64) - 1, 256, dtype=np.uint64, endpoint=True)[_LOWER]
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _R = 0x9E3779B97F4A7C15
