@@ -13,9 +13,11 @@ first ``length`` bytes with a neighbour, so suffixes that can't are discarded on
 4. Merge and compare.  What remains, sampled or not, is named by its first ``length`` bytes; names
    are sorted again and neighbours compared.
 
-Texts travel once, packed into blocks; later steps exchange sorted names (8 bytes) and bits.
-Identical texts are one class: of a class with two members every byte goes, if there are ``length``.
-Names are 64 bits: of w remaining positions, about w / 2**64 of them are taken for repeated wrongly.
+Texts travel packed into blocks; other steps exchange sorted names and bits.  Identical texts are one
+class: of a class with two members every byte goes, if there are ``length``.
+In step 2 a name has 64 bits, and two strings with one name only leave more positions to step 4.
+There a name has 96, of two independent fingerprints: among w remaining positions two different
+strings are taken for equal with odds of w ** 2 / 2 ** 97, which is 6e-4 for 10 ** 13 of them.
 """
 
 from __future__ import annotations
@@ -24,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, skew_join, stored
+from .common import broadcast_if_small, forget, scratch, skew_join, stored
 from .shingles import mix, powers, text_bytes
 
 #: A perfect difference set; each difference but 0 occurs once modulo V.
@@ -39,17 +41,17 @@ BLOCK_BYTES, STEP = 4 << 20, 1 << 20
 #: Names that one range of them holds, about.
 RANGE_NAMES = 1 << 19
 
-_BYTE = np.random.default_rng(20240608).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+_rng = np.random.default_rng(20240608)
+_BYTE, _BYTE2 = (_rng.integers(0, (1 << 64) - 1, 256, dtype=np.uint64, endpoint=True) for _ in range(2))
 
 
-def fingerprints(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """64-bit names of the ``length`` bytes from each of the ascending positions ``at`` on."""
+def _polynomials(data: np.ndarray, at: np.ndarray, length: int, weights: np.ndarray) -> np.ndarray:
     up, down = powers(STEP + 4096)
     out = np.empty(len(at), np.uint64)
     for a in range(0, len(data), STEP):
         lo, hi = np.searchsorted(at, [a, a + STEP])
         if lo < hi:
-            part = _BYTE[data[a : a + STEP + length]]
+            part = weights[data[a : a + STEP + length]]
             part *= up[: len(part)]
             run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(part, dtype=np.uint64)))
             p = at[lo:hi] - a
@@ -57,6 +59,16 @@ def fingerprints(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
+def fingerprints(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """64-bit names of the ``length`` bytes from each of the ascending positions ``at`` on."""
+    return _polynomials(data, at, length, _BYTE)
+
+
+def checks(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """32 bits more of the same strings, independent of :func:`fingerprints`."""
+    return (_polynomials(data, at, length, _BYTE2) >> np.uint64(32)).astype(np.uint32)
+
+
 class Block:
     """Texts in a row: which positions are sampled, which remain, and what is covered."""
 
@@ -95,10 +107,28 @@ class Block:
         return out
 
 
-def _names(names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted names, whether each occurs again in the block, and the place of each position's name."""
-    distinct, place, count = np.unique(names, return_inverse=True, return_counts=True)
-    return distinct, count > 1, place
+def _in_order(names: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by name and check, and in it whether each but the first equals the one before."""
+    order = np.argsort(names, kind="stable")
+    n, c = names[order], check[order]
+    same, alike = n[1:] == n[:-1], c[1:] == c[:-1]
+    if not alike[same].all():  # names of different strings that are equal
+        order = np.lexsort((check, names))
+        n, c = names[order], check[order]
+        same, alike = n[1:] == n[:-1], c[1:] == c[:-1]
+    return order, same & alike
+
+
+def _names(names: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct names with their checks, whether each occurs again in the block, and the place of
+    each position's name."""
+    order, same = _in_order(names, check)
+    new = np.ones(len(names), bool)
+    new[1:] = ~same
+    first = np.flatnonzero(new)
+    place = np.empty(len(names), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return names[order[first]], check[order[first]], np.diff(np.append(first, len(names))) > 1, place
 
 
 def _ranges(distinct: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,53 +139,62 @@ def _ranges(distinct: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _asked(blocks: DataFrame, name, bits: int) -> DataFrame:
-    """(range, block, names, twice): the sorted names of each block, cut by range."""
+    """(range, block, names, checks, twice): the sorted names of each block, cut by range.  ``name``
+    gives of a block its names and checks (all 0 and not sent if there is one name for all)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
-                distinct, twice, _ = _names(name(row)[1])
+                _, names, check, _ = name(row)
+                distinct, kept, twice, _ = _names(names, _whole(check, names))
                 used, borders = _ranges(distinct, bits)
                 cut = list(zip(borders[:-1].tolist(), borders[1:].tolist()))
                 out = {
                     "range": pa.array(used, pa.int64()),
                     "block": pa.array([row["block"]] * len(used), pa.int64()),
                     "names": pa.array([distinct[a:b].tobytes() for a, b in cut], pa.binary()),
+                    "checks": pa.array([b"" if check is None else kept[a:b].tobytes() for a, b in cut], pa.binary()),
                     "twice": pa.array([np.packbits(twice[a:b]).tobytes() for a, b in cut], pa.binary()),
                 }
                 yield pa.RecordBatch.from_pydict(out)
 
-    return blocks.mapInArrow(run, "range long, block long, names binary, twice binary")
+    # a few ranges of RANGE_NAMES names in a partition, whatever the size of the input
+    asked = blocks.mapInArrow(run, "range long, block long, names binary, checks binary, twice binary")
+    return asked.repartition(max(4, (1 << bits) // 4), "range")
+
+
+def _whole(check: np.ndarray | None, names: np.ndarray) -> np.ndarray:
+    return np.zeros(len(names), np.uint32) if check is None else check
 
 
 def _answer(table: pa.Table) -> pa.Table:
     """Of one range: which names of each block occur twice in it or in another block."""
-    parts = [np.frombuffer(x, np.uint64) for x in table.column("names").to_pylist()]
-    twice = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)).astype(bool) for x, p in zip(table.column("twice").to_pylist(), parts)]
+    parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("names")]
     every = np.concatenate(parts)
-    order = np.argsort(every, kind="stable")
-    ranked = every[order]
-    same = ranked[1:] == ranked[:-1]
-    again = np.zeros(len(every), bool)
+    check = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("checks")])
+    order, same = _in_order(every, check if len(check) else _whole(None, every))
+    again = np.concatenate([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=len(p)) for x, p in zip(table.column("twice"), parts)]).astype(bool)
     again[order[1:][same]] = True
     again[order[:-1][same]] = True
-    again |= np.concatenate(twice)
     ends = np.cumsum([len(p) for p in parts])
     bits = [np.packbits(x).tobytes() for x in np.split(again, ends[:-1])]
     return pa.table({"block": table.column("block"), "range": table.column("range"), "bits": pa.array(bits, pa.binary())})
 
 
-def _answered(blocks: DataFrame, asked: DataFrame) -> DataFrame:
-    """``blocks`` with ``answers``: the bits of its ranges in order."""
+def _answers(asked: DataFrame) -> DataFrame:
+    """(block, answers), stored: the bits of each block's ranges in order."""
     replies = asked.groupBy("range").applyInArrow(_answer, "block long, range long, bits binary")
-    by_block = stored(replies.groupBy("block").agg(F.transform(F.sort_array(F.collect_list(F.struct("range", "bits"))), lambda x: x["bits"]).alias("answers")), "repeat-answers")
-    # the bits grow with the texts, so they are never broadcast: blocks meet them by shuffle
-    return blocks.join(by_block.hint("shuffle_hash"), "block", "left")
+    return stored(replies.groupBy("block").agg(F.transform(F.sort_array(F.collect_list(F.struct("range", "bits"))), lambda x: x["bits"]).alias("answers")), "repeat-answers")
 
 
-def _repeated(names: np.ndarray, answers: list[bytes] | None, bits: int) -> np.ndarray:
+def _answered(blocks: DataFrame, answers: DataFrame) -> DataFrame:
+    """The bits grow with the texts, so they are never broadcast: blocks meet them by shuffle."""
+    return blocks.join(answers.hint("shuffle_hash"), "block", "left")
+
+
+def _repeated(names: np.ndarray, check: np.ndarray | None, answers: list[bytes] | None, bits: int) -> np.ndarray:
     """For each position's name whether the answers say that it occurs again."""
-    distinct, _, place = _names(names)
+    distinct, _, _, place = _names(names, _whole(check, names))
     _, borders = _ranges(distinct, bits)
     sizes = np.diff(borders).tolist()
     found = [np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(answers or [], sizes, strict=True)]
@@ -198,42 +237,57 @@ def _pack(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(run, "block long, shas array<binary>, offsets array<long>, data binary")
 
 
-def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
-    """doc_id, n_bytes, spans (array of start, end in bytes), kept_sha256 for each row of ``docs``.
-
-    ``spans`` are the maximal runs of bytes that lie in a string of ``length`` bytes that also starts
-    elsewhere, in the same text or another; kept_sha256 (hex) is of the other bytes in a row.
-    A null text counts as empty; texts under ``length`` bytes have no spans, rows with equal texts are
-    one run each.  ``length`` is at least V.
-    """
+def _table(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """(id, n, sha) of each row and (sha, m, spans, kept_sha256) of each different text, stored."""
     if length < V:
         raise ValueError(f"length must be at least {V}")
-    text = F.coalesce("text", F.lit(""))
-    rows = stored(docs.select(F.col("doc_id").alias("id"), F.octet_length(text).cast("long").alias("n"), F.unhex(F.sha2(text, 256)).alias("sha")), "repeat-rows")
-    classes = stored(rows.groupBy("sha").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.count(F.lit(1)).alias("m")), "repeat-classes")
-
-    long_ = classes.filter(F.col("n") >= length)
-    copied = broadcast_if_small(stored(classes.filter((F.col("n") >= length) & (F.col("m") > 1)).select("sha", "rep"), "repeat-copied"))
-    # of a class the rows with its least id are searched, of texts without a copy the only row
-    found = docs.select(F.col("doc_id").alias("id"), text.alias("text")).filter(F.octet_length("text") >= length).withColumn("sha", F.unhex(F.sha2("text", 256)))
-    texts = found.join(copied, "sha", "left").filter(F.col("rep").isNull() | F.col("rep").eqNullSafe(F.col("id"))).select("sha", "text")
+    with scratch() as keep:
+        text = F.coalesce("text", F.lit(""))
+        rows = keep(stored(docs.select(F.col("doc_id").alias("id"), F.octet_length(text).cast("long").alias("n"), _sha(text).alias("sha")), "repeat-rows"))
+        classes = stored(rows.groupBy("sha").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.count(F.lit(1)).alias("m")), "repeat-classes")
+
+        long_ = classes.filter(F.col("n") >= length)
+        copied = broadcast_if_small(stored(long_.filter(F.col("m") > 1).select("sha", "rep"), "repeat-copied"))
+        # of a class the rows with its least id are searched, of texts without a copy the only row
+        found = docs.select(F.col("doc_id").alias("id"), text.alias("text")).filter(F.octet_length("text") >= length).withColumn("sha", _sha(F.col("text")))
+        texts = found.join(copied, "sha", "left").filter(F.col("rep").isNull() | F.col("rep").eqNullSafe(F.col("id"))).select("sha", "text")
+        single = _searched(texts, long_.agg(F.sum("n")).first()[0] or 0, length)
+
+        table = classes.join(single, "sha", "left").dropDuplicates(["sha"])
+        whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("end")))
+        none = F.array().cast("array<struct<start:long,end:long>>")
+        copies = (F.col("m") > 1) & (F.col("n") >= length)
+        table = table.select(
+            "sha",
+            "m",
+            F.when(copies, whole).otherwise(F.coalesce("spans", none)).alias("spans"),
+            F.when(copies, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept", F.lower(F.hex("sha")))).alias("kept_sha256"),
+        )
+        return rows, keep(stored(table, "repeat-table"))
+
+
+def _sha(text) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
+def _searched(texts: DataFrame, total: int, length: int) -> DataFrame:
+    """(sha, spans, kept), stored: of (sha, text), ``total`` bytes in all, the repeated spans."""
     blocks = stored(_pack(texts, length), "repeat-blocks")
-    total = long_.agg(F.sum("n")).first()[0] or 0
     bits = lambda names: max(4, int(names // RANGE_NAMES).bit_length())
 
-    def sampled(row: dict) -> tuple[np.ndarray, np.ndarray, Block]:
+    def sampled(row: dict) -> tuple[np.ndarray, np.ndarray, None, Block]:
         b = Block(row["data"], row["offsets"], length)
         at = b.sampled()
-        return at, fingerprints(b.data, at, b.short), b
+        return at, fingerprints(b.data, at, b.short), None, b
 
     first = bits(total * len(COVER) // V)
-    once = _answered(blocks, _asked(blocks, sampled, first))
+    answers = _answers(_asked(blocks, sampled, first))
 
     def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
-                at, names, b = sampled(row)
-                rest = b.remaining(at, _repeated(names, row["answers"], first))
+                at, names, check, b = sampled(row)
+                rest = b.remaining(at, _repeated(names, check, row["answers"], first))
                 # runs of remaining positions: start, length
                 starts = rest[np.append(True, np.diff(rest) > 1)] if len(rest) else rest
                 ends = rest[np.append(np.diff(rest) > 1, True)] + 1 if len(rest) else rest
@@ -242,26 +296,26 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
                 values = (row["block"], row["shas"], row["offsets"], row["packed"], runs.tobytes(), len(rest))
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], ["block", "shas", "offsets", "data", "runs", "left"])
 
-    # stored with their texts, which so travel twice in all
-    open_ = stored(once.mapInArrow(narrowed, "block long, shas array<binary>, offsets array<long>, data binary, runs binary, left long"), "repeat-open")
-    left = open_.agg(F.sum("left")).first()[0] or 0
-    second = bits(left)
+    # the texts are stored again with what remains of them, and the first blocks go
+    open_ = stored(_answered(blocks, answers).mapInArrow(narrowed, "block long, shas array<binary>, offsets array<long>, data binary, runs binary, left long"), "repeat-open")
+    forget(blocks, answers)
+    second = bits(open_.agg(F.sum("left")).first()[0] or 0)
 
-    def remaining(row: dict) -> tuple[np.ndarray, np.ndarray, Block]:
+    def remaining(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, Block]:
         b = Block(row["data"], row["offsets"], length)
         starts, ends = np.frombuffer(row["runs"], np.int64).reshape(2, -1)
         sizes = ends - starts
         at = np.arange(int(sizes.sum())) + np.repeat(starts - np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64), sizes) if len(sizes) else np.zeros(0, np.int64)
-        return at, fingerprints(b.data, at, length), b
+        return at, fingerprints(b.data, at, length), checks(b.data, at, length), b
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         for batch in batches:
             for row in _rows(batch):
-                at, names, b = remaining(row)
+                at, names, check, b = remaining(row)
                 spans, shas = [], []
-                for (starts, ends), a, z in zip(b.spans(at[_repeated(names, row["answers"], second)]), row["offsets"], row["offsets"][1:]):
+                for (starts, ends), a, z in zip(b.spans(at[_repeated(names, check, row["answers"], second)]), row["offsets"], row["offsets"][1:]):
                     spans.append([{"start": s, "end": e} for s, e in zip(starts.tolist(), ends.tolist())])
                     sha, last = hashlib.sha256(), 0
                     for x in spans[-1]:
@@ -272,31 +326,37 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
                 yield pa.RecordBatch.from_pydict({"sha": pa.array(row["shas"], pa.binary()), "spans": pa.array(spans, kind), "kept": pa.array(shas, pa.string())})
 
-    done = _answered(open_, _asked(open_, remaining, second)).mapInArrow(cut, "sha binary, spans array<struct<start:long,end:long>>, kept string")
-    single = stored(done, "repeat-done")
-    table = classes.join(single, "sha", "left").dropDuplicates(["sha"])
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("end")))
-    none = F.array().cast("array<struct<start:long,end:long>>")
-    copies = (F.col("m") > 1) & (F.col("n") >= length)
-    table = table.select(
-        "sha",
-        "m",
-        F.when(copies, whole).otherwise(F.coalesce("spans", none)).alias("spans"),
-        F.when(copies, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept", F.lower(F.hex("sha")))).alias("kept_sha256"),
-    )
-    joined = skew_join(rows, stored(table, "repeat-table"), "sha", "m", "id")
+    answers = _answers(_asked(open_, remaining, second))
+    done = stored(_answered(open_, answers).mapInArrow(cut, "sha binary, spans array<struct<start:long,end:long>>, kept string"), "repeat-done")
+    forget(open_, answers)
+    return done
+
+
+def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
+    """doc_id, n_bytes, spans (array of start, end in bytes), kept_sha256 for each row of ``docs``.
+
+    ``spans`` are the maximal runs of bytes that lie in a string of ``length`` bytes that also starts
+    elsewhere, in the same text or another; kept_sha256 (hex) is of the other bytes in a row.
+    A null text counts as empty; texts under ``length`` bytes have no spans, rows with equal texts are
+    one run each.  An empty table gives no rows.  ``length`` is at least V.
+    """
+    rows, table = _table(docs, length)
+    joined = skew_join(rows, table, "sha", "m", "id")
     return joined.select(F.col("id").alias("doc_id"), F.col("n").alias("n_bytes"), "spans", "kept_sha256")
 
 
 def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
-    """doc_id and the text without its repeated bytes; characters that were cut through are dropped."""
-    spans = repeated_spans(docs, length).select("doc_id", "spans")
+    """doc_id and the text without its repeated bytes, row by row; characters that were cut through are
+    dropped.  A null text is empty."""
+    _, table = _table(docs, length)
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", text.alias("text"), _sha(text).alias("sha"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
             for text, cuts in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-                data, last, kept = (text or "").encode("utf-8"), 0, []
+                data, last, kept = text.encode("utf-8"), 0, []
                 for x in cuts:
                     kept.append(data[last : x["start"]])
                     last = x["end"]
@@ -304,4 +364,4 @@ def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text": pa.array(texts, pa.string())})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").join(spans, "doc_id").mapInArrow(run, f"doc_id {kind}, text string")
+    return skew_join(rows, table, "sha", "m", "doc_id").select("doc_id", "text", "spans").mapInArrow(run, f"doc_id {kind}, text string")
