@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, stored, words_of
+from .common import broadcast_if_small, forget, free_name, scratch, stored, words_of
 
 #: Bits of a place, and those that one histogram resolves: 4096 buckets a source.
 BITS, STEP = 60, 12
@@ -23,28 +23,42 @@ def place(id_col: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
+def _ranked(sizes: DataFrame) -> DataFrame:
+    """(source, source_size, rank), stored: rank from 0 by code point, null last.  Sources are dealt by
+    range; what one task orders is a range of them, or one row for each range."""
+    order = F.col("source").asc_nulls_last()
+    ranges = stored(sizes.repartitionByRange(order).withColumn("part", F.spark_partition_id()), "mix-ranges")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = ranges.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
+    return stored(ranges.withColumn("place", place).join(F.broadcast(bases), "part").select("source", "source_size", (F.col("base") + F.col("place")).alias("rank")), "mix-ranked")
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """From (source, source_size): source, source_size, target.
 
     Sources by code point, null last, get ``weights`` in turn and share ``share`` of all words; a
     target stops at ``most`` times its source's size and the excess is shared again by weight.
-    That ends where each target is the lesser of its cap and one level times its weight; the level
-    is found from running sums over the sources by cap per weight.  One row a source goes through
-    one task here: a catalogue of sources, not documents.
+    That ends where each target is the lesser of its cap and one level times its weight.  The level
+    starts as if no source were at its cap and is found again without those that are, until their
+    number stays: a round is one aggregate over the sources, of which there may be any number.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    rank = (F.row_number().over(order) - 1) % len(weights)
-    weighed = sizes.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), rank + 1))
-    weighed = weighed.withColumn("cap", most * F.col("source_size")).withColumn("r", F.col("cap") / F.col("w"))
-    by_r = Window.orderBy("r", F.col("source").asc_nulls_last())
-    before, after, everyone = by_r.rowsBetween(Window.unboundedPreceding, -1), by_r.rowsBetween(0, Window.unboundedFollowing), Window.partitionBy()
-    total = share * F.sum("source_size").over(everyone)
-    level = (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after)
-    levels = weighed.withColumn("level", level)
-    found = F.min(F.when(F.col("level") <= F.col("r"), F.struct("r", F.col("level").alias("level")))).over(everyone)["level"]
-    return levels.withColumn("found", found).select(
-        "source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("found") * F.col("w"), F.col("cap"))).alias("target")
-    )
+    weighed = _ranked(sizes).withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")))
+    weighed = weighed.withColumn("cap", most * F.col("source_size"))
+    level, full = None, -1
+    while True:
+        at_cap = F.lit(False) if level is None else F.col("cap") <= F.lit(level) * F.col("w")
+        row = weighed.agg(
+            F.sum("source_size").alias("words"),
+            F.count_if(at_cap).alias("full"),
+            F.coalesce(F.sum(F.when(at_cap, F.col("cap"))), F.lit(0.0)).alias("capped"),
+            F.sum(F.when(~at_cap, F.col("w"))).alias("weight"),
+        ).first()
+        if row["full"] == full or row["weight"] is None:
+            break
+        full, level = row["full"], (share * row["words"] - row["capped"]) / row["weight"]
+    target = F.col("cap") if level is None or row["weight"] is None else F.least(F.col("cap"), F.lit(level) * F.col("w"))
+    return weighed.select("source", "source_size", target.alias("target"))
 
 
 def _cuts(sized: DataFrame, budgets: DataFrame) -> DataFrame:
@@ -53,6 +67,7 @@ def _cuts(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     ``budgets``: (source, budget), stored, budget below the source's size.
     """
     # state: the open interval [low, low + 2**left) of each source and the words taken below it
+    step = None
     state = budgets.withColumns({"low": F.lit(0).cast("long"), "below": F.lit(0.0)})
     left = BITS
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
@@ -70,7 +85,9 @@ def _cuts(sized: DataFrame, budgets: DataFrame) -> DataFrame:
         hist = hist.withColumn("upto", F.col("below") + F.sum("words").over(run))
         # the first bucket in which the words pass the budget
         at = F.min(F.when(F.col("upto") > F.col("budget"), F.struct("bucket", "words", "upto", "first", "last")))
-        step = stored(hist.groupBy("source", "budget", "low", "below").agg(at.alias("at")), "mix-step")
+        old, step = step, stored(hist.groupBy("source", "budget", "low", "below").agg(at.alias("at")), "mix-step")
+        if old is not None:
+            forget(old)
         state = step.select(
             "source",
             "budget",
@@ -112,11 +129,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     size counts words (0 for null or empty text); ``times`` is how often the mix takes the document
     and taken = times * size.  A document of a source is taken floor(target / source_size) times or
     once more, so that the source's taken words come as near its target as one document allows.
-    Equal doc_ids share a place and are taken alike.  A source without words has target 0 and its
-    documents are taken 0 times.  Depends on ids, sources and sizes alone: reruns agree.
+    Equal doc_ids share a place and are taken alike, null ones too.  A source without words has
+    target 0 and its documents are taken 0 times.  An empty table gives no rows.  Depends on ids,
+    sources and sizes alone: reruns agree.
     """
-    sized = _sized(docs)
-    plan = _plan(sized, weights, share, most)
+    with scratch() as keep:
+        sized = keep(_sized(docs))
+        plan = keep(_plan(sized, weights, share, most))
     d, p = sized.alias("d"), broadcast_if_small(plan).alias("p")
     times = F.col("p.whole") + F.when(F.col("d.place") < F.col("p.cut"), 1).otherwise(0)
     joined = d.join(p, F.col("d.source").eqNullSafe(F.col("p.source")))
@@ -127,10 +146,14 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share:
     """The rows of ``docs``, each as often as the mix takes it (twice: two equal rows).
 
     The plan of the sources meets the rows themselves, so rows without an id or with the id of
-    another row are taken as ``mix`` counts them.
+    another row are taken as ``mix`` counts them.  Null and empty texts have size 0 and are taken as
+    often as their place says, without weight in the mix.  Other columns may have any name.
     """
-    plan = _plan(_sized(docs), weights, share, most).select(F.col("source").alias("_source"), F.struct("whole", "cut").alias("_plan"))
-    joined = docs.join(broadcast_if_small(plan), F.col("source").eqNullSafe(F.col("_source")))
-    times = (F.col("_plan.whole") + F.when(place(F.col("doc_id")) < F.col("_plan.cut"), 1).otherwise(0)).cast("int")
-    repeated = joined.withColumn("_times", times).filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return repeated.select(*docs.columns)
+    source, held, times, copy = (free_name(docs, x) for x in ("_source", "_plan", "_times", "_copy"))
+    with scratch() as keep:
+        plan = keep(_plan(_sized(docs), weights, share, most))
+    plan = broadcast_if_small(plan).select(F.col("source").alias(source), F.struct("whole", "cut").alias(held))
+    joined = docs.join(plan, F.col("source").eqNullSafe(F.col(source)))
+    found = (F.col(f"{held}.whole") + F.when(place(F.col("doc_id")) < F.col(f"{held}.cut"), 1).otherwise(0)).cast("int")
+    repeated = joined.withColumn(times, found).filter(F.col(times) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
+    return repeated.select(*(F.col(f"`{c}`") for c in docs.columns))
