@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import math
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -35,6 +36,8 @@ PATTERNS = (
 KINDS = tuple(k for k, _ in PATTERNS)
 #: The longest text that the IBAN pattern takes: 4 characters, 7 times a space and 4, a space and 3.
 REACH = 43
+#: Digits or letters that are permuted as one number; longer runs go in chunks of so many.
+CHUNK = 48
 
 
 class Permutation:
@@ -42,14 +45,15 @@ class Permutation:
     walked along its cycle until it is back in range."""
 
     def __init__(self, key: bytes, tweak: str, size: int):
-        self.size, self.left = size, 1
-        while self.left * self.left < size:
-            self.left += 1 if self.left < 1000 else self.left // 1000 + 1
+        self.size = size
+        self.left = math.isqrt(max(size, 1) - 1) + 1
         self.right = -(-size // self.left)
         self.key, self.tweak = hashlib.blake2b(key, digest_size=32).digest(), tweak.encode()
+        #: bytes of a round's value: 64 bits more than a half has, so that all remainders are alike
+        self.width = min(64, self.left.bit_length() // 8 + 9)
 
     def _f(self, k: int, x: int, mod: int) -> int:
-        h = hashlib.blake2b(b"%d:%d:" % (k, x) + self.tweak, key=self.key, digest_size=16)
+        h = hashlib.blake2b(b"%d:%d:" % (k, x) + self.tweak, key=self.key, digest_size=self.width)
         return int.from_bytes(h.digest(), "little") % mod
 
     def _once(self, x: int, undo: bool) -> int:
@@ -89,13 +93,40 @@ class Pseudonyms:
         self.find = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS)).finditer
         self.anchors, self.gap = re.compile(r"[0-9@]+").finditer, re.compile(r"[ \n]").search
         self.permutation = lru_cache(maxsize=4096)(lambda tweak, size: Permutation(key, tweak, size))
-        self.value = lru_cache(maxsize=100_000)(self._value)
+        self.short = lru_cache(maxsize=50_000)(self._value)
+
+    def value(self, kind: str, text: str) -> str | None:
+        return self.short(kind, text) if len(text) <= 80 else self._value(kind, text)
 
     def _digits(self, tweak: str, digits: str, ok: Callable[[str], bool] | None = None) -> str:
         n = len(digits)
         test = (lambda x: ok(f"{x:0{n}d}")) if ok else None
         return f"{self.permutation(f'{tweak}{n}', 10**n)(int(digits), test, self.undo):0{n}d}"
 
+    def _letters(self, tweak: str, letters: str) -> str:
+        x = 0
+        for c in letters:
+            x = x * 26 + ord(c) - 97
+        x = self.permutation(f"{tweak}{len(letters)}", 26 ** len(letters))(x, None, self.undo)
+        out = []
+        for _ in letters:
+            x, c = divmod(x, 26)
+            out.append(chr(97 + c))
+        return "".join(reversed(out))
+
+    def _chunks(self, permute: Callable[[str, str], str], tweak: str, run: str) -> str:
+        """``run`` permuted in chunks of CHUNK: each with a tweak that holds the length and what came
+        before it in the clear, so equal chunks of different values don't look alike.  The time grows
+        with the length."""
+        if len(run) <= CHUNK:
+            return permute(tweak, run) if run else ""
+        out, before = [], hashlib.blake2b(b"%d" % len(run), digest_size=16)
+        for i in range(0, len(run), CHUNK):
+            part = run[i : i + CHUNK]
+            out.append(permute(f"{tweak}{before.hexdigest()}:", part))
+            before.update((out[-1] if self.undo else part).encode())
+        return "".join(out)
+
     @staticmethod
     def _fill(text: str, characters: str) -> str:
         """``text`` with its digits (or letters and digits) replaced in order, separators kept."""
@@ -170,20 +201,11 @@ class Pseudonyms:
         return written(self.permutation(tweak, LAST - FIRST + 1)(day - FIRST, alike, self.undo))
 
     def _fill_body(self, body: str) -> str:
-        """Digits among digits, letters among letters of the same case, each as one number."""
+        """Digits among digits, letters among letters of the same case, each as one number (or one for
+        each CHUNK of them)."""
         digits, letters = re.sub(r"[^0-9]", "", body), re.sub(r"[^A-Za-z]", "", body)
-        new_digits = iter(self._digits("mixed", digits) if digits else "")
-        if letters:
-            x = 0
-            for c in letters.lower():
-                x = x * 26 + ord(c) - 97
-            x = self.permutation(f"letters{len(letters)}", 26 ** len(letters))(x, None, self.undo)
-            out = []
-            for _ in letters:
-                x, c = divmod(x, 26)
-                out.append(chr(97 + c))
-            letters = "".join(reversed(out))
-        new_letters = iter(letters)
+        new_digits = iter(self._chunks(self._digits, "mixed", digits))
+        new_letters = iter(self._chunks(self._letters, "letters", letters.lower()))
         pick = lambda c: next(new_digits) if c.isdigit() else (next(new_letters) if c.islower() else next(new_letters).upper()) if c.isalpha() else c
         return "".join(map(pick, body))
 
@@ -232,7 +254,8 @@ def pseudonymise(docs: DataFrame, key: bytes, undo: bool = False) -> DataFrame:
     Values: e-mail addresses (domain kept), IBANs, dates, IPv4 addresses, US social security and
     telephone numbers, international numbers, card numbers and other numbers of 13 to 19 digits.
     Values that fail their check (a 31st of June, an octet over 255, an IBAN's check digits) are not
-    such values and stay.  Null stays null.  ``undo`` with the same key restores the input.
+    such values and stay.  Null stays null, an empty table gives no rows, repeated rows are alike.
+    The local part of an address may have any length.  ``undo`` with the same key restores the input.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
