@@ -4,6 +4,10 @@ The models are first-order chains over ASCII characters, one of random strings a
 identifiers, fitted to labelled strings: what the patterns find against the other words of a
 bounded sample of documents.  A long token that no pattern took is a secret if its log-likelihood
 ratio says so.  Scanning and training use built-in expressions alone.
+
+Running sums over the hits of a text, which Spark has no function for, are folds over chunks of
+about the square root of their number: the work grows as n ** 1.5 in copied integers, the rest as
+n log n, so that a text full of hits is no trouble.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ SEARCH = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
 KINDS = ("assign", "access", "hex", "markov")
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 ORDINARY = r"[A-Za-z0-9+/_=-]{6,}"
-SPAN = "array<struct<start:int,kind:int,end:int>>"
+SPANS = "array<struct<start:int,kind:int,end:int,part:string>>"
 CHARS = 128
 
 #: Documents whose strings the models are fitted to, at most (in expectation).
@@ -35,8 +39,30 @@ MAX_TRAIN_DOCS = 8192
 MIN_LLR, MIN_LLR_EACH = math.log(1e4), 0.25
 
 
+def _chunk_size(n: Column) -> Column:
+    return F.ceil(F.sqrt(n)).cast("int")
+
+
+def _before(values: Column, op) -> Column:
+    """For each of an array of integers what ``op`` (of which 0 is the identity) makes of those before it."""
+
+    def fold(some: Column) -> Column:
+        step = lambda s, x: F.struct(op(s["at"], x).cast("int").alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+        return F.aggregate(some, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), step)
+
+    def chunked(v: Column) -> Column:
+        size = _chunk_size(F.size(v))
+        numbers = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / size).cast("int"))
+        folded = F.transform(numbers, lambda j: fold(F.slice(v, j * size + 1, size)))
+        bases = lambda ss: fold(F.transform(ss, lambda s: s["at"]))["out"]
+        return let(folded, lambda ss: F.flatten(F.zip_with(ss, bases(ss), lambda s, b: F.transform(s["out"], lambda x: op(b, x).cast("int")))))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, chunked(v)).otherwise(F.array().cast("array<int>")))
+
+
 def _spans(text: Column, kind: int, pattern: str, group: int, least: int) -> Column:
-    """Spans of the matches in order: starts and ends add up over the pieces between matches."""
+    """Spans of the matches in order, with the text of ``group``: lengths add up over the pieces
+    between matches and the matches."""
     find = F.lit(pattern)
 
     def place(pieces: Column) -> Column:
@@ -45,18 +71,12 @@ def _spans(text: Column, kind: int, pattern: str, group: int, least: int) -> Col
             F.regexp_extract_all(text, find, F.lit(0)).alias("hit"),
             F.regexp_extract_all(text, find, F.lit(group)).alias("part"),
         )
+        sized = F.transform(rows, lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("hit"), x["part"].alias("part")))
+        span = lambda x, at: F.struct((at + x["gap"]).alias("start"), F.lit(kind).alias("kind"), (at + x["gap"] + x["hit"]).alias("end"), x["part"].alias("part"))
+        placed = let(sized, lambda xs: F.zip_with(xs, _before(F.transform(xs, lambda x: x["gap"] + x["hit"]), lambda a, b: a + b), span))
+        return F.filter(placed, lambda x: F.length(x["part"]) >= least).cast(SPANS)
 
-        def step(s: Column, x: Column) -> Column:
-            start = s["at"] + F.length(x["0"])
-            end = start + F.length(x["1"])
-            new = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-            return F.struct(end.alias("at"), F.when(F.length(x["2"]) >= least, F.concat(s["out"], new)).otherwise(s["out"]).cast(SPAN).alias("out"))
-
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-        named = F.transform(rows, lambda x: F.struct(x["gap"].alias("0"), x["hit"].alias("1"), x["part"].alias("2")))
-        return F.aggregate(named, start, step, lambda s: s["out"])
-
-    none = F.array().cast(SPAN)
+    none = F.array().cast(SPANS)
     return let(F.split(text, pattern, -1), lambda pieces: F.when(F.size(pieces) > 1, place(pieces)).otherwise(none))
 
 
@@ -66,13 +86,29 @@ def _base(text: Column) -> Column:
     return F.sort_array(F.concat(*parts))
 
 
-def _cut(text: Column, span: Column) -> Column:
-    return F.substring(text, span["start"] + 1, span["end"] - span["start"])
+def _free(tokens: Column, base: Column) -> Column:
+    """Token spans (in order, none overlaps another) that no base span touches.
 
+    A token is touched by as many base spans as start before its end less those that end by its
+    start; both numbers are read from the place of the token among the sorted borders.
+    """
 
-def _free(tokens: Column, base: Column) -> Column:
-    """Token spans that no base span touches."""
-    return F.filter(tokens, lambda t: ~F.exists(base, lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))
+    def ranks(mine: Column, others: Column, first: int) -> Column:
+        """How many of ``others`` come before each of ``mine``; ``first``: 0 if mine go first where equal."""
+        tag = lambda xs, t: F.transform(xs, lambda x: F.struct(x.alias("at"), F.lit(t).alias("t")))
+        order = F.sort_array(F.concat(tag(mine, first), tag(others, 1 - first)))
+        places = F.filter(F.transform(order, lambda x, i: F.struct(x["t"].alias("t"), i.alias("i"))), lambda x: x["t"] == first)
+        return F.transform(places, lambda x, k: x["i"] - k)
+
+    def untouched(t: Column) -> Column:
+        column = lambda xs, name: F.transform(xs, lambda x: x[name])
+        started = ranks(column(t, "end"), column(base, "start"), 0)
+        ended = ranks(column(t, "start"), column(base, "end"), 1)
+        touching = F.zip_with(started, ended, lambda a, b: a - b)
+        kept = F.filter(F.zip_with(t, touching, lambda x, n: F.struct(x.alias("x"), n.alias("n"))), lambda y: y["n"] == 0)
+        return F.transform(kept, lambda y: y["x"])
+
+    return let(tokens, lambda t: F.when((F.size(t) > 0) & (F.size(base) > 0), untouched(t)).otherwise(t))
 
 
 def _ratio(token: Column, table: Column) -> Column:
@@ -89,16 +125,17 @@ def train(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> list[float]:
     """The table of log ratios, CHARS * CHARS entries, whatever the size of ``docs``.
 
     Fitted to a sample of documents by hash of the id, ``max_docs`` in expectation.  Random strings
-    are what the base patterns find there, ordinary ones the other words of 6 characters or more.
+    are what the base patterns find there, ordinary ones the words of 6 characters or more that no
+    such span touches.
     Counts are made by Spark; at most 2 * CHARS**2 of them come to the driver.  Unseen pairs have one
     count spread evenly over the 64 usual characters; without documents the table is all zero.
     """
     share = min(1.0, max_docs / max(1, docs.count()))
     sample = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias("h"))
     sample = sample.filter(F.col("h") < int(math.ceil(share * (1 << 20)))).withColumn("base", _base(F.col("text")))
-    values = F.transform("base", lambda b: F.regexp_extract(_cut(F.col("text"), b), r"[A-Za-z0-9+/_.=-]+$", 0))
-    blank = F.aggregate("base", F.col("text"), lambda t, b: F.overlay(t, F.repeat(F.lit(" "), b["end"] - b["start"]), b["start"] + 1))
-    words = F.regexp_extract_all(blank, F.lit(ORDINARY), F.lit(0))
+    values = F.transform("base", lambda b: b["part"])
+    others = F.transform(_free(_spans(F.col("text"), 0, ORDINARY, 0, 6), F.col("base")), lambda t: t["part"])
+    words = F.when(F.size("base") > 0, others).otherwise(F.regexp_extract_all("text", F.lit(ORDINARY), F.lit(0)))
     labelled = sample.select(F.explode(F.array(F.struct(F.lit(1).alias("y"), values.alias("t")), F.struct(F.lit(0).alias("y"), words.alias("t")))).alias("s"))
     strings = labelled.select("s.y", F.explode("s.t").alias("t")).groupBy("y", "t").agg(F.count(F.lit(1)).alias("n"))
     codes = F.transform(F.split("t", ""), lambda c: F.ascii(c))
@@ -114,20 +151,24 @@ def train(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> list[float]:
     return [round(log(1, p) - log(0, p), 4) for p in range(CHARS * CHARS)]
 
 
-def scan(docs: DataFrame, table: list[float]) -> DataFrame:
-    """doc_id and ``spans``: array of (start, kind, end), kind an index into KINDS, by start and kind.
-
-    Offsets are code points, end exclusive.  A null or empty text has none.  One row a row.
-    """
+def _found(text: Column, table: list[float]) -> Column:
+    """Spans (start, kind, end) of a text that is not null, by start and kind."""
     weights = F.split(F.lit(",".join(map(str, table))), ",").cast("array<double>")
-    text = F.col("text")
-    found = docs.select("doc_id", F.coalesce(text, F.lit("")).alias("text")).withColumn("base", _base(text))
 
     def judged(t: Column) -> Column:
-        return F.filter(t, lambda x: let(_ratio(_cut(text, x), weights), lambda r: (r >= MIN_LLR) & (r >= MIN_LLR_EACH * (x["end"] - x["start"] - 1))))
+        return F.filter(t, lambda x: let(_ratio(x["part"], weights), lambda r: (r >= MIN_LLR) & (r >= MIN_LLR_EACH * (x["end"] - x["start"] - 1))))
+
+    every = let(_base(text), lambda base: F.concat(base, judged(_free(_spans(text, 3, TOKEN, 0, 20), base))))
+    return F.transform(F.sort_array(every), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
+
 
-    more = let(_spans(text, 3, TOKEN, 0, 20), lambda t: judged(_free(t, F.col("base"))))
-    return found.select("doc_id", F.sort_array(F.concat("base", more)).alias("spans"))
+def scan(docs: DataFrame, table: list[float]) -> DataFrame:
+    """doc_id and ``spans``: array of (start, kind, end), kind an index into KINDS, by start and kind.
+
+    Offsets are code points, end exclusive.  A null or empty text has none.  One row a row, repeated
+    rows alike; other columns are not looked at.
+    """
+    return docs.select("doc_id", _found(F.coalesce("text", F.lit("")), table).alias("spans"))
 
 
 def spans_string(spans: Column) -> Column:
@@ -136,9 +177,35 @@ def spans_string(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(name, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+def _masked(text: Column, spans: Column) -> Column:
+    """The text with the characters of its spans as ``*``; spans may overlap, in order of their start."""
+
+    def joined(cuts: Column) -> Column:
+        """Of (at, gap, stars): text that stays from ``at`` on and stars after it.  Characters are
+        counted from the start of a chunk of cuts, not of the text."""
+        size = _chunk_size(F.size(cuts))
+
+        def chunk(c: Column) -> Column:
+            first, last = F.get(c, F.lit(0))["at"], F.element_at(c, -1)
+            piece = lambda t: F.transform(c, lambda x: F.concat(F.substring(t, x["at"] - first + 1, x["gap"]), F.repeat(F.lit("*"), x["stars"])))
+            return let(F.substring(text, first + 1, last["at"] + last["gap"] - first), piece)
+
+        numbers = F.sequence(F.lit(0), F.floor((F.size(cuts) - 1) / size).cast("int"))
+        pieces = F.flatten(F.transform(numbers, lambda j: let(F.slice(cuts, j * size + 1, size), chunk)))
+        end = F.array_max(F.transform(spans, lambda x: x["end"]))
+        return F.concat(F.array_join(pieces, ""), F.substring(text, end + 1, F.length(text)))
+
+    def cut(x: Column, upto: Column) -> Column:
+        gap = F.greatest(x["start"] - upto, F.lit(0))
+        stars = F.greatest(x["end"], upto) - F.greatest(x["start"], upto)
+        return F.struct(upto.alias("at"), gap.alias("gap"), stars.alias("stars"))
+
+    cuts = F.zip_with(spans, _before(F.transform(spans, lambda x: x["end"]), lambda a, b: F.greatest(a, b)), cut)
+    return F.when(F.size(spans) > 0, let(cuts, joined)).otherwise(text)
+
+
 def redact(docs: DataFrame, table: list[float]) -> DataFrame:
-    """doc_id and the text with each span's characters as ``*``; spans that overlap are merged by that."""
-    found = scan(docs, table).withColumnRenamed("spans", "_spans")
-    joined = docs.select("doc_id", "text").join(found, "doc_id")
-    whole = F.aggregate("_spans", F.coalesce("text", F.lit("")), lambda t, x: F.overlay(t, F.repeat(F.lit("*"), x["end"] - x["start"]), x["start"] + 1))
-    return joined.select("doc_id", whole.alias("text"))
+    """doc_id and the text with each span's characters as ``*``, row by row; null stays null."""
+    text = F.col("text")
+    masked = let(_found(text, table), lambda spans: _masked(text, spans))
+    return docs.select("doc_id", F.when(text.isNotNull(), masked).alias("text"))
