@@ -211,8 +211,8 @@ class Encoder:
     ``pieces_to_ids`` encodes pieces that PATTERN has split off, many at once.  Text is cut where a
     single space or line end stands between two other characters, and before a full stop or comma
     that follows a letter or digit and precedes white space: PATTERN always splits there.  What a
-    stretch encodes to is kept in a memo of ``memo_bytes``; beyond that the later half goes, since
-    what is frequent is met early.
+    stretch encodes to is kept in a memo of ``memo_bytes``; beyond that the last quarter goes,
+    since what is frequent is met early.
     """
 
     def __init__(self, pieces_to_ids: Callable[[list[str]], Iterable[list[int]]], specials: dict[str, int], dtype: str, stream: Callable[[str], Iterator[list[int]]], memo_bytes: int = MEMO_BYTES):
@@ -240,10 +240,10 @@ class Encoder:
         """Fill ``memo`` for the words that it lacks; after \\0 comes what no space precedes."""
         if self.held > self.memo_bytes:
             for some in (self.spaced, self.plain):
-                for word in list(some)[len(some) // 2 :]:
+                for word in list(some)[3 * len(some) // 4 :]:
                     del some[word]
             self.held = sum(ENTRY + len(w) + len(p) for some in (self.spaced, self.plain) for w, p in some.items())
-            if self.held > self.memo_bytes // 2:  # few, but long
+            if self.held > 7 * self.memo_bytes // 8:  # few, but long
                 self.spaced.clear()
                 self.plain.clear()
                 self.held = 0
