@@ -35,6 +35,11 @@ def buffer_box(lon: Column, lat: Column, radius_km: Column) -> Column:
     return F.struct((lon - dx).alias("west"), (lat - d).alias("south"), (lon + dx).alias("east"), (lat + d).alias("north"))
 
 
+def cell(x: Column, step: float) -> Column:
+    """Number of the raster cell, ``step`` degrees wide, that a coordinate at its corner belongs to."""
+    return F.round(x / step).cast("int")
+
+
 def intersects(a: Column, b: Column) -> Column:
     return (a["west"] <= b["east"]) & (b["west"] <= a["east"]) & (a["south"] <= b["north"]) & (b["south"] <= a["north"])
 

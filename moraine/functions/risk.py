@@ -55,7 +55,8 @@ def glof_risk(glof: Column) -> Column:
 
 
 def slope_risk(slope_degrees: Column) -> Column:
-    return clamp01(slope_degrees / SLOPE_SATURATION)
+    """Null where there is no slope: such a lake has no score, rather than the greatest or no risk."""
+    return F.when(slope_degrees.isNotNull(), clamp01(slope_degrees / SLOPE_SATURATION))
 
 
 def compensated_sum(terms: list[Column]) -> Column:
@@ -70,6 +71,7 @@ def compensated_sum(terms: list[Column]) -> Column:
 
 
 def score(risks: dict[str, Column]) -> Column:
+    """Null if a risk is null."""
     return compensated_sum([F.lit(w) * risks[name] for name, w in WEIGHTS.items()])
 
 
@@ -77,4 +79,4 @@ def tier(value: Column) -> Column:
     out = F.lit(TIERS[-1][1])
     for threshold, name in reversed(TIERS[:-1]):
         out = F.when(value >= threshold, F.lit(name)).otherwise(out)
-    return out
+    return F.when(value.isNotNull(), out)

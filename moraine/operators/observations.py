@@ -18,6 +18,11 @@ def new_rows(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     return fresh.join(existing.select(*KEY), KEY, "left_anti").select(*incoming.columns)
 
 
+def identified(rows: DataFrame, run_id: str) -> DataFrame:
+    """With what the table adds to each row that is written: a row_id of its own and the run's id."""
+    return rows.withColumns({"row_id": F.expr("uuid()"), "run_id": F.lit(run_id)})
+
+
 def append(incoming: DataFrame, path: str) -> None:
     """Append what is new to the Parquet table at ``path``; one writer at a time is assumed."""
     spark = incoming.sparkSession

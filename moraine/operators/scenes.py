@@ -67,3 +67,10 @@ def process(pixels: DataFrame, *keys: str) -> DataFrame:
     mask = px.usable(F.col("scene_class"))
     wet = px.is_water(px.water_index(F.col("green"), F.col("nir")), mask)
     return pixels.groupBy(*keys).agg(px.water_area_km2(wet).alias("area_km2"), px.cloud_fraction(mask).alias("cloud_fraction"))
+
+
+def processed(scenes: DataFrame, pixels: DataFrame) -> DataFrame:
+    """``scenes`` (scene_id, ...) with area_km2 and cloud_fraction of their pixels; a scene without any
+    has no water and is all cloud."""
+    found = scenes.join(process(pixels, "scene_id"), "scene_id", "left")
+    return found.withColumns({"area_km2": F.coalesce("area_km2", F.lit(0.0)), "cloud_fraction": F.coalesce("cloud_fraction", F.lit(1.0))})

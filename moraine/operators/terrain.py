@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
 
+#: The population product and the radius of the buffer.
+POPULATION_SOURCE, BUFFER_KM = "worldpop_pak_2025_constrained_100m", 5.0
+
 
 def gradient(cells: DataFrame, along: str, across: str, spacing: str) -> DataFrame:
     """Central difference of ``z`` inside, one-sided at the edges; null for a single cell."""
@@ -28,14 +34,43 @@ def mosaic(tiles: DataFrame) -> DataFrame:
     return tiles.groupBy("lake_id", "row", "col").agg(F.min(F.struct("tile", "z")).alias("t")).select("lake_id", "row", "col", F.col("t.z").alias("z"))
 
 
+def tiles_of(lakes: DataFrame, tiles: DataFrame, size: float) -> DataFrame:
+    """(lake_id, tile): the elevation tiles (tile, box) that overlap a lake's box, each once.  Boxes meet
+    in the grid cells that both overlap."""
+    a = boxes_to_cells(lakes.select("lake_id", "box"), size)
+    b = boxes_to_cells(tiles.select("tile", F.col("box").alias("other")), size, "other")
+    return a.join(b, ["cx", "cy"]).filter(geo.intersects(F.col("box"), F.col("other"))).select("lake_id", "tile").distinct()
+
+
+def lake_elevation(lakes: DataFrame, tiles: DataFrame, cells: DataFrame, step: float, size: float) -> DataFrame:
+    """(lake_id, row, col, z): elevation in each lake's box (lake_id, box), cut from the cells (tile, lon,
+    lat, z) of the tiles that overlap it; where tiles overlap, the first tile's value counts.  A lake
+    that no tile covers has no rows, and so an error row in the hazard pass."""
+    inside = tiles_of(lakes, tiles, size).join(cells, "tile").join(lakes.select("lake_id", "box"), "lake_id").filter(geo.contains(F.col("box"), F.col("lon"), F.col("lat")))
+    # rows from north to south
+    return mosaic(inside.select("lake_id", "tile", (-geo.cell(F.col("lat"), step)).alias("row"), geo.cell(F.col("lon"), step).alias("col"), "z"))
+
+
+def remembered(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table at ``path``, made by ``make`` and written there the first time: terrain does not change,
+    so its slope is computed once and not for each run."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    make().write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def with_cell(df: DataFrame, lon: str, lat: str, size: float) -> DataFrame:
     """Adds the grid cell (cx, cy) that a point falls in."""
     return df.withColumns({"cx": F.floor(F.col(lon) / size).cast("int"), "cy": F.floor(F.col(lat) / size).cast("int")})
 
 
-def boxes_to_cells(boxes: DataFrame, size: float) -> DataFrame:
+def boxes_to_cells(boxes: DataFrame, size: float, box: str = "box") -> DataFrame:
     """One row for each grid cell that ``box`` overlaps: turns a range join into an equi-join."""
-    span = lambda a, b: F.sequence(F.floor(F.col(f"box.{a}") / size).cast("int"), F.floor(F.col(f"box.{b}") / size).cast("int"))
+    span = lambda a, b: F.sequence(F.floor(F.col(f"{box}.{a}") / size).cast("int"), F.floor(F.col(f"{box}.{b}") / size).cast("int"))
     return boxes.withColumn("cx", F.explode(span("west", "east"))).withColumn("cy", F.explode(span("south", "north")))
 
 
@@ -54,6 +89,14 @@ def exposure(lakes: DataFrame, population: DataFrame, radius_km: float, size: fl
     return boxes.join(found, "box", "left").select("lake_id", F.coalesce("p", F.lit(0.0)).alias("population"))
 
 
+def exposure_document(population: Column, radius_km: float = BUFFER_KM) -> Column:
+    """What a hazard document says of exposure; population to one place."""
+    return F.struct(
+        F.lit(POPULATION_SOURCE).alias("source"), F.lit(radius_km).alias("buffer_km"), F.lit("square").alias("buffer_shape"), F.bround(population, 1).alias("population_within_buffer"),
+        F.lit("A square around the lake, not routed along the flow path.").alias("note"),
+    )
+
+
 def upsample(band: DataFrame, factor: int = 2) -> DataFrame:
     """Nearest-neighbour: each cell (row, col) becomes factor x factor cells."""
     offsets = F.sequence(F.lit(0), F.lit(factor - 1))

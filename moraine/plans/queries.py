@@ -16,6 +16,7 @@ from . import runs
 
 AS_OF, NOW = src.AS_OF, src.NOW
 RANGE = ("2024-01-05", "2024-01-20")
+RUN_AT = "2024-03-25 00:00:00"
 
 
 def _r(c: Column | str, places: int = 6) -> Column:
@@ -71,8 +72,8 @@ def lake_staleness(s: SparkSession, d: str) -> DataFrame:
 
 
 def lake_seed_check(s: SparkSession, d: str) -> DataFrame:
-    registry = src.table(s, d, "nation").select(F.when(F.col("n_nationkey") % 5 == 4, F.concat(F.lit("no-"), F.lower("n_name"))).otherwise(F.lower("n_name")).alias("slug"), F.col("n_nationkey").alias("ordinal"))
-    return ob.seeded(registry, src.lakes(s, d)).select("slug", "ordinal", "lake_id", "error").orderBy("ordinal")
+    registry, lakes, _ = src.customer_lakes(s, d)
+    return ob.seeded(registry, lakes).select("slug", "ordinal", "lake_id", "error")
 
 
 def obs_lookback(s: SparkSession, d: str) -> DataFrame:
@@ -102,7 +103,8 @@ def seasonal_anomaly(s: SparkSession, d: str) -> DataFrame:
 
 
 def dam_type_risk(s: SparkSession, d: str) -> DataFrame:
-    return src.lakes(s, d).select("lake_id", risk.dam_risk(F.col("dam_type")).alias("risk"), risk.dam_recognised(F.col("dam_type")).alias("recognised"))
+    lakes = src.table(s, d, "customer").select(F.col("c_custkey").alias("lake_id"), src.dam_type(F.col("c_nationkey")).alias("dam_type"))
+    return lakes.select("lake_id", risk.dam_risk(F.col("dam_type")).alias("risk"), risk.dam_recognised(F.col("dam_type")).alias("recognised"))
 
 
 def _hazard(s: SparkSession, d: str) -> DataFrame:
@@ -122,7 +124,7 @@ def hazard_components(s: SparkSession, d: str) -> DataFrame:
     c = lambda path: F.get_json_object("components", f"$.{path}")
     num = lambda path: _r(c(path).cast("double"))
     return hazard.components(_hazard(s, d), AS_OF).select(
-        "lake_id", c("methodology_version").alias("version"), c("as_of").alias("as_of"), num("weights.area_growth").alias("w_growth"), num("tier_thresholds[1].threshold").alias("t_high"),
+        "lake_id", c("methodology_version").alias("version"), c("as_of").alias("as_of"), num("weights.area_growth").alias("w_growth"), num("tier_thresholds[1][0]").alias("t_high"),
         num("raw_inputs.growth_30d_pct").alias("growth_30"), c("raw_inputs.dam_type").alias("dam_type"), num("normalized_risks.slope").alias("slope_risk"), c("exposure").isNull().alias("no_exposure"),
     )
 
@@ -150,8 +152,9 @@ def aoi_bbox_grid(s: SparkSession, d: str) -> DataFrame:
 
 
 def band_align_upsample(s: SparkSession, d: str) -> DataFrame:
-    fine = src.grid(s, d)
-    coarse = fine.filter("row < 3 and col < 4").withColumnRenamed("v", "scl")
+    """A band at half the resolution (means of 2 x 2 cells) beside the whole grid."""
+    fine, half = src.grid(s, d), lambda c: F.floor(F.col(c) / 2).cast("int").alias(c)
+    coarse = fine.groupBy("lake_id", half("row"), half("col")).agg(F.avg("v").alias("scl"))
     return terrain.align(fine, coarse, ["lake_id"]).select("lake_id", "row", "col", _r("v").alias("v"), _r("scl").alias("scl"))
 
 
@@ -165,19 +168,55 @@ def bbox_candidates(s: SparkSession, d: str) -> DataFrame:
 
 
 def run_summary(s: SparkSession, d: str) -> DataFrame:
-    """A backfill over all days for lakes with an even id; odd ones are not seeded."""
+    """A backfill over all days for all lakes that have scenes."""
     every = src.scenes(s, d)
     registry = every.select(F.col("lake_id").cast("string").alias("slug"), F.col("lake_id").alias("ordinal")).distinct()
-    lakes = registry.filter("ordinal % 2 = 0").select("slug", F.col("ordinal").alias("lake_id"))
+    lakes = registry.select("slug", F.col("ordinal").alias("lake_id"))
     none = s.createDataFrame([], "lake_id long, captured_at date, source string")
     _, results = runs.run_backfill(registry, lakes, every, none, "1900-01-01", "2100-01-01")
     return runs.summary(results)
 
 
+def run_latest(s: SparkSession, d: str) -> DataFrame:
+    """All customers as registry, those with scenes as seeded; what was written before RANGE ends is there."""
+    every = src.scenes(s, d)
+    registry = src.table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("slug"), F.col("c_custkey").alias("ordinal"))
+    lakes = every.select(F.col("lake_id").cast("string").alias("slug"), "lake_id").distinct()
+    existing = sc.first_of_day(sc.in_range(every, "1900-01-01", RANGE[1]))
+    _, results = runs.run_latest(registry, lakes, every, existing, RUN_AT)
+    return results
+
+
+def run_hazard(s: SparkSession, d: str) -> DataFrame:
+    """Customers as lakes: some not seeded, some without a static row, some without elevation."""
+    registry, lakes, static = src.customer_lakes(s, d)
+    people = terrain.exposure(src.placed(static.select("lake_id"), "lake_id"), src.population(s, d), terrain.BUFFER_KM, 0.1)
+    done = runs.run_hazard(registry, lakes, static, src.observations(s, d, "c_custkey"), terrain.mean_slope(src.elevation(s, d)), AS_OF, people)
+    c = lambda path: F.get_json_object("components", f"$.{path}")
+    return done.select(
+        "ordinal", "slug", "lake_id", _r("score").alias("score"), "tier", F.col("computed_at").isNotNull().alias("computed"), "error", _r(c("raw_inputs.slope_deg").cast("double")).alias("slope_deg"),
+        c("exposure.population_within_buffer").cast("double").alias("people"), c("exposure.buffer_shape").alias("shape"), c("tier_thresholds[3][1]").alias("lowest"),
+    )
+
+
+def lake_elevation(s: SparkSession, d: str) -> DataFrame:
+    """Boxes around places between the tiles: of overlapping tiles the first one's cells."""
+    tiles, cells = src.elevation_tiles(s, d)
+    at = tiles.select(F.col("tile").alias("lake_id"), (F.col("box.west") + 0.006).alias("lon"), (F.col("box.south") + 0.006).alias("lat"))
+    lakes = at.select("lake_id", geo.box(F.col("lon"), F.col("lat"), F.lit(0.0075)).alias("box"))
+    return terrain.lake_elevation(lakes, tiles, cells, src.CELL, 0.02).select("lake_id", "row", "col", _r("z").alias("z"))
+
+
+def scene_processing(s: SparkSession, d: str) -> DataFrame:
+    """Orders as scenes; some have no pixels."""
+    done = sc.processed(src.table(s, d, "orders").select(F.col("o_orderkey").alias("scene_id")), src.pixels(s, d))
+    return done.select("scene_id", _r("area_km2").alias("area_km2"), _r("cloud_fraction").alias("cloud_fraction"), sc.is_usable(F.col("cloud_fraction")).alias("accepted"))
+
+
 QUERIES = {f.__name__: f for f in (
     water_index, usable_mask_counts, encoded_dn, scene_water_area, scene_candidates_top12, scenes_in_range, latest_usable_scene, observation_dedupe, observation_new_rows, lake_staleness, lake_seed_check,
     obs_lookback, latest_as_of, nearest_within_15d, growth_30_90, seasonal_anomaly, dam_type_risk, normalized_risks, hazard_score_tier, hazard_components, terrain_slope, pixel_metres, exposure_population,
-    aoi_bbox_grid, band_align_upsample, bbox_candidates, run_summary,
+    aoi_bbox_grid, band_align_upsample, bbox_candidates, run_summary, run_latest, run_hazard, lake_elevation, scene_processing,
 )}
 
 PIXELS = "px AS (SELECT l_orderkey AS scene_id, CAST(l_quantity * 200 AS FLOAT) AS g, CAST(l_extendedprice / 10 AS FLOAT) AS n, l_quantity * 200 AS green, l_extendedprice / 10 AS nir, l_linenumber + 4 AS scl FROM lineitem)"
@@ -200,14 +239,18 @@ SLOPE = GRID + """, z AS (SELECT lake_id, row, col, 3000 + 100 * v AS z FROM gri
   lag(z) OVER x AS zl, lead(z) OVER x AS zr, lag(z) OVER y AS zu, lead(z) OVER y AS zd FROM z WINDOW x AS (PARTITION BY lake_id, row ORDER BY col), y AS (PARTITION BY lake_id, col ORDER BY row)),
 g AS (SELECT lake_id, (coalesce(zr, z) - coalesce(zl, z)) / (CASE WHEN zl IS NULL OR zr IS NULL THEN 30.0 ELSE 60.0 END) AS gx, (coalesce(zd, z) - coalesce(zu, z)) / (CASE WHEN zu IS NULL OR zd IS NULL THEN 30.0 ELSE 60.0 END) AS gy FROM n),
 slope AS (SELECT lake_id, degrees(avg(atan(sqrt(gx * gx + gy * gy)))) AS deg FROM g GROUP BY 1)"""
-RISKS = ", ".join([LAKES, GROWTH, SEASON, SLOPE]) + """, risks AS (SELECT l.lake_id, l.slug, l.dam_type, g.g30,
+ONE_EACH = """risks AS (SELECT l.lake_id, l.slug, l.dam_type, g.g30, s.deg,
   greatest(0.0, least(1.0, 0.5 * coalesce(greatest(g30, 0.0), 0.0) / 0.5 + 0.5 * coalesce(greatest(g90, 0.0), 0.0) / 0.5)) AS area_growth,
   CASE WHEN glof THEN 1.0 ELSE 0.0 END AS historical_glof,
   CASE dam_type WHEN 'moraine' THEN 1.0 WHEN 'ice' THEN 0.8 WHEN 'bedrock' THEN 0.2 ELSE 0.5 END AS dam_type_risk,
   CASE WHEN contact THEN 1.0 ELSE 0.3 END AS glacier_contact,
-  CASE WHEN s.deg IS NULL THEN 1.0 ELSE greatest(0.0, least(1.0, s.deg / 40)) END AS slope,
+  CASE WHEN s.deg IS NOT NULL THEN greatest(0.0, least(1.0, s.deg / 40)) END AS slope,
   greatest(0.0, least(1.0, coalesce(greatest(anomaly, 0.0), 0.0) / 0.3)) AS seasonal_anomaly
   FROM lakes l LEFT JOIN growth g USING (lake_id) LEFT JOIN anomaly a USING (lake_id) LEFT JOIN slope s USING (lake_id))"""
+RISKS = ", ".join([LAKES, GROWTH, SEASON, SLOPE, ONE_EACH])
+CUSTOMER_LAKES = "registry AS (SELECT c_name AS slug, c_custkey AS ordinal FROM customer), seeded AS (SELECT c_name AS slug, CAST(c_custkey AS BIGINT) AS lake_id FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)), lakes AS (SELECT CAST(c_custkey AS BIGINT) AS lake_id, c_name AS slug, ['moraine', 'ice', 'unknown', 'bedrock', 'Moraine'][c_nationkey % 5 + 1] AS dam_type, c_mktsegment = 'MACHINERY' AS contact, c_acctbal > 5000 AS glof FROM customer WHERE c_acctbal >= 0)"
+CUSTOMER_RISKS = ", ".join([CUSTOMER_LAKES, GROWTH.replace("c_nationkey", "c_custkey"), SEASON, SLOPE, ONE_EACH])
+TIER = "CASE WHEN score >= 0.65 THEN 'critical' WHEN score >= 0.45 THEN 'high' WHEN score >= 0.25 THEN 'watch' WHEN score IS NOT NULL THEN 'normal' END"
 
 
 def _fold() -> str:
@@ -233,21 +276,37 @@ ORACLE = {
     "observation_dedupe": f"WITH {SCENES}, k AS (SELECT *, row_number() OVER (PARTITION BY lake_id, CAST(acquired_at AS DATE), source ORDER BY acquired_at DESC, scene_id DESC) AS w FROM ranked WHERE cf <= 0.5) SELECT lake_id, CAST(CAST(acquired_at AS DATE) AS TIMESTAMP) AS captured_at, source, scene_id FROM k WHERE w = 1",
     "observation_new_rows": f"WITH {OBS} SELECT lake_id, captured_at, source, scene_id, area AS area_km2 FROM obs WHERE scene_id % 2 <> 0",
     "lake_staleness": "SELECT c_custkey AS lake_id, CAST(max(o_orderdate) AS DATE) AS last_captured_at, max(o_orderdate) IS NULL OR TIMESTAMP '2001-08-02' - CAST(CAST(max(o_orderdate) AS DATE) AS TIMESTAMP) > INTERVAL 60 DAY AS stale FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1",
-    "lake_seed_check": "SELECT CASE WHEN n_nationkey % 5 = 4 THEN 'no-' ELSE '' END || lower(n_name) AS slug, n_nationkey AS ordinal, CASE WHEN n_nationkey % 5 <> 4 THEN CAST(n_nationkey AS BIGINT) END AS lake_id, CASE WHEN n_nationkey % 5 = 4 THEN 'lake not seeded in DB' END AS error FROM nation",
+    "lake_seed_check": f"WITH {CUSTOMER_LAKES} SELECT slug, ordinal, lake_id, CASE WHEN lake_id IS NULL THEN 'lake not seeded in DB' END AS error FROM registry LEFT JOIN seeded USING (slug)",
     "obs_lookback": f"WITH {OBS} SELECT lake_id, count(*) AS n, min(captured_at) AS first_at, max(captured_at) AS last_at FROM seen GROUP BY 1",
     "latest_as_of": f"WITH {OBS}, {LATEST.format(t='obs')}, ids AS (SELECT DISTINCT lake_id FROM obs) SELECT ids.lake_id, captured_at, scene_id, area AS area_km2 FROM ids LEFT JOIN latest USING (lake_id)",
     "nearest_within_15d": f"WITH {OBS}, {_near('a', 30)}, {_near('b', 90)} SELECT ids.lake_id, a.scene_id AS scene_30, a.captured_at AS at_30, b.scene_id AS scene_90, b.captured_at AS at_90 FROM (SELECT DISTINCT lake_id FROM seen) ids LEFT JOIN a USING (lake_id) LEFT JOIN b USING (lake_id)",
     "growth_30_90": f"WITH {GROWTH} SELECT lake_id, latest_at, round(g30, 6) AS growth_30, round(g90, 6) AS growth_90 FROM growth",
     "seasonal_anomaly": f"WITH {OBS}, {LATEST.format(t='seen')}, {SEASON} SELECT ids.lake_id, round(anomaly, 6) AS anomaly FROM (SELECT DISTINCT lake_id FROM seen) ids LEFT JOIN anomaly USING (lake_id)",
-    "dam_type_risk": f"WITH {LAKES} SELECT lake_id, CAST(CASE dam_type WHEN 'moraine' THEN 1.0 WHEN 'ice' THEN 0.8 WHEN 'bedrock' THEN 0.2 ELSE 0.5 END AS DOUBLE) AS risk, dam_type IN ('moraine', 'ice', 'unknown', 'bedrock') AS recognised FROM lakes",
+    "dam_type_risk": "SELECT c_custkey AS lake_id, CAST(CASE c_nationkey % 5 WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 WHEN 3 THEN 0.2 ELSE 0.5 END AS DOUBLE) AS risk, c_nationkey % 5 <> 4 AS recognised FROM customer",
     "normalized_risks": f"WITH {RISKS} SELECT lake_id, round(CAST(area_growth AS DOUBLE), 6) AS area_growth, CAST(historical_glof AS DOUBLE) AS historical_glof, CAST(dam_type_risk AS DOUBLE) AS dam_type, CAST(glacier_contact AS DOUBLE) AS glacier_contact, round(CAST(slope AS DOUBLE), 6) AS slope, round(CAST(seasonal_anomaly AS DOUBLE), 6) AS seasonal_anomaly FROM risks",
-    "hazard_score_tier": f"WITH {RISKS}, {_fold()}, done AS (SELECT *, s6 + c6 AS score FROM f6) SELECT lake_id, slug, round(score, 6) AS score, CASE WHEN score >= 0.65 THEN 'critical' WHEN score >= 0.45 THEN 'high' WHEN score >= 0.25 THEN 'watch' ELSE 'normal' END AS tier FROM done",
+    "hazard_score_tier": f"WITH {RISKS}, {_fold()}, done AS (SELECT *, s6 + c6 AS score FROM f6) SELECT lake_id, slug, round(score, 6) AS score, {TIER} AS tier FROM done",
     "hazard_components": f"WITH {RISKS} SELECT lake_id, '1.0' AS version, '2001-06-30' AS as_of, CAST(0.3 AS DOUBLE) AS w_growth, CAST(0.45 AS DOUBLE) AS t_high, round(g30, 6) AS growth_30, dam_type, round(CAST(slope AS DOUBLE), 6) AS slope_risk, true AS no_exposure FROM risks",
     "terrain_slope": f"WITH {SLOPE} SELECT lake_id, round(deg, 6) AS slope_degrees FROM slope",
     "pixel_metres": f"WITH p AS (SELECT c_custkey, {PLACE.format(k='c_custkey')} FROM customer) SELECT c_custkey, round(0.0002::DOUBLE * 111320 * cos(radians(lat)), 6) AS dx_m, round(0.0002::DOUBLE * 111320, 6) AS dy_m FROM p",
     "exposure_population": f"WITH {GRID}, lakes AS (SELECT vec_id AS lake_id, {PLACE.format(k='vec_id')} FROM embeddings), pop AS (SELECT lon + col * 0.002::DOUBLE AS lon, lat + row * 0.002::DOUBLE AS lat, greatest(100 * v, 0) AS pop FROM grid JOIN lakes USING (lake_id)), b AS (SELECT lake_id, lon, lat, 5 * 1000 / 111320::DOUBLE AS dy FROM lakes), f AS (SELECT b.lake_id, sum(pop) AS p FROM b JOIN pop ON pop.lat BETWEEN b.lat - dy AND b.lat + dy AND pop.lon BETWEEN b.lon - dy / cos(radians(b.lat)) AND b.lon + dy / cos(radians(b.lat)) GROUP BY 1) SELECT lake_id, round(coalesce(p, 0), 3) AS population FROM lakes LEFT JOIN f USING (lake_id)",
     "aoi_bbox_grid": f"WITH p AS (SELECT c_custkey, {PLACE.format(k='c_custkey')}, 0.01::DOUBLE AS h FROM customer), b AS (SELECT c_custkey, lon - h AS west, lat - h AS south, lon + h AS east, lat + h AS north FROM p) SELECT c_custkey, round(west, 6) AS west, round(south, 6) AS south, round(east, 6) AS east, round(north, 6) AS north, greatest(1, CAST(round_even((east - west) * 111320 * cos(radians((south + north) / 2)) / 10, 0) AS INT)) AS width, greatest(1, CAST(round_even((north - south) * 111320 / 10, 0) AS INT)) AS height FROM b",
-    "band_align_upsample": f"WITH {GRID} SELECT f.lake_id, CAST(f.row AS INT) AS row, CAST(f.col AS INT) AS col, round(f.v, 6) AS v, round(c.v, 6) AS scl FROM grid f JOIN grid c ON c.lake_id = f.lake_id AND c.row = f.row // 2 AND c.col = f.col // 2 WHERE c.row < 3 AND c.col < 4",
+    "band_align_upsample": f"WITH {GRID}, half AS (SELECT lake_id, row // 2 AS r, col // 2 AS c, avg(v) AS scl FROM grid GROUP BY ALL) SELECT f.lake_id, CAST(f.row AS INT) AS row, CAST(f.col AS INT) AS col, round(f.v, 6) AS v, round(h.scl, 6) AS scl FROM grid f JOIN half h ON h.lake_id = f.lake_id AND h.r = f.row // 2 AND h.c = f.col // 2",
     "bbox_candidates": f"WITH a AS (SELECT CAST(n_nationkey AS BIGINT) AS lake_id, {PLACE.format(k='n_nationkey')} FROM nation), b AS (SELECT c_custkey AS scene_id, {PLACE.format(k='c_custkey')} FROM customer) SELECT lake_id, scene_id FROM a JOIN b ON a.lon - 0.05 <= b.lon + 0.05 AND b.lon - 0.05 <= a.lon + 0.05 AND a.lat - 0.05 <= b.lat + 0.05 AND b.lat - 0.05 <= a.lat + 0.05",
-    "run_summary": f"WITH {SCENES}, even AS (SELECT * FROM ranked WHERE lake_id % 2 = 0) SELECT (SELECT CAST(count(*) AS BIGINT) FROM (SELECT DISTINCT lake_id, CAST(acquired_at AS DATE), source FROM even WHERE cf <= 0.5)) AS observations_written, (SELECT CAST(count(*) AS BIGINT) FROM even) AS scenes_checked, (SELECT count(DISTINCT lake_id) FROM scenes) AS lakes, (SELECT bool_or(lake_id % 2 = 1) FROM scenes) AS failed",
+    "run_summary": f"WITH {SCENES} SELECT (SELECT CAST(count(*) AS BIGINT) FROM (SELECT DISTINCT lake_id, CAST(acquired_at AS DATE), source FROM ranked WHERE cf <= 0.5)) AS observations_written, (SELECT CAST(count(*) AS BIGINT) FROM ranked) AS scenes_checked, (SELECT count(DISTINCT lake_id) FROM scenes) AS lakes, false AS failed",
+    "run_latest": f"""WITH {SCENES}, there AS (SELECT DISTINCT lake_id, CAST(acquired_at AS DATE) AS d, source FROM ranked WHERE cf <= 0.5 AND CAST(acquired_at AS DATE) <= DATE '{RANGE[1]}'),
+best AS (SELECT lake_id, CAST(arg_min(acquired_at, rank) FILTER (cf <= 0.5) AS DATE) AS d, arg_min(source, rank) FILTER (cf <= 0.5) AS source, coalesce(min(rank) FILTER (cf <= 0.5), count(*)) AS n FROM cand GROUP BY 1),
+fresh AS (SELECT lake_id, d FROM best ANTI JOIN there USING (lake_id, d, source) WHERE d IS NOT NULL), last AS (SELECT lake_id, max(d) AS d FROM (SELECT lake_id, d FROM there UNION ALL SELECT lake_id, d FROM fresh) GROUP BY 1)
+SELECT c_custkey AS ordinal, CAST(c_custkey AS VARCHAR) AS slug, CAST(CASE WHEN f.lake_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS observations_written, coalesce(b.n, 0) AS scenes_checked,
+CASE WHEN u.lake_id IS NULL THEN 'lake not seeded in DB' END AS error, l.d IS NULL OR TIMESTAMP '{RUN_AT}' - CAST(l.d AS TIMESTAMP) > INTERVAL 60 DAY AS stale
+FROM customer LEFT JOIN (SELECT DISTINCT lake_id FROM scenes) u ON u.lake_id = c_custkey LEFT JOIN best b ON b.lake_id = c_custkey LEFT JOIN fresh f ON f.lake_id = c_custkey LEFT JOIN last l ON l.lake_id = c_custkey""",
+    "run_hazard": f"""WITH {CUSTOMER_RISKS}, {_fold()}, place AS (SELECT lake_id, {PLACE.format(k='lake_id')} FROM lakes), spot AS (SELECT lake_id AS id, {PLACE.format(k='lake_id')} FROM (SELECT vec_id AS lake_id FROM embeddings)),
+pop AS (SELECT lon + col * 0.002::DOUBLE AS lon, lat + row * 0.002::DOUBLE AS lat, greatest(100 * v, 0) AS pop FROM grid JOIN spot ON id = lake_id), b AS (SELECT lake_id, lon, lat, 5 * 1000 / 111320::DOUBLE AS dy FROM place),
+ex AS (SELECT b.lake_id, sum(pop) AS p FROM b JOIN pop ON pop.lat BETWEEN b.lat - dy AND b.lat + dy AND pop.lon BETWEEN b.lon - dy / cos(radians(b.lat)) AND b.lon + dy / cos(radians(b.lat)) GROUP BY 1),
+done AS (SELECT g.ordinal, g.slug, s.lake_id, CASE WHEN s.lake_id IS NULL THEN 'lake not seeded in DB' WHEN f.lake_id IS NULL THEN '{hazard.NO_STATIC}' WHEN f.deg IS NULL THEN '{hazard.NO_SLOPE}' END AS error, s6 + c6 AS full_score, deg, p FROM registry g LEFT JOIN seeded s USING (slug) LEFT JOIN f6 f ON f.lake_id = s.lake_id LEFT JOIN ex ON ex.lake_id = s.lake_id),
+fin AS (SELECT *, CASE WHEN error IS NULL THEN full_score END AS score FROM done)
+SELECT ordinal, slug, lake_id, round(score, 6) AS score, {TIER} AS tier, error IS NULL AS computed, error, CASE WHEN error IS NULL THEN round(deg, 6) END AS slope_deg, CASE WHEN error IS NULL THEN round_even(coalesce(p, 0), 1) END AS people, CASE WHEN error IS NULL THEN 'square' END AS shape, CASE WHEN error IS NULL THEN 'normal' END AS lowest FROM fin""",
+    "lake_elevation": f"""WITH {GRID}, t AS (SELECT vec_id AS tile, 70 + (vec_id % 50) * 0.01::DOUBLE AS w, 30 + (vec_id // 50) * 0.01::DOUBLE AS s FROM embeddings), c AS (SELECT tile, w + col * 0.002::DOUBLE AS lon, s + row * 0.002::DOUBLE AS lat, 3000 + 100 * v AS z FROM grid JOIN t ON tile = lake_id),
+l AS (SELECT tile AS lake_id, w + 0.006::DOUBLE AS lon, s + 0.006::DOUBLE AS lat, 0.0075::DOUBLE AS h FROM t), i AS (SELECT lake_id, tile, CAST(-round(c.lat / 0.002::DOUBLE) AS INT) AS row, CAST(round(c.lon / 0.002::DOUBLE) AS INT) AS col, z FROM l JOIN c ON c.lon BETWEEN l.lon - h AND l.lon + h AND c.lat BETWEEN l.lat - h AND l.lat + h)
+SELECT lake_id, row, col, round(arg_min(z, tile), 6) AS z FROM i GROUP BY 1, 2, 3""",
+    "scene_processing": f"WITH {PIXELS}, m AS (SELECT scene_id, scl NOT IN (3, 8, 9, 10) AS ok, {INDEX} AS i FROM px), a AS (SELECT o_orderkey AS scene_id, coalesce(count(*) FILTER (ok AND i > 0), 0) * 100 / 1e6 AS area, CASE WHEN count(m.scene_id) = 0 THEN 1 ELSE CAST(count(*) FILTER (NOT ok) AS DOUBLE) / count(m.scene_id) END AS cf FROM orders LEFT JOIN m ON m.scene_id = o_orderkey GROUP BY 1) SELECT scene_id, round(CAST(area AS DOUBLE), 6) AS area_km2, round(CAST(cf AS DOUBLE), 6) AS cloud_fraction, cf <= 0.5 AS accepted FROM a",
 }

@@ -17,26 +17,50 @@ def run_id(kind: str) -> str:
     return f"{kind}-{uuid.uuid4()}"
 
 
-def run_latest(registry: DataFrame, lakes: DataFrame, all_scenes: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows to append, results): the newest usable scene of each lake."""
+def _results(known: DataFrame, checked: DataFrame, new: DataFrame, existing: DataFrame, now: str | None) -> DataFrame:
+    """One row a lake of the registry: what was written and checked, whether it is stale after that."""
+    written = new.groupBy("lake_id").agg(F.count(F.lit(1)).alias("observations_written"))
+    found = known.join(checked, "lake_id", "left").join(written, "lake_id", "left")
+    columns = ["ordinal", "slug", F.coalesce("observations_written", F.lit(0)).alias("observations_written"), F.coalesce("scenes_checked", F.lit(0)).alias("scenes_checked"), "error"]
+    if now is not None:
+        seen = existing.select("lake_id", "captured_at").unionByName(new.select("lake_id", "captured_at"))
+        status = observations.status(known.filter("error is null"), seen, now).select("lake_id", "stale")
+        found = found.join(status, "lake_id", "left")
+        columns.append(F.coalesce("stale", F.lit(True)).alias("stale"))
+    return found.select(*columns)
+
+
+def run_latest(registry: DataFrame, lakes: DataFrame, all_scenes: DataFrame, existing: DataFrame, now: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows to append, results): the newest usable scene of each lake.  With ``now``, results say which
+    lakes are stale then; one with an error is."""
     known = observations.seeded(registry, lakes)
     found = scenes.latest_usable(all_scenes)
     chosen = known.join(found, "lake_id", "left").filter("scene_id is not null")
     new = observations.new_rows(chosen.select("lake_id", F.to_date("acquired_at").alias("captured_at"), "source", "scene_id"), existing)
-    written = new.groupBy("lake_id").agg(F.count(F.lit(1)).alias("observations_written"))
-    results = known.join(found.select("lake_id", "scenes_checked"), "lake_id", "left").join(written, "lake_id", "left")
-    return new, results.select("ordinal", "slug", F.coalesce("observations_written", F.lit(0)).alias("observations_written"), F.coalesce("scenes_checked", F.lit(0)).alias("scenes_checked"), "error")
+    return new, _results(known, found.select("lake_id", "scenes_checked"), new, existing, now)
 
 
-def run_backfill(registry: DataFrame, lakes: DataFrame, all_scenes: DataFrame, existing: DataFrame, start: str, end: str) -> tuple[DataFrame, DataFrame]:
+def run_backfill(registry: DataFrame, lakes: DataFrame, all_scenes: DataFrame, existing: DataFrame, start: str, end: str, now: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows to append, results): every usable scene of a range of days."""
     known = observations.seeded(registry, lakes)
     ranged = scenes.in_range(all_scenes, start, end).join(known.select("lake_id"), "lake_id", "left_semi")
     checked = ranged.groupBy("lake_id").agg(F.count(F.lit(1)).alias("scenes_checked"))
     new = observations.new_rows(scenes.first_of_day(ranged), existing)
-    written = new.groupBy("lake_id").agg(F.count(F.lit(1)).alias("observations_written"))
-    results = known.join(checked, "lake_id", "left").join(written, "lake_id", "left")
-    return new, results.select("ordinal", "slug", F.coalesce("observations_written", F.lit(0)).alias("observations_written"), F.coalesce("scenes_checked", F.lit(0)).alias("scenes_checked"), "error")
+    return new, _results(known, checked, new, existing, now)
+
+
+def run_one(registry: DataFrame, all_scenes: DataFrame, slug: str) -> DataFrame:
+    """One row for the lake ``slug`` without writing anything: its newest usable scene and exit_code, 0 if
+    there is one, 1 if it has no scene or only cloudy ones (STALE), 2 if the registry (slug, lake_id)
+    does not have it."""
+    asked = registry.sparkSession.range(1).select(F.lit(slug).alias("slug"))
+    mine = asked.join(registry.select("slug", "lake_id"), "slug", "left")
+    # the filter on one lake reaches the scan of the scenes
+    wanted = all_scenes.join(F.broadcast(registry.filter(F.col("slug") == slug).select("lake_id").limit(1)), "lake_id", "left_semi")
+    found = mine.join(scenes.latest_usable(wanted), "lake_id", "left")
+    code = F.when(F.col("lake_id").isNull(), 2).when(F.col("scene_id").isNull(), 1).otherwise(0)
+    message = F.when(code == 2, F.lit("unknown lake")).when(code == 1, F.when(F.col("scenes_checked").isNull(), F.lit("no scenes")).otherwise(F.lit("STALE: no usable scene")))
+    return found.select("slug", "lake_id", "scene_id", F.to_date("acquired_at").alias("captured_at"), F.coalesce("scenes_checked", F.lit(0)).alias("scenes_checked"), code.alias("exit_code"), message.alias("message"))
 
 
 def summary(results: DataFrame) -> DataFrame:
@@ -49,6 +73,14 @@ def summary(results: DataFrame) -> DataFrame:
     )
 
 
-def run_hazard(lakes: DataFrame, obs: DataFrame, slope: DataFrame, as_of: str) -> DataFrame:
-    """Score, tier and document of every lake; write it as the score table or send it on from there."""
-    return hazard.components(hazard.risks(hazard.inputs(lakes, obs, slope, as_of)), as_of)
+def run_hazard(registry: DataFrame, lakes: DataFrame, static: DataFrame, obs: DataFrame, slope: DataFrame, as_of: str, exposure: DataFrame | None = None, computed_at: str | None = None) -> DataFrame:
+    """Score, tier and document of every lake of the registry, or why it has none; write it as the score
+    table or send it on from there.
+
+    Errors: the lake is not seeded, its static row is missing, no slope is known.  computed_at (a
+    timestamp, by default now) is set for scored lakes; alert_created is for the receiver to fill.
+    """
+    known = hazard.with_static(observations.seeded(registry, lakes), static)
+    done = hazard.components(hazard.risks(hazard.inputs(known, obs, slope, as_of, exposure=exposure)), as_of)
+    at = F.lit(computed_at).cast("timestamp") if computed_at else F.current_timestamp()
+    return done.select("ordinal", "slug", "lake_id", "score", "tier", "components", F.lit(None).cast("boolean").alias("alert_created"), F.when(F.col("score").isNotNull(), at).alias("computed_at"), "error")

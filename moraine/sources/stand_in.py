@@ -5,7 +5,7 @@ This exercises the operators; the values have no physical meaning.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 AS_OF, NOW = "2001-06-30", "2001-08-02 00:00:00"
@@ -66,3 +66,37 @@ def population(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lon, lat, pop: each vector's grid as cells of 0.002 degrees from its place on."""
     g = placed(grid(spark, sf_dir), "lake_id")
     return g.select((F.col("lon") + F.col("col") * 0.002).alias("lon"), (F.col("lat") + F.col("row") * 0.002).alias("lat"), (100 * F.col("v")).alias("pop"))
+
+
+#: Tiles of elevation lie so many degrees apart, each 8 cells of CELL wide: neighbours overlap.
+TILE_STEP, CELL, TILE_ROW = 0.01, 0.002, 50
+
+
+def elevation_tiles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(tile, box) and (tile, lon, lat, z): each vector's grid as a tile, in rows of TILE_ROW tiles."""
+    g = grid(spark, sf_dir).withColumnRenamed("lake_id", "tile")
+    west, south = 70 + (F.col("tile") % TILE_ROW) * TILE_STEP, 30 + F.floor(F.col("tile") / TILE_ROW) * TILE_STEP
+    edge = lambda at: at + 7 * CELL
+    box = F.struct(west.alias("west"), south.alias("south"), edge(west).alias("east"), edge(south).alias("north"))
+    tiles = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("tile")).select("tile", box.alias("box"))
+    cells = g.select("tile", (west + F.col("col") * CELL).alias("lon"), (south + F.col("row") * CELL).alias("lat"), (3000 + 100 * F.col("v")).alias("z"))
+    return tiles, cells
+
+
+def customer_lakes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Registry (slug, ordinal): all customers; seeded (slug, lake_id): those with orders; static rows
+    (lake_id, ...): those whose account is not overdrawn."""
+    c = table(spark, sf_dir, "customer")
+    registry = c.select(F.col("c_name").alias("slug"), F.col("c_custkey").alias("ordinal"))
+    ordered = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    seeded = c.join(ordered, "c_custkey").select(F.col("c_name").alias("slug"), F.col("c_custkey").cast("long").alias("lake_id"))
+    static = c.filter("c_acctbal >= 0").select(
+        F.col("c_custkey").cast("long").alias("lake_id"), dam_type(F.col("c_nationkey")).alias("dam_type"),
+        (F.col("c_mktsegment") == "MACHINERY").alias("glacier_contact"), (F.col("c_acctbal") > 5000).alias("historical_glof"),
+    )
+    return registry, seeded, static
+
+
+def dam_type(key: Column) -> Column:
+    """A dam type for a nation's key; one of the five is not a known name."""
+    return F.get(F.array(*map(F.lit, ("moraine", "ice", "unknown", "bedrock", "Moraine"))), (key % 5).cast("int"))

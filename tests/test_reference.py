@@ -1,6 +1,7 @@
 """Table-driven cases of the lake operators, and each registered query against its SQL."""
 
 import datetime as dt
+import json
 import math
 import random
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from moraine.functions import pixels as px, risk
 from moraine.operators import features, hazard, observations as ob, scenes as sc, terrain
 from moraine.plans import queries, runs
+from moraine.sources import providers
 from moraine.streaming.ingest import ingest
 
 SF = "/root/testdata/sf0.001"
@@ -183,6 +185,116 @@ def test_backfill_and_append_and_stream(spark, tmp_path):
     assert {r["scene_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {0, 2}
 
 
+STATIC = "lake_id long, dam_type string, glacier_contact boolean, historical_glof boolean"
+
+
+def hazard_tables(spark):
+    """Lakes a to e: scored, without observations, not seeded, without a static row, without elevation."""
+    registry = spark.createDataFrame([(x, k) for k, x in enumerate("abcde")], "slug string, ordinal int")
+    lakes = spark.createDataFrame([("a", 1), ("b", 2), ("d", 4), ("e", 5)], "slug string, lake_id long")
+    static = spark.createDataFrame([(1, "moraine", True, True), (2, None, None, None), (5, "ice", False, False)], STATIC)
+    rows = [(1, D(d), "s", k, v) for k, (d, v) in enumerate([("2026-04-02", 1.0), ("2026-06-01", 1.0), ("2026-07-01", 2.0)])]
+    slope = spark.createDataFrame([(1, 40.0), (2, 0.0), (4, 10.0)], "lake_id long, slope_degrees double")
+    people = spark.createDataFrame([(1, 12.25), (2, 0.0)], "lake_id long, population double")
+    return registry, lakes, static, spark.createDataFrame(rows, OBS), slope, people
+
+
+def test_hazard_pass_has_a_row_for_every_lake(spark):
+    registry, lakes, static, seen, slope, people = hazard_tables(spark)
+    got = {r["slug"]: r for r in runs.run_hazard(registry, lakes, static, seen, slope, "2026-07-01", people, "2026-07-02 00:00:00").collect()}
+    assert {k: r["error"] for k, r in got.items()} == {"a": None, "b": None, "c": "lake not seeded in DB", "d": hazard.NO_STATIC, "e": hazard.NO_SLOPE}
+    for r in got.values():
+        assert (r["error"] is None) == (r["score"] is not None) == (r["tier"] is not None) == (r["components"] is not None) == (r["computed_at"] is not None)
+    # growth, dam, contact, slope and history at their most, no other year to compare with
+    assert got["a"]["score"] == pytest.approx(0.85) and got["a"]["tier"] == "critical"
+    # a static row with nulls is scored: unknown dam, no contact, no history
+    assert got["b"]["score"] == pytest.approx(0.2 * 0.5 + 0.1 * 0.3) and got["b"]["tier"] == "normal"
+
+
+def test_hazard_document(spark):
+    registry, lakes, static, seen, slope, people = hazard_tables(spark)
+    got = {r["slug"]: r for r in runs.run_hazard(registry, lakes, static, seen, slope, "2026-07-01", people).collect()}
+    document = json.loads(got["a"]["components"])
+    assert list(document) == ["methodology_version", "as_of", "weights", "tier_thresholds", "raw_inputs", "normalized_risks", "exposure"]
+    assert document["tier_thresholds"] == [[0.65, "critical"], [0.45, "high"], [0.25, "watch"], [0.0, "normal"]]
+    assert document["raw_inputs"] == {"growth_30d_pct": 1.0, "growth_90d_pct": 1.0, "seasonal_anomaly_pct": None, "dam_type": "moraine", "glacier_contact": True, "slope_deg": 40.0, "historical_glof": True}
+    assert {k: document["exposure"][k] for k in ("source", "buffer_km", "buffer_shape", "population_within_buffer")} == {"source": terrain.POPULATION_SOURCE, "buffer_km": 5.0, "buffer_shape": "square", "population_within_buffer": 12.2}
+    # the document alone gives the score
+    assert sum(w * document["normalized_risks"][k] for k, w in document["weights"].items()) == got["a"]["score"]
+    # exposure has no weight
+    without = {r["slug"]: r for r in runs.run_hazard(registry, lakes, static, seen, slope, "2026-07-01").collect()}
+    assert without["a"]["score"] == got["a"]["score"] and json.loads(without["a"]["components"])["exposure"] is None
+
+
+def test_lake_without_slope_has_no_score(spark):
+    r = scored(spark, slope_degrees=None)
+    assert (r["risk_slope"], r["score"], r["tier"], r["components"]) == (None, None, None, None)
+
+
+def test_latest_run(spark):
+    df = scenes(spark, ("2026-07-20T09:00", 5.0, 0.9), ("2026-07-20T05:00", 5.0, 0.1), ("2026-07-10T05:00", 5.0, 0.1))
+    df = df.unionAll(df.limit(1).withColumn("lake_id", F.lit(2).cast("long")).withColumn("cloud_fraction", F.lit(0.9)))
+    registry = spark.createDataFrame([(x, k) for k, x in enumerate("abcd")], "slug string, ordinal int")
+    lakes = spark.createDataFrame([("a", 1), ("b", 2), ("d", 4)], "slug string, lake_id long")
+    none = spark.createDataFrame([], "lake_id long, captured_at date, source string")
+    new, results = runs.run_latest(registry, lakes, df, none, "2026-07-21 00:00:00")
+    got = {r["slug"]: (r["observations_written"], r["scenes_checked"], r["stale"], r["error"]) for r in results.collect()}
+    assert got == {"a": (1, 2, False, None), "b": (0, 1, True, None), "c": (0, 0, True, "lake not seeded in DB"), "d": (0, 0, True, None)}
+    # what was written before is not written or counted again
+    assert {r["slug"]: r["observations_written"] for r in runs.run_latest(registry, lakes, df, new, "2026-07-21 00:00:00")[1].collect()} == dict.fromkeys("abcd", 0)
+    ids = ob.identified(new.unionAll(new), runs.run_id("latest")).collect()
+    assert len({r["row_id"] for r in ids}) == 2 and len({r["run_id"] for r in ids}) == 1
+
+
+def test_single_lake_run(spark):
+    df = scenes(spark, ("2026-07-20T09:00", 5.0, 0.1))
+    df = df.unionAll(df.withColumn("lake_id", F.lit(2).cast("long")).withColumn("cloud_fraction", F.lit(0.9)))
+    registry = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "slug string, lake_id long")
+    got = {x: tuple(one(runs.run_one(registry, df, x).select("exit_code", "scene_id", "scenes_checked", "message"))) for x in "abcz"}
+    assert got == {"a": (0, 0, 1, None), "b": (1, None, 1, "STALE: no usable scene"), "c": (1, None, 0, "no scenes"), "z": (2, None, 0, "unknown lake")}
+
+
+def test_scene_without_pixels_is_all_cloud(spark):
+    pixels = spark.createDataFrame([(1, 100, 20, 6), (1, 100, 20, 9)], "scene_id long, green int, nir int, scene_class int")
+    got = {r["scene_id"]: (r["area_km2"], r["cloud_fraction"]) for r in sc.processed(spark.range(1, 3).withColumnRenamed("id", "scene_id"), pixels).collect()}
+    assert got == {1: (0.0001, 0.5), 2: (0.0, 1.0)}
+
+
+def test_elevation_of_overlapping_tiles(spark):
+    box = lambda w, s, e, n: (w, s, e, n)
+    kind = "box struct<west:double,south:double,east:double,north:double>"
+    tiles = spark.createDataFrame([(1, box(0.0, 0.0, 0.3, 0.3)), (2, box(0.2, 0.0, 0.5, 0.3)), (3, box(5.0, 5.0, 5.3, 5.3))], f"tile int, {kind}")
+    cells = [(t, w + c / 10, r / 10, 100.0 * t + c) for t, w in ((1, 0.0), (2, 0.2)) for r in range(4) for c in range(4)]
+    lakes = spark.createDataFrame([(7, box(0.05, 0.05, 0.45, 0.15)), (8, box(2.0, 2.0, 2.1, 2.1))], f"lake_id long, {kind}")
+    got = terrain.lake_elevation(lakes, tiles, spark.createDataFrame(cells, "tile int, lon double, lat double, z double"), 0.1, 0.25)
+    assert {(r["lake_id"], r["row"], r["col"]): r["z"] for r in got.collect()} == {(7, -1, 1): 101.0, (7, -1, 2): 102.0, (7, -1, 3): 103.0, (7, -1, 4): 202.0}
+    assert {tuple(r) for r in terrain.tiles_of(lakes, tiles, 0.25).collect()} == {(7, 1), (7, 2)}  # lake 8 gets the error row
+
+
+def test_slope_is_made_once(spark, tmp_path):
+    made = []
+    make = lambda: made.append(1) or spark.createDataFrame([(1, 2.5)], "lake_id long, slope_degrees double")
+    for _ in range(2):
+        assert one(terrain.remembered(spark, str(tmp_path / "slope"), make))["slope_degrees"] == 2.5
+    assert made == [1]
+
+
+def test_source_choice(spark):
+    made = []
+    table = lambda name: lambda: made.append(name) or providers.Tables(spark.range(1).withColumnRenamed("id", "scene_id"), spark.range(0), name)
+    known = {"open": table("open"), "live": table("live")}
+    assert one(providers.choose(spark, known, "live").scenes())["source"] == "live"
+    spark.conf.set(providers.SETTING, "open")
+    try:
+        assert one(providers.choose(spark, known, "live").scenes())["source"] == "open"
+        assert one(providers.choose(spark, known, "open", "live").scenes())["source"] == "live"
+    finally:
+        spark.conf.unset(providers.SETTING)
+    assert made == ["live", "open", "live"]
+    with pytest.raises(ValueError, match="known: live, open"):
+        providers.choose(spark, known, "other")
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
