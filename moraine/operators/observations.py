@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,16 +24,19 @@ def identified(rows: DataFrame, run_id: str) -> DataFrame:
     return rows.withColumns({"row_id": F.expr("uuid()"), "run_id": F.lit(run_id)})
 
 
-def append(incoming: DataFrame, path: str) -> None:
-    """Append what is new to the Parquet table at ``path``; one writer at a time is assumed."""
-    spark = incoming.sparkSession
+def existing(path: str, like: DataFrame) -> DataFrame:
+    """The table at ``path``; if there is none yet, an empty one with the columns of ``like``."""
     try:
-        existing = spark.read.parquet(path)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
+        return like.sparkSession.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        existing = spark.createDataFrame([], incoming.schema)
-    new_rows(incoming, existing).write.mode("append").parquet(path)
+        return like.sparkSession.createDataFrame([], like.schema)
+
+
+def append(incoming: DataFrame, path: str) -> None:
+    """Append what is new to the Parquet table at ``path``; one writer at a time is assumed."""
+    new_rows(incoming, existing(path, incoming)).write.mode("append").parquet(path)
 
 
 def stale(last: Column, now: Column) -> Column:

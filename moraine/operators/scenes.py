@@ -42,15 +42,20 @@ def is_usable(cloud_fraction: Column) -> Column:
     return cloud_fraction <= MAX_CLOUD_FRACTION
 
 
+def _measured(scenes: DataFrame) -> list[str]:
+    """What a scene's pixels gave, where ``scenes`` has it."""
+    return [c for c in ("area_km2", "cloud_fraction") if c in scenes.columns]
+
+
 def latest_usable(scenes: DataFrame) -> DataFrame:
     """One row a lake with candidates: its newest usable one (nulls if none) and scenes_checked.
 
     Checking stops at the first usable scene, so its rank is the number checked.
     """
-    ok = is_usable(F.col("cloud_fraction"))
-    first = F.min(F.when(ok, F.struct("rank", "scene_id", "acquired_at", "source")))
+    ok, more = is_usable(F.col("cloud_fraction")), _measured(scenes)
+    first = F.min(F.when(ok, F.struct("rank", "scene_id", "acquired_at", "source", *more)))
     found = candidates(scenes).groupBy("lake_id").agg(first.alias("f"), F.count(F.lit(1)).alias("n"))
-    return found.select("lake_id", F.col("f.scene_id").alias("scene_id"), F.col("f.acquired_at").alias("acquired_at"), F.col("f.source").alias("source"), F.coalesce("f.rank", "n").cast("long").alias("scenes_checked"))
+    return found.select("lake_id", F.col("f.scene_id").alias("scene_id"), F.col("f.acquired_at").alias("acquired_at"), F.col("f.source").alias("source"), F.coalesce("f.rank", "n").cast("long").alias("scenes_checked"), *[F.col(f"f.{c}").alias(c) for c in more])
 
 
 def first_of_day(scenes: DataFrame) -> DataFrame:

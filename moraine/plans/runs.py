@@ -36,7 +36,8 @@ def run_latest(registry: DataFrame, lakes: DataFrame, all_scenes: DataFrame, exi
     known = observations.seeded(registry, lakes)
     found = scenes.latest_usable(all_scenes)
     chosen = known.join(found, "lake_id", "left").filter("scene_id is not null")
-    new = observations.new_rows(chosen.select("lake_id", F.to_date("acquired_at").alias("captured_at"), "source", "scene_id"), existing)
+    measured = [c for c in ("area_km2", "cloud_fraction") if c in found.columns]
+    new = observations.new_rows(chosen.select("lake_id", F.to_date("acquired_at").alias("captured_at"), "source", "scene_id", *measured), existing)
     return new, _results(known, found.select("lake_id", "scenes_checked"), new, existing, now)
 
 
@@ -84,3 +85,19 @@ def run_hazard(registry: DataFrame, lakes: DataFrame, static: DataFrame, obs: Da
     done = hazard.components(hazard.risks(hazard.inputs(known, obs, slope, as_of, exposure=exposure)), as_of)
     at = F.lit(computed_at).cast("timestamp") if computed_at else F.current_timestamp()
     return done.select("ordinal", "slug", "lake_id", "score", "tier", "components", F.lit(None).cast("boolean").alias("alert_created"), F.when(F.col("score").isNotNull(), at).alias("computed_at"), "error")
+
+
+def run_daily(registry: DataFrame, lakes: DataFrame, static: DataFrame, all_scenes: DataFrame, table: str, slope: DataFrame, as_of: str, now: str, exposure: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The daily job: observe, append to the observation table at ``table``, then score what is there.
+
+    ``all_scenes`` has area_km2 and cloud_fraction.  Returns the results of both passes; whatever starts
+    it each day is outside.  A second run of a day appends nothing.
+    """
+    columns, run = [*observations.KEY, "scene_id", "area_km2", "cloud_fraction"], run_id("latest")
+    like = all_scenes.select("lake_id", F.to_date("acquired_at").alias("captured_at"), "source", "scene_id", "area_km2", "cloud_fraction")
+    new, _ = run_latest(registry, lakes, all_scenes, observations.existing(table, like), now)
+    observations.append(observations.identified(new.select(*columns), run), table)
+    after = observations.existing(table, like)
+    # what this run wrote is counted against what was there before it
+    _, results = run_latest(registry, lakes, all_scenes, after.filter(F.col("run_id") != run), now)
+    return results, run_hazard(registry, lakes, static, after, slope, as_of, exposure, now)

@@ -254,6 +254,26 @@ def test_single_lake_run(spark):
     assert got == {"a": (0, 0, 1, None), "b": (1, None, 1, "STALE: no usable scene"), "c": (1, None, 0, "no scenes"), "z": (2, None, 0, "unknown lake")}
 
 
+def test_daily_job(spark, tmp_path):
+    registry, lakes, static, _, slope, _ = hazard_tables(spark)
+    df = scenes(spark, ("2026-06-01T05:00", 5.0, 0.1), ("2026-07-01T05:00", 5.0, 0.9)).withColumn("area_km2", F.lit(1.0))
+    run = lambda now, df=df: runs.run_daily(registry, lakes, static, df, str(tmp_path / "obs"), slope, now[:10], now)
+    results, scored = run("2026-06-02 00:00:00")
+    assert [(r["observations_written"], r["stale"]) for r in results.orderBy("ordinal").collect()] == [(1, False), (0, True), (0, True), (0, True), (0, True)]
+    assert {r["slug"]: r["score"] is not None for r in scored.collect()} == {"a": True, "b": True, "c": False, "d": False, "e": False}
+    assert [r["observations_written"] for r in run("2026-06-02 00:00:00")[0].collect()] == [0] * 5
+    grown = scenes(spark, ("2026-07-01T05:00", 5.0, 0.1)).withColumn("area_km2", F.lit(2.0))
+    scored = {r["slug"]: r for r in run("2026-07-01 00:00:00", grown)[1].collect()}
+    assert json.loads(scored["a"]["components"])["raw_inputs"]["growth_30d_pct"] == 1.0
+    assert spark.read.parquet(str(tmp_path / "obs")).count() == 2
+
+
+def test_search_of_some_lakes(spark):
+    df = scenes(spark, ("2026-07-20T09:00", 5.0, 0.1))
+    df = df.unionAll(df.withColumn("lake_id", F.lit(2).cast("long")))
+    assert [sc.searched(df, x).count() for x in (None, [], [2], [1, 2], [3])] == [2, 2, 1, 2, 0]
+
+
 def test_scene_without_pixels_is_all_cloud(spark):
     pixels = spark.createDataFrame([(1, 100, 20, 6), (1, 100, 20, 9)], "scene_id long, green int, nir int, scene_class int")
     got = {r["scene_id"]: (r["area_km2"], r["cloud_fraction"]) for r in sc.processed(spark.range(1, 3).withColumnRenamed("id", "scene_id"), pixels).collect()}
