@@ -20,6 +20,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "fail_bits")
 
 
+def quality_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy does to the corpus, from the ledger alone."""
+    return rules.ablations(rules.ledger(_docs(spark, sf_dir)), "v1")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     learned = docs.filter(~langid.held_out(F.col("doc_id")))
@@ -83,7 +88,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_quality_rules, op2_language_id, op3_bpe_round_trip, op4_near_dedup, op5_exact_dedup, op6_mixing, op7_repeated_substrings, op8_secret_scan, op9_pseudonyms, op10_token_files]
+    found = [op1_quality_rules, op2_language_id, op3_bpe_round_trip, op4_near_dedup, op5_exact_dedup, op6_mixing, op7_repeated_substrings, op8_secret_scan, op9_pseudonyms, op10_token_files, quality_rule_ablations]
     return {f.__name__: f for f in found}
 
 
@@ -126,6 +131,10 @@ SELECT t.doc_id, t.size, p.ss AS source_size, p.target AS target, CAST((p.whole
 FROM t JOIN p ON p.source IS NOT DISTINCT FROM t.source LEFT JOIN e ON e.source IS NOT DISTINCT FROM t.source""",
 }
 
+ORACLE["quality_rule_ablations"] = f"""
+SELECT rule, count(*) FILTER (fail_bits & m <> 0) AS n_failed, count(*) FILTER (fail_bits = m) AS n_failed_alone, count(*) FILTER (fail_bits & (127 - m) = 0) AS n_kept_without, count(*) FILTER (fail_bits = 0) AS n_kept
+FROM ({ORACLE['op1_quality_rules']}) l, (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('capitals', 8), ('stutter', 16), ('repeated_lines', 32), ('word_length', 64)) r(rule, m) GROUP BY rule"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
