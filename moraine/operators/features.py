@@ -47,3 +47,23 @@ def seasonal_anomaly(observations: DataFrame, as_of: str) -> DataFrame:
     same = (F.col("m") == F.month("at")) & (F.col("y") != F.year("at"))
     found = months.join(last, "lake_id").groupBy("lake_id").agg(F.first("area").alias("area"), F.sum(F.when(same, F.col("s"))).alias("s"), F.sum(F.when(same, F.col("n"))).alias("n"))
     return found.select("lake_id", _change(F.col("area"), F.try_divide("s", "n")).alias("anomaly"))
+
+
+def together(observations: DataFrame, as_of: str, windows: tuple[int, ...] = WINDOWS, tolerance: int = TOLERANCE_DAYS) -> DataFrame:
+    """The columns of :func:`growth` and :func:`seasonal_anomaly` from one pass over the series.
+
+    Rows are first combined by lake and calendar month; of these few a lake has the latest and nearest
+    rows are taken again, and the months of the latest row's name in other years added up.
+    """
+    day = F.lit(as_of).cast("date")
+    ends = {"l": latest(day)} | {f"p{w}": nearest(F.date_sub(day, w), tolerance) for w in windows}
+    monthly = observations.groupBy("lake_id", F.year("captured_at").alias("y"), F.month("captured_at").alias("m")).agg(
+        *[c.alias(name) for name, c in ends.items()], F.sum("area_km2").alias("s"), F.count("area_km2").alias("n")
+    )
+    found = monthly.groupBy("lake_id").agg(*[F.min(name).alias(name) for name in ends], F.collect_list(F.struct("y", "m", "s", "n")).alias("months"))
+    at = F.col("l.captured_at")
+    same = F.filter("months", lambda x: (x["m"] == F.month(at)) & (x["y"] != F.year(at)))
+    total = lambda name, zero: F.aggregate(same, zero, lambda a, x: a + F.coalesce(x[name], zero))
+    mean = F.try_divide(total("s", F.lit(0.0)), total("n", F.lit(0).cast("long")))
+    rates = [_change(F.col("l.area_km2"), F.col(f"p{w}.area_km2")).alias(f"growth_{w}") for w in windows]
+    return found.select("lake_id", at.alias("latest_at"), F.col("l.area_km2").alias("latest_km2"), *rates, _change(F.col("l.area_km2"), mean).alias("anomaly"))

@@ -25,9 +25,7 @@ def inputs(lakes: DataFrame, obs: DataFrame, slope: DataFrame, as_of: str, stric
     what it said before, then that no slope is known.  ``exposure``: (lake_id, population).
     """
     seen = observations.lookback(obs, as_of, strict)
-    grown = features.growth(seen, as_of)
-    season = features.seasonal_anomaly(seen, as_of)
-    rows = lakes.join(grown, "lake_id", "left").join(season, "lake_id", "left").join(slope, "lake_id", "left")
+    rows = lakes.join(features.together(seen, as_of), "lake_id", "left").join(slope, "lake_id", "left")
     if exposure is not None:
         rows = rows.join(exposure.select("lake_id", terrain.exposure_document(F.col("population")).alias("exposure")), "lake_id", "left")
     known = F.col("error") if "error" in lakes.columns else F.lit(None).cast("string")

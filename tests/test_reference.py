@@ -76,6 +76,16 @@ def test_anomaly_and_lookahead(spark):
     assert ob.lookback(obs(spark, *rows), "2025-07-02", strict=True).count() == 2
 
 
+def test_features_together_are_those_apart(spark):
+    rng = random.Random(7)
+    rows = [(rng.randrange(12), D("2024-01-01") + dt.timedelta(days=rng.randrange(950)), rng.choice("ab"), k, rng.choice([0.0, rng.random()])) for k in range(400)]
+    seen = spark.createDataFrame([*rows, (20, D("2027-01-01"), "a", 1, 1.0), (21, D("2026-07-01"), "a", 2, None)], OBS)
+    apart = features.growth(seen, "2026-07-01").join(features.seasonal_anomaly(seen, "2026-07-01"), "lake_id")
+    norm = lambda df: sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect()), key=str)
+    both = features.together(seen, "2026-07-01")
+    assert norm(both.select(apart.columns)) == norm(apart) and len(norm(both)) == 14
+
+
 def scored(spark, **over):
     base = dict(lake_id=1, dam_type="bedrock", glacier_contact=False, historical_glof=False, growth_30=None, growth_90=None, anomaly=None, slope_degrees=0.0)
     schema = "lake_id long, dam_type string, glacier_contact boolean, historical_glof boolean, growth_30 double, growth_90 double, anomaly double, slope_degrees double"
