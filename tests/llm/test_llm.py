@@ -612,6 +612,50 @@ def test_pseudonyms_of_very_long_values():
     assert a != b and a == names.replace(f"{'a' * 60}b@x.org")[0]
 
 
+def test_permutation_against_brute_force():
+    """The Feistel network written out: rounds of keyed values on two digits of mixed radix, cycle-walked."""
+    import math
+
+    for size in (1, 2, 10, 97, 1000, 26**3):
+        left = math.isqrt(size - 1) + 1
+        right, key = -(-size // left), hashlib.blake2b(b"k", digest_size=32).digest()
+
+        def value(k, x, mod):
+            h = hashlib.blake2b(f"{k}:{x}:t".encode(), key=key, digest_size=left.bit_length() // 8 + 9)
+            return int.from_bytes(h.digest(), "little") % mod
+
+        def once(x):
+            a, b = divmod(x, right)
+            for k in range(pii.ROUNDS):
+                a, b = (a, (b + value(k, a, right)) % right) if k % 2 else ((a + value(k, b, left)) % left, b)
+            return a * right + b
+
+        p, images = pii.Permutation(b"k", "t", size), []
+        for x in range(size):
+            y = once(x)
+            while y >= size:
+                y = once(y)
+            images.append(y)
+            assert p(x) == y and p(y, undo=True) == x
+        assert sorted(images) == list(range(size))
+
+
+def test_pseudonyms_of_very_long_values():
+    import time
+
+    names, back = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", undo=True)
+    rng = random.Random(1)
+    long = "".join(rng.choice("abcdefgXYZ0123456789._") for _ in range(100_000))
+    for text in (f"to {long}@example.org or a@b.co", "9" * 100_000 + "@x.org", "z" * 5000 + "@x.org", "1" * 100_000, "1 " * 50_000):
+        began = time.process_time()
+        new, spans = names.replace(text)
+        assert time.process_time() - began < 1.0 and len(new) == len(text) and back.replace(new)[0] == text
+        assert not text.count("@") or (new != text and len(spans) >= 1)
+    # equal first chunks, different ends: linked values only where all is equal
+    a, b = (names.replace(f"{'a' * 60}{x}@x.org")[0] for x in "bc")
+    assert a != b and a == names.replace(f"{'a' * 60}b@x.org")[0]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
@@ -628,3 +672,143 @@ def test_pipeline(spark):
     assert len(texts) > 0.5 * docs.select("text").distinct().count()
     got = out.collect()
     assert {r["doc_id"] for r in got} <= set(texts) and all(r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest() for r in got)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_query_equals_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    got = queries.queries()[name](spark, "/root/testdata/sf0.001")
+    want = con.execute(queries.ORACLE[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(columns) == sorted(got.columns)
+    norm = lambda rows: sorted((tuple(round(x, 5) if isinstance(x, float) else x for x in r) for r in rows), key=str)
+    assert norm(map(tuple, got.select(*columns).collect())) == norm(want.fetchall())
+
+
+def brute_mix(rows):
+    """How often each (id, text, source) is taken: targets by raising one level of words a weight, then
+    documents in order of their place until the budget is nearest."""
+    import math
+
+    size = lambda t: len((t or "").encode().split())
+    place = lambda i: int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:15], 16)
+    words = Counter()
+    for _, t, s in rows:
+        words[s] += size(t)
+    names = sorted((s for s in words if s is not None), key=lambda s: s.encode()) + [None] * (None in words)
+    weight = {s: (5.0, 2.0, 1.0)[k % 3] for k, s in enumerate(names)}
+    free, left, target = set(names), 1.5 * sum(words.values()), {}
+    while free:
+        level = left / sum(weight[s] for s in free)
+        full = {s for s in free if 2.0 * words[s] <= level * weight[s]}
+        if not full:
+            target |= {s: level * weight[s] for s in free}
+            break
+        target |= {s: 2.0 * words[s] for s in full}
+        left, free = left - sum(2.0 * words[s] for s in full), free - full
+    times = {}
+    for s in names:
+        whole = math.floor(target[s] / words[s]) if words[s] else 0
+        budget, taken, cut = target[s] - whole * words[s], 0, 0
+        mine = Counter()
+        for i, t, x in rows:
+            if x == s:
+                mine[place(i)] += size(t)
+        for p in sorted(mine) if words[s] else ():
+            if taken + mine[p] > budget:
+                cut = p + (taken + mine[p] - budget < budget - taken)
+                break
+            taken, cut = taken + mine[p], 0
+        times[s] = (whole, cut)
+    return [times[s][0] + (place(i) < times[s][1]) for i, _, s in rows]
+
+
+def brute_stages(rows):
+    """Exact dedup, near dedup and mixing of (id, text, source), one after the other."""
+    import re
+
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    first = {}
+    for i, t, _ in rows:
+        if i is not None:
+            first[norm(t)] = min(i, first.get(norm(t), i))
+    exact = [(i, t, s) for i, t, s in rows if (i == first[norm(t)] if norm(t) in first else True)]
+    distinct = sorted({(i, t or "") for i, t, _ in exact if i is not None})
+    _, found = brute_components([t for _, t in distinct], 80)
+    least = {}
+    for (i, _), c in zip(distinct, found):
+        least[c] = min(i, least.get(c, i))
+    kept = {x for x, c in zip(distinct, found) if x[0] == least[c]}
+    near = [(i, t, s) for i, t, s in exact if i is None or (i, t or "") in kept]
+    return exact, near, [r for r, n in zip(near, brute_mix(near)) for _ in range(n)]
+
+
+def test_pipeline_stages_against_brute_force(spark, empty):
+    """Nulls in any column, empty and repeated rows, several texts of an id, clashing column names."""
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    say = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    bases = [say(120) for _ in range(8)]
+
+    def near(t):
+        w = t.split()
+        w[rng.randrange(len(w))] = "zz"
+        return " ".join(w)
+
+    texts = [rng.choice([lambda: say(rng.randrange(1, 40)), lambda: rng.choice(bases), lambda: near(rng.choice(bases)), lambda: rng.choice(bases).replace(" ", "\n", 2)])() for _ in range(150)]
+    rows = [(i, t, rng.choice(["web", "Web", "é", "b", None])) for i, t in enumerate(texts)]
+    rows += [(None, say(30), "web"), (None, bases[0], "b"), (None, None, None), (500, "", "b"), (501, None, "web"), (502, " \n", None), (3, say(50), "b")] + rows[5:9]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _digest string, _copy int, times long, _plan string"
+    df = spark.createDataFrame([(i, t, None, s, None, "x", 1, 2, "p") for i, t, s in rows], schema)
+    got = lambda x: sorted(((r["doc_id"], r["text"], r["source"]) for r in x.collect()), key=str)
+    docs = df
+    for (_, stage), want in zip(corpus_pipeline.STAGES[1:4], brute_stages(rows)):
+        docs = common.stored(stage(spark, docs, ""), "test-stage")
+        assert docs.columns == df.columns and got(docs) == sorted(want, key=str)
+    done = corpus_pipeline.STAGES[4][1](spark, docs, "").collect()
+    assert sorted((r["doc_id"], r["decoded_sha256"]) for r in done if r["doc_id"] is not None) == sorted((i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t, _ in want if i is not None)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "").count() == 0
+
+
+def test_scratch_is_removed(spark, docs):
+    from pathlib import Path
+
+    root = Path(common.shared_dir(spark).removeprefix("file://")) / "moraine"
+    names = lambda: {p.name for p in root.iterdir()} if root.exists() else set()
+    before = names()
+    neardup.near_components(docs).count()
+    assert {n.rsplit("-", 1)[0] for n in names() - before} == {"near-sketches", "near-named"}
+    before = names()
+    substrings.repeated_spans(docs).count()
+    assert {n.rsplit("-", 1)[0] for n in names() - before} == {"repeat-rows", "repeat-table"}
+    before = names()
+    with common.scratch():
+        common.stored(docs, "gone")
+        assert len(names() - before) == 1
+    assert names() == before
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Session:
+        conf = type("C", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session)
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in corpus_pipeline.language(spark, docs, "").collect()]
+    assert len(rows) == docs.filter("text rlike '\\\\p{L}'").count()  # all are of the languages that labels name
+    want = brute_stages(rows)[2]
+    got = out.collect()
+    assert sorted((r["doc_id"], r["decoded_sha256"]) for r in got) == sorted((i, hashlib.sha256(t.encode()).hexdigest()) for i, t, _ in want)
