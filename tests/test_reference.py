@@ -1,4 +1,7 @@
-"""Table-driven cases of the lake operators, and each registered query against its SQL."""
+"""Table-driven cases of the lake operators, and each registered query against its SQL.
+
+Tier borders, weights and the results of the worked cases are fixed values of the methodology.
+"""
 
 import datetime as dt
 import json
