@@ -187,11 +187,15 @@ def run_latest(s: SparkSession, d: str) -> DataFrame:
     return results
 
 
-def run_hazard(s: SparkSession, d: str) -> DataFrame:
+def _hazard_run(s: SparkSession, d: str) -> DataFrame:
     """Customers as lakes: some not seeded, some without a static row, some without elevation."""
     registry, lakes, static = src.customer_lakes(s, d)
     people = terrain.exposure(src.placed(static.select("lake_id"), "lake_id"), src.population(s, d), terrain.BUFFER_KM, 0.1)
-    done = runs.run_hazard(registry, lakes, static, src.observations(s, d, "c_custkey"), terrain.mean_slope(src.elevation(s, d)), AS_OF, people)
+    return runs.run_hazard(registry, lakes, static, src.observations(s, d, "c_custkey"), terrain.mean_slope(src.elevation(s, d)), AS_OF, people, NOW)
+
+
+def run_hazard(s: SparkSession, d: str) -> DataFrame:
+    done = _hazard_run(s, d)
     c = lambda path: F.get_json_object("components", f"$.{path}")
     return done.select(
         "ordinal", "slug", "lake_id", _r("score").alias("score"), "tier", F.col("computed_at").isNotNull().alias("computed"), "error", _r(c("raw_inputs.slope_deg").cast("double")).alias("slope_deg"),
@@ -199,6 +203,10 @@ def run_hazard(s: SparkSession, d: str) -> DataFrame:
     )
 
 
+def score_reports(s: SparkSession, d: str) -> DataFrame:
+    return runs.score_reports(_hazard_run(s, d), "hazard-1").select("lakeId", "runId", _r("score").alias("score"), "tier", "computedAt", F.get_json_object("components", "$.as_of").alias("as_of"))
+
+
 def lake_elevation(s: SparkSession, d: str) -> DataFrame:
     """Boxes around places between the tiles: of overlapping tiles the first one's cells."""
     tiles, cells = src.elevation_tiles(s, d)
@@ -216,7 +224,7 @@ def scene_processing(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     water_index, usable_mask_counts, encoded_dn, scene_water_area, scene_candidates_top12, scenes_in_range, latest_usable_scene, observation_dedupe, observation_new_rows, lake_staleness, lake_seed_check,
     obs_lookback, latest_as_of, nearest_within_15d, growth_30_90, seasonal_anomaly, dam_type_risk, normalized_risks, hazard_score_tier, hazard_components, terrain_slope, pixel_metres, exposure_population,
-    aoi_bbox_grid, band_align_upsample, bbox_candidates, run_summary, run_latest, run_hazard, lake_elevation, scene_processing,
+    aoi_bbox_grid, band_align_upsample, bbox_candidates, run_summary, run_latest, run_hazard, score_reports, lake_elevation, scene_processing,
 )}
 
 PIXELS = "px AS (SELECT l_orderkey AS scene_id, CAST(l_quantity * 200 AS FLOAT) AS g, CAST(l_extendedprice / 10 AS FLOAT) AS n, l_quantity * 200 AS green, l_extendedprice / 10 AS nir, l_linenumber + 4 AS scl FROM lineitem)"
@@ -310,3 +318,4 @@ l AS (SELECT tile AS lake_id, w + 0.006::DOUBLE AS lon, s + 0.006::DOUBLE AS lat
 SELECT lake_id, row, col, round(arg_min(z, tile), 6) AS z FROM i GROUP BY 1, 2, 3""",
     "scene_processing": f"WITH {PIXELS}, m AS (SELECT scene_id, scl NOT IN (3, 8, 9, 10) AS ok, {INDEX} AS i FROM px), a AS (SELECT o_orderkey AS scene_id, coalesce(count(*) FILTER (ok AND i > 0), 0) * 100 / 1e6 AS area, CASE WHEN count(m.scene_id) = 0 THEN 1 ELSE CAST(count(*) FILTER (NOT ok) AS DOUBLE) / count(m.scene_id) END AS cf FROM orders LEFT JOIN m ON m.scene_id = o_orderkey GROUP BY 1) SELECT scene_id, round(CAST(area AS DOUBLE), 6) AS area_km2, round(CAST(cf AS DOUBLE), 6) AS cloud_fraction, cf <= 0.5 AS accepted FROM a",
 }
+ORACLE["score_reports"] = f"""SELECT CAST(lake_id AS VARCHAR) AS "lakeId", 'hazard-1' AS "runId", score, tier, '2001-08-02T00:00:00+00:00' AS "computedAt", '{AS_OF}' AS as_of FROM ({ORACLE['run_hazard']}) WHERE computed"""

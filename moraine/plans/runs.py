@@ -87,6 +87,19 @@ def run_hazard(registry: DataFrame, lakes: DataFrame, static: DataFrame, obs: Da
     return done.select("ordinal", "slug", "lake_id", "score", "tier", "components", F.lit(None).cast("boolean").alias("alert_created"), F.when(F.col("score").isNotNull(), at).alias("computed_at"), "error")
 
 
+def score_reports(scored: DataFrame, run: str) -> DataFrame:
+    """What is reported of each scored lake of :func:`run_hazard`, one row a report: lakeId, runId, score,
+    tier, components, computedAt (ISO 8601, UTC).  Lakes with an error are not reported."""
+    at = F.date_format("computed_at", "yyyy-MM-dd'T'HH:mm:ssxxx")
+    return scored.filter("score is not null").select(F.col("lake_id").cast("string").alias("lakeId"), F.lit(run).alias("runId"), "score", "tier", "components", at.alias("computedAt"))
+
+
+def report_lines(found: DataFrame) -> DataFrame:
+    """The outcome of :func:`run_one` as a line of text for people."""
+    clear = F.format_string("lake: %s, scene: %s, captured: %s, scenes checked: %d", F.col("slug"), F.col("scene_id").cast("string"), F.col("captured_at").cast("string"), F.col("scenes_checked"))
+    return found.select("slug", "exit_code", F.coalesce(F.when(F.col("exit_code") == 0, clear), F.concat_ws(": ", "slug", "message")).alias("line"))
+
+
 def run_daily(registry: DataFrame, lakes: DataFrame, static: DataFrame, all_scenes: DataFrame, table: str, slope: DataFrame, as_of: str, now: str, exposure: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The daily job: observe, append to the observation table at ``table``, then score what is there.
 

@@ -239,6 +239,14 @@ def test_hazard_document(spark):
     assert without["a"]["score"] == got["a"]["score"] and json.loads(without["a"]["components"])["exposure"] is None
 
 
+def test_reports_of_scored_lakes(spark):
+    registry, lakes, static, seen, slope, people = hazard_tables(spark)
+    done = runs.run_hazard(registry, lakes, static, seen, slope, "2026-07-20", people, "2026-07-20 00:00:00")
+    got = {r["lakeId"]: r for r in runs.score_reports(done, "hazard-7").collect()}
+    assert set(got) == {"1", "2"} and all(r["runId"] == "hazard-7" and r["computedAt"] == "2026-07-20T00:00:00+00:00" for r in got.values())
+    assert list(got["1"].asDict()) == ["lakeId", "runId", "score", "tier", "components", "computedAt"]
+
+
 def test_lake_without_slope_has_no_score(spark):
     r = scored(spark, slope_degrees=None)
     assert (r["risk_slope"], r["score"], r["tier"], r["components"]) == (None, None, None, None)
@@ -265,6 +273,8 @@ def test_single_lake_run(spark):
     registry = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "slug string, lake_id long")
     got = {x: tuple(one(runs.run_one(registry, df, x).select("exit_code", "scene_id", "scenes_checked", "message"))) for x in "abcz"}
     assert got == {"a": (0, 0, 1, None), "b": (1, None, 1, "STALE: no usable scene"), "c": (1, None, 0, "no scenes"), "z": (2, None, 0, "unknown lake")}
+    lines = {x: one(runs.report_lines(runs.run_one(registry, df, x)))["line"] for x in "az"}
+    assert lines == {"a": "lake: a, scene: 0, captured: 2026-07-20, scenes checked: 1", "z": "z: unknown lake"}
 
 
 def test_daily_job(spark, tmp_path):
