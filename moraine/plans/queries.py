@@ -256,7 +256,7 @@ ONE_EACH = """risks AS (SELECT l.lake_id, l.slug, l.dam_type, g.g30, s.deg,
   greatest(0.0, least(1.0, coalesce(greatest(anomaly, 0.0), 0.0) / 0.3)) AS seasonal_anomaly
   FROM lakes l LEFT JOIN growth g USING (lake_id) LEFT JOIN anomaly a USING (lake_id) LEFT JOIN slope s USING (lake_id))"""
 RISKS = ", ".join([LAKES, GROWTH, SEASON, SLOPE, ONE_EACH])
-CUSTOMER_LAKES = "registry AS (SELECT c_name AS slug, c_custkey AS ordinal FROM customer), seeded AS (SELECT c_name AS slug, CAST(c_custkey AS BIGINT) AS lake_id FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)), lakes AS (SELECT CAST(c_custkey AS BIGINT) AS lake_id, c_name AS slug, ['moraine', 'ice', 'unknown', 'bedrock', 'Moraine'][c_nationkey % 5 + 1] AS dam_type, c_mktsegment = 'MACHINERY' AS contact, c_acctbal > 5000 AS glof FROM customer WHERE c_acctbal >= 0)"
+CUSTOMER_LAKES = "registry AS (SELECT c_name AS slug, c_custkey AS ordinal FROM customer), seeded AS (SELECT c_name AS slug, CAST(c_custkey AS BIGINT) AS lake_id FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')), lakes AS (SELECT CAST(c_custkey AS BIGINT) AS lake_id, c_name AS slug, ['moraine', 'ice', 'unknown', 'bedrock', 'Moraine'][c_nationkey % 5 + 1] AS dam_type, c_mktsegment = 'MACHINERY' AS contact, c_acctbal > 5000 AS glof FROM customer WHERE c_acctbal >= 0)"
 CUSTOMER_RISKS = ", ".join([CUSTOMER_LAKES, GROWTH.replace("c_nationkey", "c_custkey"), SEASON, SLOPE, ONE_EACH])
 TIER = "CASE WHEN score >= 0.65 THEN 'critical' WHEN score >= 0.45 THEN 'high' WHEN score >= 0.25 THEN 'watch' WHEN score IS NOT NULL THEN 'normal' END"
 

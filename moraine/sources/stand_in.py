@@ -84,11 +84,11 @@ def elevation_tiles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
 
 
 def customer_lakes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Registry (slug, ordinal): all customers; seeded (slug, lake_id): those with orders; static rows
-    (lake_id, ...): those whose account is not overdrawn."""
+    """Registry (slug, ordinal): all customers; seeded (slug, lake_id): those with an urgent order;
+    static rows (lake_id, ...): those whose account is not overdrawn."""
     c = table(spark, sf_dir, "customer")
     registry = c.select(F.col("c_name").alias("slug"), F.col("c_custkey").alias("ordinal"))
-    ordered = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    ordered = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")).distinct()
     seeded = c.join(ordered, "c_custkey").select(F.col("c_name").alias("slug"), F.col("c_custkey").cast("long").alias("lake_id"))
     static = c.filter("c_acctbal >= 0").select(
         F.col("c_custkey").cast("long").alias("lake_id"), dam_type(F.col("c_nationkey")).alias("dam_type"),
