@@ -201,6 +201,10 @@ def encode_piece(transducer: Transducer, data: bytes) -> list[int]:
     return tokens + transducer.finish()
 
 
+#: White space but space and line end, and pairs that have such or a mark out of place.
+RARE_ASCII = "\t\v\f\r\x1c\x1d\x1e\x1f"
+RARE = RARE_ASCII + "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+ODD_PAIRS = ("  ", " \n", "\n ", "\n\n", " .", " ,", "\n.", "\n,")
 #: Marks that, between a letter or digit and white space, are a piece of their own.
 MARKS = ".,"
 
@@ -225,9 +229,8 @@ class Encoder:
         self.plain: dict[str, bytes] = {}
         self.held = 0  # bytes of both, about
         self.borders = re.compile(r"(?<=\S) (?=\S)")
-        #: white space but space and line end, and marks after a mark
-        self.rare = re.compile(r"[^\S \n]").search
-        self.marked = re.compile(r"[^\w\s][.,](?:[ \n]|\Z)|_[.,]").search
+        #: marks after a mark; it begins with them, so that the search skips all else
+        self.marked = re.compile(r"[.,](?:(?<=[^\w\s][.,])(?=[ \n]|\Z)|(?<=_[.,]))").search
         self.special = re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
 
     def pack(self, ids: list[int]) -> bytes:
@@ -271,9 +274,9 @@ class Encoder:
 
     def _odd(self, text: str) -> bool:
         """Whether a space or line end has white space beside it, or a mark no letter or digit before it."""
-        if any(x in text for x in ("  ", " \n", "\n ", "\n\n", " .", " ,", "\n.", "\n,")) or text[0] in "\n.," or text[-1] == "\n":
+        if any(x in text for x in ODD_PAIRS) or text[0] in "\n.," or text[-1] == "\n":
             return True
-        return bool(self.rare(text) or self.marked(text))
+        return any(x in text for x in (RARE_ASCII if text.isascii() else RARE)) or bool(self.marked(text))
 
     def _block(self, text: str) -> bytes:
         out: list[bytes] = []

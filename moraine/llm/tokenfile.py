@@ -37,7 +37,7 @@ SHARD_BYTES, MOST_BYTES, SHARDS = 4 << 20, 1 << 30, 4096
 #: Rows of an id are dealt apart by a hash of the text below this.
 TIES = 1 << 20
 #: Bytes of a worker's memo: the library takes 8 microseconds for a word that the memo lacks.
-MEMO_BYTES = 128 << 20
+MEMO_BYTES = 192 << 20
 HEAD = struct.Struct("<4sB3xIIQ")
 
 
