@@ -18,6 +18,11 @@ class: of a class with two members every byte goes, if there are ``length``.
 In step 2 a name has 64 bits, and two strings with one name only leave more positions to step 4.
 There a name has 96, of two independent fingerprints: among w remaining positions two different
 strings are taken for equal with odds of w ** 2 / 2 ** 97, which is 6e-4 for 10 ** 13 of them.
+
+Scale: ranges hold RANGE_NAMES names each, so their number grows with the input, and so does what a
+block sends out for each range.  Beyond some 2 TB a block of BLOCK_BYTES has fewer names than there are
+ranges, and a name costs a row of about 80 bytes in the shuffle instead of 8 or 12.  There, raise
+both with the executors' memory: 64 MB and 2 ** 23 names need about 1 GB a task.
 """
 
 from __future__ import annotations
