@@ -432,11 +432,18 @@ def test_known_language_rejects_what_cannot_be_told(spark, empty):
     rng = random.Random(4)
     noise = ["".join(chr(rng.randrange(0x400, 0x2000)) for _ in range(300)), "Это другой язык, которого модель не знает. " * 5, "12 !!", "", None, "".join(rng.choice("qxzjkvw0189") for _ in range(400))]
     extra = spark.createDataFrame([(10**6 + i, t, None, "s", 0) for i, t in enumerate(noise)], docs.schema)
+    few = ["4397110767823743 +1 (654) 555-4136 fhctton.79@mail5.example.com That the as the.", "Whed bleer. Erwhing edwh be.\nLicensed under the Apache License, Version 2.0."]
+    extra = extra.unionAll(spark.createDataFrame([(2 * 10**6 + i, t, None, "s", 0) for i, t in enumerate(few)], docs.schema))
+    half = {r["lang"]: r["text"] for r in docs.filter("n_chars > 1500").collect()}
+    extra = extra.unionAll(spark.createDataFrame([(3 * 10**6, half["en"][:800] + " " + half["fr"][:800], None, "s", 0)], docs.schema))
     clash = docs.unionAll(extra).withColumn("_scored", F.lit(1)).withColumn("n", F.lit(2))
     got = langid.known_language(clash)
     assert got.columns == clash.columns
     ids = {r["doc_id"] for r in got.collect()}
     assert {r["doc_id"] for r in docs.collect() if r["text"]} == {i for i in ids if i < 10**6} and ids & {10**6 + i for i in range(len(noise))} <= {10**6 + 5}
+    assert ids >= {2 * 10**6, 2 * 10**6 + 1}
+    found = langid._scored(clash.filter("doc_id = 3000000"), langid.train(docs), "s").first()["s"]
+    assert (3 * 10**6 in ids) == (found["top"] - found["second"] >= langid.MIN_MARGIN * found["n"])
     assert langid.known_language(empty).count() == 0
 
 
