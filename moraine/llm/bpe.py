@@ -35,7 +35,7 @@ SHORT = (2, 1)
 PART = 256
 #: Bytes of an encoder's memo, whatever it has read, with ENTRY for what a dictionary takes for one
 #: stretch; and pairs of tokens known to fit or not (about 130 bytes each).
-MEMO_BYTES, ENTRY, MEMO_PAIRS = 64 << 20, 260, 250_000
+MEMO_BYTES, ENTRY, MEMO_PAIRS = 96 << 20, 260, 250_000
 
 
 def byte_symbols() -> list[str]:
