@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ship
-from . import bpe, exactdup, langid, mixing, neardup, pii, rules, secretscan, substrings, tokenfile
+from . import bpe, codes, exactdup, langid, mixing, neardup, pii, rules, secretscan, substrings, tokenfile
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,8 +87,14 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_ranges(_docs(spark, sf_dir), tokenizer_path())
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    found, books = codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))
+
+
 def queries() -> dict:
-    found = [op1_quality_rules, op2_language_id, op3_bpe_round_trip, op4_near_dedup, op5_exact_dedup, op6_mixing, op7_repeated_substrings, op8_secret_scan, op9_pseudonyms, op10_token_files, quality_rule_ablations]
+    found = [op1_quality_rules, op2_language_id, op3_bpe_round_trip, op4_near_dedup, op5_exact_dedup, op6_mixing, op7_repeated_substrings, op8_secret_scan, op9_pseudonyms, op10_token_files, op13_vector_codes, quality_rule_ablations]
     return {f.__name__: f for f in found}
 
 
@@ -136,5 +142,28 @@ SELECT rule, count(*) FILTER (fail_bits & m <> 0) AS n_failed, count(*) FILTER (
 FROM ({ORACLE['op1_quality_rules']}) l, (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('capitals', 8), ('stutter', 16), ('repeated_lines', 32), ('word_length', 64)) r(rule, m) GROUP BY rule"""
 
 
+def _vector_codes_sql() -> str:
+    """The rounds of k-means one after another, each as a table of assignments and one of entries."""
+    near = """a{r} AS MATERIALIZED (SELECT id, part, v, arg_min(k, d * 16 + k) AS k, min(d) AS d FROM
+(SELECT p.id, p.part, p.v, c.k, list_sum(list_transform(list_zip(p.v, c.v), lambda x: CAST(x[1] - x[2] AS HUGEINT) * (x[1] - x[2]))) AS d FROM p JOIN c{r} c USING (part)) GROUP BY 1, 2, 3)"""
+    mean = """c{n} AS MATERIALIZED (SELECT c.part, c.k, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN
+(SELECT part, k, list(CAST(CAST(floor((s - ((s % n) + n) % n) / n) AS HUGEINT) AS BIGINT) ORDER BY i) AS v FROM
+(SELECT part, k, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT part, k, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY 1, 2, 3) GROUP BY 1, 2) m USING (part, k))"""
+    rounds = ",\n".join(near.format(r=r) + ",\n" + mean.format(r=r, n=r + 1) for r in range(6))
+    return f"""
+WITH q AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT id, part, list_slice(q, part * (len(q) // 8) + 1, (part + 1) * (len(q) // 8)) AS v FROM q, generate_series(0, 7) g(part)),
+c0 AS MATERIALIZED (SELECT part, CAST(row_number() OVER (PARTITION BY part ORDER BY id) - 1 AS BIGINT) AS k, v FROM p QUALIFY row_number() OVER (PARTITION BY part ORDER BY id) <= 16),
+{rounds},
+{near.format(r=6)},
+e AS (SELECT id, string_agg(printf('%02x', k), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a6 GROUP BY 1),
+b AS (SELECT sha256(coalesce(string_agg(array_to_string(v, ','), ',' ORDER BY part, k), '')) AS sha FROM c6)
+SELECT id AS vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, sha AS codebooks_sha256 FROM e JOIN q USING (id), b"""
+
+
+ORACLE["op13_vector_codes"] = _vector_codes_sql()
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

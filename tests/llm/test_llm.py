@@ -81,7 +81,7 @@ def test_exact(spark, docs, texts, empty):
         for r in exactdup.exact_groups(docs, hash_all=hash_all).collect():
             same = [i for i, x in enumerate(norm) if x == norm[r["doc_id"]]]
             assert r["keep_id"] == min(same) and r["kept"] == (r["doc_id"] == min(same))
-            assert r["group_size"] in (len(same) + sum(i in (0, 3, 8) for i in same), 1)
+            assert r["group_size"] == len(same) + sum(i in (0, 3, 8) for i in same)
             if hash_all:
                 assert r["text_sha256"] == hashlib.sha256(norm[r["doc_id"]].encode()).hexdigest()
     assert exactdup.exact_dedup(docs).columns == docs.columns and exactdup.exact_groups(empty).count() == 0
@@ -619,51 +619,7 @@ def test_pseudonyms_of_very_long_values():
     assert a != b and a == names.replace(f"{'a' * 60}b@x.org")[0]
 
 
-def test_permutation_against_brute_force():
-    """The Feistel network written out: rounds of keyed values on two digits of mixed radix, cycle-walked."""
-    import math
-
-    for size in (1, 2, 10, 97, 1000, 26**3):
-        left = math.isqrt(size - 1) + 1
-        right, key = -(-size // left), hashlib.blake2b(b"k", digest_size=32).digest()
-
-        def value(k, x, mod):
-            h = hashlib.blake2b(f"{k}:{x}:t".encode(), key=key, digest_size=left.bit_length() // 8 + 9)
-            return int.from_bytes(h.digest(), "little") % mod
-
-        def once(x):
-            a, b = divmod(x, right)
-            for k in range(pii.ROUNDS):
-                a, b = (a, (b + value(k, a, right)) % right) if k % 2 else ((a + value(k, b, left)) % left, b)
-            return a * right + b
-
-        p, images = pii.Permutation(b"k", "t", size), []
-        for x in range(size):
-            y = once(x)
-            while y >= size:
-                y = once(y)
-            images.append(y)
-            assert p(x) == y and p(y, undo=True) == x
-        assert sorted(images) == list(range(size))
-
-
-def test_pseudonyms_of_very_long_values():
-    import time
-
-    names, back = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", undo=True)
-    rng = random.Random(1)
-    long = "".join(rng.choice("abcdefgXYZ0123456789._") for _ in range(100_000))
-    for text in (f"to {long}@example.org or a@b.co", "9" * 100_000 + "@x.org", "z" * 5000 + "@x.org", "1" * 100_000, "1 " * 50_000):
-        began = time.process_time()
-        new, spans = names.replace(text)
-        assert time.process_time() - began < 1.0 and len(new) == len(text) and back.replace(new)[0] == text
-        assert not text.count("@") or (new != text and len(spans) >= 1)
-    # equal first chunks, different ends: linked values only where all is equal
-    a, b = (names.replace(f"{'a' * 60}{x}@x.org")[0] for x in "bc")
-    assert a != b and a == names.replace(f"{'a' * 60}b@x.org")[0]
-
-
-def test_pipeline(spark):
+def test_pipeline_keeps_columns_and_nothing_near(spark):
     import corpus_pipeline
 
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
@@ -686,7 +642,8 @@ def test_query_equals_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    for t in ("documents", "embeddings", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
     got = queries.queries()[name](spark, "/root/testdata/sf0.001")
     want = con.execute(queries.ORACLE[name])
     columns = [c[0] for c in want.description]
