@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ship
-from . import bpe, codes, exactdup, langid, mixing, neardup, pii, rules, secretscan, substrings, tokenfile
+from . import bpe, codes, exactdup, langid, mixing, neardup, pii, rules, secretscan, substrings, tokenfile, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +87,13 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_ranges(_docs(spark, sf_dir), tokenizer_path())
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(docs, labels.filter(~toxicity.held_out(F.col("doc_id"))))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_hits")
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     found, books = codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
@@ -94,7 +101,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_quality_rules, op2_language_id, op3_bpe_round_trip, op4_near_dedup, op5_exact_dedup, op6_mixing, op7_repeated_substrings, op8_secret_scan, op9_pseudonyms, op10_token_files, op13_vector_codes, quality_rule_ablations]
+    found = [op1_quality_rules, op2_language_id, op3_bpe_round_trip, op4_near_dedup, op5_exact_dedup, op6_mixing, op7_repeated_substrings, op8_secret_scan, op9_pseudonyms, op10_token_files, op11_toxicity, op13_vector_codes, quality_rule_ablations]
     return {f.__name__: f for f in found}
 
 
