@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ship
-from . import bpe, codes, exactdup, langid, mixing, neardup, pii, rules, secretscan, substrings, tokenfile, toxicity
+from . import bpe, codes, exactdup, langid, mixing, neardup, pii, rules, secretscan, substrings, tokenfile, toxicity, trie
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +94,10 @@ def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_hits")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     found, books = codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
@@ -101,7 +105,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_quality_rules, op2_language_id, op3_bpe_round_trip, op4_near_dedup, op5_exact_dedup, op6_mixing, op7_repeated_substrings, op8_secret_scan, op9_pseudonyms, op10_token_files, op11_toxicity, op13_vector_codes, quality_rule_ablations]
+    found = [op1_quality_rules, op2_language_id, op3_bpe_round_trip, op4_near_dedup, op5_exact_dedup, op6_mixing, op7_repeated_substrings, op8_secret_scan, op9_pseudonyms, op10_token_files, op11_toxicity, op12_prefix_trie, op13_vector_codes, quality_rule_ablations]
     return {f.__name__: f for f in found}
 
 
@@ -148,6 +152,21 @@ ORACLE["quality_rule_ablations"] = f"""
 SELECT rule, count(*) FILTER (fail_bits & m <> 0) AS n_failed, count(*) FILTER (fail_bits = m) AS n_failed_alone, count(*) FILTER (fail_bits & (127 - m) = 0) AS n_kept_without, count(*) FILTER (fail_bits = 0) AS n_kept
 FROM ({ORACLE['op1_quality_rules']}) l, (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('capitals', 8), ('stutter', 16), ('repeated_lines', 32), ('word_length', 64)) r(rule, m) GROUP BY rule"""
 
+# crc32 bit by bit over the digits of the id; a node is the list of its turns, as text
+ORACLE["op12_prefix_trie"] = rf"""
+WITH own AS (SELECT conv_id AS c, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS l FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+bits AS (SELECT c, l, list_transform(generate_series(0, 8 * length(CAST(c AS VARCHAR)) - 1), lambda i: CAST((ascii(substr(CAST(c AS VARCHAR), i // 8 + 1, 1)) >> (i % 8)) & 1 AS BIGINT)) AS b FROM own),
+crc AS (SELECT c, l, xor(list_reduce(list_concat([4294967295::BIGINT], b), lambda x, y: xor(x >> 1, (xor(x, y) & 1) * 3988292384)), 4294967295) % 4 AS h FROM bits),
+conv AS MATERIALIZED (SELECT k.c, list_concat(list_slice(coalesce(o.l, []), 1, h), list_slice(k.l, h + 1, len(k.l))) AS l FROM crc k LEFT JOIN own o ON o.c = k.c - k.c % 20),
+steps AS MATERIALIZED (SELECT c, d, len(l) AS n, md5(CAST(list_transform(list_slice(l, 1, d), lambda x: md5(x.r) || md5(x.t)) AS VARCHAR)) AS p, CASE WHEN d > 0 THEN md5(CAST(list_transform(list_slice(l, 1, d - 1), lambda x: md5(x.r) || md5(x.t)) AS VARCHAR)) END AS up,
+  CASE WHEN d > 0 THEN CAST(len(list_filter(regexp_split_to_array(l[d].t, '{_SPACES}'), lambda x: x <> '')) AS BIGINT) ELSE 0 END AS words FROM conv, unnest(generate_series(0, len(l))) g(d)),
+node AS MATERIALIZED (SELECT p, d, any_value(up) AS up, min(c) AS conv_id, count(*) AS n_convs, any_value(words) AS words, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (d = n), '')) AS ends FROM steps GROUP BY 1, 2),
+kids AS (SELECT up AS p, count(*) AS k FROM node WHERE d > 0 GROUP BY 1),
+full_node AS (SELECT node.*, coalesce(k, 0) AS k FROM node LEFT JOIN kids USING (p)),
+below AS (SELECT DISTINCT a.p AS top, b.p AS p FROM steps a JOIN steps b ON a.c = b.c AND a.d <= b.d),
+sums AS (SELECT top AS p, CAST(count(*) FILTER (k = 0) AS BIGINT) AS n_leaves, CAST(sum((n_convs - 1) * words) AS BIGINT) AS saved FROM below JOIN full_node USING (p) GROUP BY 1)
+SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, f.n_convs, f.k AS n_children, n_leaves, saved AS saved_tokens, f.ends AS ends_sha256 FROM full_node f JOIN sums USING (p) LEFT JOIN node u ON u.p = f.up"""
+
 
 def _vector_codes_sql() -> str:
     """The rounds of k-means one after another, each as a table of assignments and one of entries."""

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import scratch, stored
 
 #: What a look-alike may stand for.
 LOOK_ALIKES = {
@@ -304,6 +304,11 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) ->
     class at most, those with the least hashes.  A row with several labels is toxic if one says so; null
     labels and ids teach nothing.  Without toxic or without other rows no word has a weight.
     """
+    with scratch():
+        return _fitted(docs, labels, max_docs)
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, max_docs: int) -> Model:
     spark = docs.sparkSession
     letters = language_model(docs)
     shared = spark.sparkContext.broadcast(letters)
