@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.keyed import Commit, KeyedTable
+
 KEY = ["lake_id", "captured_at", "source"]
 #: Fixed values, in days.
 LOOKBACK, STALE_AFTER = 548, 60
 
+#: Fixed value: why a lake of the registry has no results.
+NOT_SEEDED = "lake not seeded in DB"
+
 
 def new_rows(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """Rows of ``incoming`` whose key is not there yet; of a repeated key the least scene_id."""
@@ -24,19 +28,17 @@ def identified(rows: DataFrame, run_id: str) -> DataFrame:
     return rows.withColumns({"row_id": F.expr("uuid()"), "run_id": F.lit(run_id)})
 
 
-def existing(path: str, like: DataFrame) -> DataFrame:
-    """The table at ``path``; if there is none yet, an empty one with the columns of ``like``."""
-    try:
-        return like.sparkSession.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return like.sparkSession.createDataFrame([], like.schema)
+def table(spark: SparkSession, path: str, scene_id: str = "long") -> KeyedTable:
+    """The observation table at ``path``: one row a lake, day and source, whoever appends first.  Its columns
+    are fixed, whatever the first rows had; ``scene_id`` is the type of the scenes' ids."""
+    schema = f"lake_id long, captured_at date, source string, scene_id {scene_id}, area_km2 double, cloud_fraction double, row_id string, run_id string"
+    return KeyedTable(spark, path, schema, KEY, order="scene_id", pruned="captured_at")
 
 
-def append(incoming: DataFrame, path: str) -> None:
-    """Append what is new to the Parquet table at ``path``; one writer at a time is assumed."""
-    new_rows(incoming, existing(path, incoming)).write.mode("append").parquet(path)
+def append(incoming: DataFrame, path: str, run_id: str | None = None) -> Commit:
+    """Append what is new to the table at ``path``; other writers may append at the same time."""
+    rows = identified(incoming, run_id) if run_id else incoming
+    return table(incoming.sparkSession, path, incoming.schema["scene_id"].dataType.simpleString()).append(rows)
 
 
 def stale(last: Column, now: Column) -> Column:
@@ -61,4 +63,4 @@ def lookback(observations: DataFrame, as_of: str, strict: bool = False) -> DataF
 def seeded(registry: DataFrame, lakes: DataFrame) -> DataFrame:
     """``registry`` (slug, ordinal) with lake_id, or an error text for a lake that is not there."""
     joined = registry.join(lakes.select("slug", "lake_id"), "slug", "left")
-    return joined.withColumn("error", F.when(F.col("lake_id").isNull(), F.lit("lake not seeded in DB")))
+    return joined.withColumn("error", F.when(F.col("lake_id").isNull(), F.lit(NOT_SEEDED)))

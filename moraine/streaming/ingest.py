@@ -12,11 +12,15 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import observations, scenes
 
 
-def ingest(stream: DataFrame, table: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """``stream``: scenes with an explicit schema; ``table``: Parquet path of the observations."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        observations.append(scenes.first_of_day(scenes.searched(batch)), table)
+def ingest(stream: DataFrame, table: str, checkpoint: str, once: bool = True, pixels: DataFrame | None = None) -> StreamingQuery:
+    """``stream``: scenes with an explicit schema, which have area_km2 and cloud_fraction unless ``pixels``
+    are given to take them from; ``table``: path of the observations.  Each row says which batch wrote it."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        found = scenes.searched(batch)
+        if pixels is not None:
+            found = scenes.processed(found, pixels.join(found.select("scene_id").distinct(), "scene_id", "left_semi"))
+        observations.append(scenes.first_of_day(found), table, f"stream-{number}")
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

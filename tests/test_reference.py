@@ -190,12 +190,12 @@ def test_backfill_and_append_and_stream(spark, tmp_path):
     table = str(tmp_path / "obs")
     for _ in range(2):
         ob.append(new, table)
-    assert spark.read.parquet(table).count() == 2
+    assert ob.table(spark, table).read().count() == 2
     df.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     for _ in range(2):
         ingest(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    assert {r["scene_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {0, 2}
+    assert {r["scene_id"] for r in ob.table(spark, str(tmp_path / "out")).read().collect()} == {0, 2}
 
 
 STATIC = "lake_id long, dam_type string, glacier_contact boolean, historical_glof boolean"
@@ -280,7 +280,7 @@ def test_single_lake_run(spark):
 def test_daily_job(spark, tmp_path):
     registry, lakes, static, _, slope, _ = hazard_tables(spark)
     df = scenes(spark, ("2026-06-01T05:00", 5.0, 0.1), ("2026-07-01T05:00", 5.0, 0.9)).withColumn("area_km2", F.lit(1.0))
-    run = lambda now, df=df: runs.run_daily(registry, lakes, static, df, str(tmp_path / "obs"), slope, now[:10], now)
+    run = lambda now, df=df: runs.run_daily(registry, lakes, static, df, ob.table(spark, str(tmp_path / "obs")), slope, now[:10], now)
     results, scored = run("2026-06-02 00:00:00")
     assert [(r["observations_written"], r["stale"]) for r in results.orderBy("ordinal").collect()] == [(1, False), (0, True), (0, True), (0, True), (0, True)]
     assert {r["slug"]: r["score"] is not None for r in scored.collect()} == {"a": True, "b": True, "c": False, "d": False, "e": False}
@@ -288,7 +288,7 @@ def test_daily_job(spark, tmp_path):
     grown = scenes(spark, ("2026-07-01T05:00", 5.0, 0.1)).withColumn("area_km2", F.lit(2.0))
     scored = {r["slug"]: r for r in run("2026-07-01 00:00:00", grown)[1].collect()}
     assert json.loads(scored["a"]["components"])["raw_inputs"]["growth_30d_pct"] == 1.0
-    assert spark.read.parquet(str(tmp_path / "obs")).count() == 2
+    assert ob.table(spark, str(tmp_path / "obs")).read().count() == 2
 
 
 def test_search_of_some_lakes(spark):
