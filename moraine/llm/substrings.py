@@ -16,8 +16,9 @@ first ``length`` bytes with a neighbour, so suffixes that can't are discarded on
 Texts travel packed into blocks; other steps exchange sorted names and bits.  Identical texts are one
 class: of a class with two members every byte goes, if there are ``length``.
 In step 2 a name has 64 bits, and two strings with one name only leave more positions to step 4.
-There a name has 96, of two independent fingerprints: among w remaining positions two different
-strings are taken for equal with odds of w ** 2 / 2 ** 97, which is 6e-4 for 10 ** 13 of them.
+There a name has 31 more, of a polynomial over a prime field: two different strings agree in these
+with odds of ``length`` / 2 ** 31 at most, in the 64 with odds of about 2 ** -64 unless they are built
+against it, so among w remaining positions two are taken for equal with odds of about w ** 2 / 2 ** 88.
 
 Scale: ranges hold RANGE_NAMES names each, so their number grows with the input, and so does what a
 block sends out for each range.  Beyond some 2 TB a block of BLOCK_BYTES has fewer names than there are
@@ -69,9 +70,44 @@ def fingerprints(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     return _polynomials(data, at, length, _BYTE)
 
 
+#: The field of the second names, and the multiplier in it.
+_PRIME = (1 << 31) - 1
+_BASE = int(_rng.integers(1 << 20, _PRIME - 1))
+_FIELD: list[np.ndarray] = []
+
+
+def _field(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """_BASE**i and _BASE**-i modulo _PRIME for i < n."""
+    if not _FIELD or len(_FIELD[0]) < n:
+        _FIELD.clear()
+        for base in (_BASE, pow(_BASE, -1, _PRIME)):
+            out = np.ones(n, np.uint64)
+            k = 1
+            while k < n:  # the first k give the next k
+                m = min(k, n - k)
+                out[k : k + m] = out[:m] * np.uint64(pow(base, k, _PRIME)) % np.uint64(_PRIME)
+                k += m
+            _FIELD.append(out)
+    return _FIELD[0], _FIELD[1]
+
+
 def checks(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """32 bits more of the same strings, independent of :func:`fingerprints`."""
-    return (_polynomials(data, at, length, _BYTE2) >> np.uint64(32)).astype(np.uint32)
+    """31 bits more of the same strings: a polynomial over a prime field.  :func:`fingerprints` are
+    polynomials modulo 2**64, which for some pairs of strings (a Thue-Morse word and its complement)
+    agree whatever the multiplier is."""
+    (up, down), prime = _field(STEP + 4096), np.uint64(_PRIME)
+    out = np.empty(len(at), np.uint32)
+    weights = _BYTE2 % prime
+    for a in range(0, len(data), STEP):
+        lo, hi = np.searchsorted(at, [a, a + STEP])
+        if lo < hi:
+            part = weights[data[a : a + STEP + length]]
+            part *= up[: len(part)]
+            part %= prime
+            run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(part, dtype=np.uint64)))  # below 2**53
+            p = at[lo:hi] - a
+            out[lo:hi] = (run[p + length] - run[p]) % prime * down[p] % prime
+    return out
 
 
 class Block:
