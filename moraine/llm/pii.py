@@ -145,11 +145,7 @@ class Pseudonyms:
         if kind == "date":
             return self._date(text)
         if kind == "ip":
-            octets = [int(x) for x in text.split(".")]
-            if any(x > 255 for x in octets):
-                return None
-            x = self.permutation("ip", 1 << 32)(int.from_bytes(bytes(octets), "big"), None, self.undo)
-            return ".".join(map(str, x.to_bytes(4, "big")))
+            return self._address(text)
         if kind == "ssn":
             valid = lambda d: d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
             return self._fill(text, self._digits("ssn", digits, valid)) if valid(digits) else None
@@ -160,7 +156,8 @@ class Pseudonyms:
             return self._fill(text, digits[:code] + self._digits(f"phone{real}", digits[code:], lambda d: valid(d) == real))
         if kind == "iban":
             compact = text.replace(" ", "")
-            if _iban_left(compact) != 1:
+            # 00, 01 and 99 have the remainder of 97, 98 and 02: only these are ever given
+            if _iban_left(compact) != 1 or not 2 <= int(compact[2:4]) <= 98:
                 return None
             body = compact[4:]
             new = self._fill_body(body)
@@ -170,6 +167,24 @@ class Pseudonyms:
         local, _, domain = text.partition("@")
         return f"{self._fill_body(local)}@{domain}"
 
+    def _address(self, text: str) -> str | None:
+        """Within the addresses whose parts have as many digits each, so that what stands next to one
+        meets as many digits before and after."""
+        parts = text.split(".")
+        octets = [int(x) for x in parts]
+        if any(x > 255 or str(x) != p for x, p in zip(octets, parts)):
+            return None
+        first, size = (0, 10, 100), (10, 90, 156)
+        x, total = 0, 1
+        for octet, p in zip(octets, parts):
+            x, total = x * size[len(p) - 1] + octet - first[len(p) - 1], total * size[len(p) - 1]
+        x = self.permutation(f"ip{[len(p) for p in parts]}", total)(x, None, self.undo)
+        out = []
+        for p in reversed(parts):
+            x, rest = divmod(x, size[len(p) - 1])
+            out.append(str(rest + first[len(p) - 1]))
+        return ".".join(reversed(out))
+
     def _date(self, text: str) -> str | None:
         """Within the dates that are written in the same format: order, separator and padding."""
         parts = re.split(r"[./-]", text)
