@@ -31,8 +31,9 @@ UNKNOWN = "und"
 #: A language is told if the n-grams are likelier under it than by chance (one bucket in BUCKETS), and
 #: than under the next language by this much (natural logarithm) for each n-gram.
 MIN_MARGIN = 0.25
-#: Texts with fewer n-grams (200 characters) say too little to be held for a mixture of languages.
-SHORT = 600
+#: How far a margin that is too small must lie below that to count: so many standard deviations of the mean
+#: over a text's n-grams, of which every len(ORDERS)-th tells something of its own.
+SIGMAS, DEVIATION = 3.0, 1.5
 
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
 
@@ -232,14 +233,15 @@ def known_language(docs: DataFrame, min_margin: float = MIN_MARGIN) -> DataFrame
     Rejected: null texts and texts without a letter; texts that are no likelier under the best
     language than by chance, as in another script or noise; and those between two languages, where
     the best is not likelier than the next by ``min_margin`` for each n-gram.  Both count by n-gram,
-    so a long text is judged as a short one; under SHORT n-grams the second rule does not hold, as a
-    few numbers or a license line then outweigh the words.  Where no row has a label, there is nothing to reject by
-    but the letters.  Only the text goes to Python; other columns may have any name.
+    so a long text is judged as a short one, but what a few n-grams say is less certain: a text goes
+    only if its margin is too small by SIGMAS standard deviations, which shrink as the root of the
+    number of n-grams.  Where no row has a label, there is nothing to reject by but the letters.  Only the text goes to Python; other columns may have any name.
     """
     name = free_name(docs, "_scored")
     model = train(docs.filter(~held_out(F.col("doc_id"))))
     lettered = docs.filter(F.col("text").rlike(r"\p{L}"))
     found = _scored(lettered, model, name)
     x = F.col(name)
-    told = (x["top"] > -x["n"] * float(np.log(BUCKETS))) & ((x["n"] < SHORT) | (x["top"] - x["second"] >= F.lit(min_margin) * x["n"]))
+    error = F.lit(SIGMAS * DEVIATION * float(np.sqrt(len(ORDERS)))) * F.sqrt(x["n"])
+    told = (x["top"] > -x["n"] * float(np.log(BUCKETS))) & (x["top"] - x["second"] >= F.lit(min_margin) * x["n"] - error)
     return found.filter(x.isNull() | told).drop(name)

@@ -112,8 +112,10 @@ def _plan(sized: DataFrame, weights: tuple[float, ...], share: float, most: floa
     plan = stored(plan.withColumn("budget", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))), "mix-plan")
     cuts = stored(_cuts(sized, stored(plan.filter("source_size > 0").select("source", "budget"), "mix-budgets")), "mix-cuts")
     p, c = plan.alias("p"), cuts.alias("c")
+    # a source at its cap has no budget left: no document of it is taken once more, with or without words
+    cut = F.when(F.col("p.budget") > 0, F.coalesce("c.cut", F.lit(0))).otherwise(F.lit(0).cast("long"))
     return stored(
-        p.join(c, F.col("p.source").eqNullSafe(F.col("c.source")), "left").select("p.source", "p.source_size", "p.target", "p.whole", F.coalesce("c.cut", F.lit(0)).alias("cut")),
+        p.join(c, F.col("p.source").eqNullSafe(F.col("c.source")), "left").select("p.source", "p.source_size", "p.target", "p.whole", cut.alias("cut")),
         "mix-cut-plan",
     )
 
