@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, pixels as px, risk
-from ..operators import features, hazard, observations as ob, scenes as sc, terrain
+from ..operators import asof, features, hazard, observations as ob, scenes as sc, terrain
 from ..sources import stand_in as src
+from ..sources.scratch import Scratch
 from . import runs
 
 AS_OF, NOW = src.AS_OF, src.NOW
@@ -221,10 +222,46 @@ def scene_processing(s: SparkSession, d: str) -> DataFrame:
     return done.select("scene_id", _r("area_km2").alias("area_km2"), _r("cloud_fraction").alias("cloud_fraction"), sc.is_usable(F.col("cloud_fraction")).alias("accepted"))
 
 
+def backfill_rows(s: SparkSession, d: str) -> DataFrame:
+    """What a backfill of all days writes: orders as scenes of their customers, with what their pixels gave."""
+    every = sc.processed(src.order_scenes(s, d), src.pixels(s, d))
+    registry, lakes, _ = src.customer_lakes(s, d)
+    none = s.createDataFrame([], "lake_id long, captured_at date, source string")
+    rows, _ = runs.run_backfill(registry, lakes, every, none, "1900-01-01", "2100-01-01", run="backfill")
+    return rows.select("lake_id", "captured_at", "source", "scene_id", _r("area_km2").alias("area_km2"), _r("cloud_fraction").alias("cloud_fraction"), F.col("row_id").isNotNull().alias("has_id"), "run_id")
+
+
+def latest_from_pixels(s: SparkSession, d: str) -> DataFrame:
+    """The newest usable scene of each customer, whose orders are scenes: pixels are read wave by wave."""
+    found = sc.latest_in_waves(src.order_scenes(s, d), src.pixels(s, d), Scratch(s, "waves"))
+    return found.select("lake_id", "scene_id", "scenes_checked", _r("area_km2").alias("area_km2"), _r("cloud_fraction").alias("cloud_fraction"), "error")
+
+
+def run_latest_with_faults(s: SparkSession, d: str) -> DataFrame:
+    """Scenes and pixels as text, some malformed: error rows of their lakes, results of the others."""
+    raw, bands = src.raw_scenes(s, d)
+    every = sc.processed(sc.checked(raw), bands)
+    registry = src.table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("slug"), F.col("c_custkey").alias("ordinal"))
+    lakes = registry.select("slug", F.col("ordinal").alias("lake_id"))
+    none = s.createDataFrame([], "lake_id long, captured_at date, source string")
+    _, results = runs.run_latest(registry, lakes, every, none, NOW)
+    return results
+
+
+def growth_history(s: SparkSession, d: str) -> DataFrame:
+    """Features of every lake on every day from its first observation to its last, as seen on that day."""
+    seen = src.observations(s, d)
+    ends = seen.groupBy("lake_id").agg(F.min("captured_at").alias("first"), F.max("captured_at").alias("last"))
+    asked = ends.select("lake_id", F.explode(F.sequence("first", "last")).alias("as_of"))
+    found = asof.history(seen, asked)
+    return found.select("lake_id", "as_of", "latest_at", _r("latest_km2").alias("latest_km2"), *[_r(f"growth_{w}").alias(f"growth_{w}") for w in features.WINDOWS], _r("anomaly").alias("anomaly"))
+
+
 QUERIES = {f.__name__: f for f in (
     water_index, usable_mask_counts, encoded_dn, scene_water_area, scene_candidates_top12, scenes_in_range, latest_usable_scene, observation_dedupe, observation_new_rows, lake_staleness, lake_seed_check,
     obs_lookback, latest_as_of, nearest_within_15d, growth_30_90, seasonal_anomaly, dam_type_risk, normalized_risks, hazard_score_tier, hazard_components, terrain_slope, pixel_metres, exposure_population,
-    aoi_bbox_grid, band_align_upsample, bbox_candidates, run_summary, run_latest, run_hazard, score_reports, lake_elevation, scene_processing,
+    aoi_bbox_grid, band_align_upsample, bbox_candidates, run_summary, run_latest, run_hazard, score_reports, lake_elevation, scene_processing, backfill_rows,
+    latest_from_pixels, run_latest_with_faults, growth_history,
 )}
 
 PIXELS = "px AS (SELECT l_orderkey AS scene_id, CAST(l_quantity * 200 AS FLOAT) AS g, CAST(l_extendedprice / 10 AS FLOAT) AS n, l_quantity * 200 AS green, l_extendedprice / 10 AS nir, l_linenumber + 4 AS scl FROM lineitem)"
@@ -319,3 +356,24 @@ SELECT lake_id, row, col, round(arg_min(z, tile), 6) AS z FROM i GROUP BY 1, 2,
     "scene_processing": f"WITH {PIXELS}, m AS (SELECT scene_id, scl NOT IN (3, 8, 9, 10) AS ok, {INDEX} AS i FROM px), a AS (SELECT o_orderkey AS scene_id, coalesce(count(*) FILTER (ok AND i > 0), 0) * 100 / 1e6 AS area, CASE WHEN count(m.scene_id) = 0 THEN 1 ELSE CAST(count(*) FILTER (NOT ok) AS DOUBLE) / count(m.scene_id) END AS cf FROM orders LEFT JOIN m ON m.scene_id = o_orderkey GROUP BY 1) SELECT scene_id, round(CAST(area AS DOUBLE), 6) AS area_km2, round(CAST(cf AS DOUBLE), 6) AS cloud_fraction, cf <= 0.5 AS accepted FROM a",
 }
 ORACLE["score_reports"] = f"""SELECT CAST(lake_id AS VARCHAR) AS "lakeId", 'hazard-1' AS "runId", score, tier, '2001-08-02T00:00:00+00:00' AS "computedAt", '{AS_OF}' AS as_of FROM ({ORACLE['run_hazard']}) WHERE computed"""
+
+ORDER_SCENES = f"""{PIXELS}, m AS (SELECT scene_id, scl NOT IN (3, 8, 9, 10) AS ok, {INDEX} AS i, scene_id % 101 = 0 AND scl = 5 AS broken FROM px), a AS (SELECT scene_id, count(*) FILTER (ok AND i > 0 {{ok}}) * 100 / 1e6 AS area, CAST(count(*) FILTER (NOT ok) AS DOUBLE) / count(*) AS cf, count(*) FILTER (broken) AS n_broken FROM m GROUP BY 1),
+scenes AS (SELECT o_custkey AS lake_id, o_orderkey AS scene_id, o_orderdate AS acquired_at, o_orderpriority AS source, o_orderkey % 100 AS pct, coalesce(area, 0) AS area, coalesce(cf, 1) AS cf, coalesce(n_broken, 0) AS n_broken FROM orders LEFT JOIN a ON scene_id = o_orderkey)"""
+PLAIN = ORDER_SCENES.format(ok="")
+RANKED = "ranked AS (SELECT *, row_number() OVER (PARTITION BY lake_id ORDER BY acquired_at DESC, scene_id DESC) AS rank FROM scenes WHERE pct < 80 {more}), cand AS (SELECT * FROM ranked WHERE rank <= 12)"
+ORACLE["backfill_rows"] = f"""WITH {CUSTOMER_LAKES}, {PLAIN}, k AS (SELECT *, row_number() OVER (PARTITION BY lake_id, CAST(acquired_at AS DATE), source ORDER BY acquired_at DESC, scene_id DESC) AS w FROM scenes WHERE pct < 80 AND cf <= 0.5 AND lake_id IN (SELECT lake_id FROM seeded))
+SELECT lake_id, CAST(acquired_at AS DATE) AS captured_at, source, scene_id, round(CAST(area AS DOUBLE), 6) AS area_km2, round(CAST(cf AS DOUBLE), 6) AS cloud_fraction, true AS has_id, 'backfill' AS run_id FROM k WHERE w = 1"""
+ORACLE["latest_from_pixels"] = f"""WITH {PLAIN}, {RANKED.format(more='')} SELECT lake_id, arg_min(scene_id, rank) FILTER (cf <= 0.5) AS scene_id, coalesce(min(rank) FILTER (cf <= 0.5), count(*)) AS scenes_checked,
+round(CAST(arg_min(area, rank) FILTER (cf <= 0.5) AS DOUBLE), 6) AS area_km2, round(CAST(arg_min(cf, rank) FILTER (cf <= 0.5) AS DOUBLE), 6) AS cloud_fraction, CAST(NULL AS VARCHAR) AS error FROM cand GROUP BY 1"""
+ORACLE["run_latest_with_faults"] = f"""WITH {ORDER_SCENES.format(ok='AND NOT broken')}, {RANKED.format(more='AND scene_id % 211 <> 0 AND scene_id % 307 <> 0')},
+lost AS (SELECT lake_id, min(CASE WHEN scene_id % 211 = 0 THEN 'malformed acquired_at: no date' ELSE 'malformed cloud_cover_pct: cloudy' END) AS error FROM scenes WHERE scene_id % 211 = 0 OR scene_id % 307 = 0 GROUP BY 1),
+stop AS (SELECT lake_id, coalesce(min(rank) FILTER (cf <= 0.5 OR n_broken > 0), count(*)) AS n, arg_min(n_broken, rank) FILTER (cf <= 0.5 OR n_broken > 0) AS b, CAST(arg_min(acquired_at, rank) FILTER (cf <= 0.5 OR n_broken > 0) AS DATE) AS d FROM cand GROUP BY 1)
+SELECT c_custkey AS ordinal, CAST(c_custkey AS VARCHAR) AS slug, CAST(CASE WHEN l.lake_id IS NULL AND b = 0 THEN 1 ELSE 0 END AS BIGINT) AS observations_written, CASE WHEN l.lake_id IS NULL THEN coalesce(n, 0) ELSE 0 END AS scenes_checked,
+coalesce(l.error, CASE WHEN b > 0 THEN 'malformed pixels: ' || b END) AS error, l.lake_id IS NOT NULL OR b IS NULL OR b > 0 OR TIMESTAMP '2001-08-02' - CAST(d AS TIMESTAMP) > INTERVAL 60 DAY AS stale
+FROM customer LEFT JOIN lost l ON l.lake_id = c_custkey LEFT JOIN stop ON stop.lake_id = c_custkey"""
+_SINCE = "o.day BETWEEN q.as_of - 548 AND q.as_of"
+_NEAREST = "arg_min(o.area, abs(o.day - (q.as_of - {w})) * 2 + CASE WHEN o.day > q.as_of - {w} THEN 1 ELSE 0 END) FILTER (abs(o.day - (q.as_of - {w})) <= 15)"
+ORACLE["growth_history"] = f"""WITH {OBS}, d AS (SELECT lake_id, captured_at AS day, arg_min(area, source) AS area FROM obs GROUP BY 1, 2), q AS (SELECT lake_id, CAST(unnest(generate_series(min(captured_at), max(captured_at), INTERVAL 1 DAY)) AS DATE) AS as_of FROM obs GROUP BY 1),
+f AS (SELECT q.lake_id, q.as_of, max(o.day) AS latest_at, arg_max(o.area, o.day) AS area, {_NEAREST.format(w=30)} AS a30, {_NEAREST.format(w=90)} AS a90 FROM q LEFT JOIN d o ON o.lake_id = q.lake_id AND {_SINCE} GROUP BY 1, 2),
+m AS (SELECT f.lake_id, f.as_of, avg(o.area) AS base FROM f JOIN obs o ON o.lake_id = f.lake_id AND o.captured_at BETWEEN f.as_of - 548 AND f.as_of AND month(o.captured_at) = month(f.latest_at) AND year(o.captured_at) <> year(f.latest_at) GROUP BY 1, 2)
+SELECT lake_id, as_of, latest_at, round(area, 6) AS latest_km2, round(CASE WHEN a30 <> 0 THEN (area - a30) / a30 END, 6) AS growth_30, round(CASE WHEN a90 <> 0 THEN (area - a90) / a90 END, 6) AS growth_90, round(CASE WHEN base <> 0 THEN (area - base) / base END, 6) AS anomaly FROM f LEFT JOIN m USING (lake_id, as_of)"""

@@ -42,6 +42,30 @@ def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def order_scenes(spark: SparkSession, sf_dir: str, lake: str = "o_custkey") -> DataFrame:
+    """Orders as scenes of their customers, whose pixels are their lines: cloud and water are not known yet."""
+    return table(spark, sf_dir, "orders").select(
+        F.col(lake).cast("long").alias("lake_id"), F.col("o_orderkey").alias("scene_id"), F.col("o_orderdate").cast("timestamp_ntz").alias("acquired_at"),
+        F.col("o_orderpriority").alias("source"), (F.col("o_orderkey") % 100).cast("double").alias("cloud_cover_pct"),
+    )
+
+
+def raw_scenes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """:func:`order_scenes` and their pixels as text, of which some are malformed: a date of each 211 orders, a
+    cloud figure of each 307, a pixel of each 101 orders' first line."""
+    key = F.col("scene_id")
+    raw = order_scenes(spark, sf_dir).withColumns({
+        "acquired_at": F.when(key % 211 == 0, F.lit("no date")).otherwise(F.col("acquired_at").cast("string")),
+        "cloud_cover_pct": F.when(key % 307 == 0, F.lit("cloudy")).otherwise(F.col("cloud_cover_pct").cast("string")),
+    })
+    broken = (F.col("l_orderkey") % 101 == 0) & (F.col("l_linenumber") == 1)
+    bands = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("scene_id"), F.when(broken, F.lit("-")).otherwise((F.col("l_quantity") * 200).cast("string")).alias("green"),
+        (F.col("l_extendedprice") / 10).cast("string").alias("nir"), (F.col("l_linenumber") + 4).alias("scene_class"),
+    )
+    return raw, bands
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("scene_id"), (F.col("l_quantity") * 200).alias("green"), (F.col("l_extendedprice") / 10).alias("nir"), (F.col("l_linenumber") + 4).alias("scene_class"))
 
