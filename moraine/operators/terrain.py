@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..sources.keyed import KeyedTable
 
 #: The population product and the radius of the buffer.
 POPULATION_SOURCE, BUFFER_KM = "worldpop_pak_2025_constrained_100m", 5.0
@@ -34,58 +34,170 @@ def mosaic(tiles: DataFrame) -> DataFrame:
     return tiles.groupBy("lake_id", "row", "col").agg(F.min(F.struct("tile", "z")).alias("t")).select("lake_id", "row", "col", F.col("t.z").alias("z"))
 
 
-def tiles_of(lakes: DataFrame, tiles: DataFrame, size: float) -> DataFrame:
-    """(lake_id, tile): the elevation tiles (tile, box) that overlap a lake's box, each once.  Boxes meet
-    in the grid cells that both overlap."""
-    a = boxes_to_cells(lakes.select("lake_id", "box"), size)
-    b = boxes_to_cells(tiles.select("tile", F.col("box").alias("other")), size, "other")
-    return a.join(b, ["cx", "cy"]).filter(geo.intersects(F.col("box"), F.col("other"))).select("lake_id", "tile").distinct()
+def tiles_of(lakes: DataFrame, tiles: DataFrame) -> DataFrame:
+    """(lake_id, tile): the elevation tiles (tile, box) that overlap a lake's box, each once."""
+    return boxes_meet(lakes.select("lake_id", "box"), tiles.select("tile", F.col("box").alias("other"))).select("lake_id", "tile")
 
 
-def lake_elevation(lakes: DataFrame, tiles: DataFrame, cells: DataFrame, step: float, size: float) -> DataFrame:
+def lake_elevation(lakes: DataFrame, tiles: DataFrame, cells: DataFrame, step: float) -> DataFrame:
     """(lake_id, row, col, z): elevation in each lake's box (lake_id, box), cut from the cells (tile, lon,
     lat, z) of the tiles that overlap it; where tiles overlap, the first tile's value counts.  A lake
     that no tile covers has no rows, and so an error row in the hazard pass."""
-    inside = tiles_of(lakes, tiles, size).join(cells, "tile").join(lakes.select("lake_id", "box"), "lake_id").filter(geo.contains(F.col("box"), F.col("lon"), F.col("lat")))
+    inside = tiles_of(lakes, tiles).join(cells, "tile").join(lakes.select("lake_id", "box"), "lake_id").filter(geo.contains(F.col("box"), F.col("lon"), F.col("lat")))
     # rows from north to south
     return mosaic(inside.select("lake_id", "tile", (-geo.cell(F.col("lat"), step)).alias("row"), geo.cell(F.col("lon"), step).alias("col"), "z"))
 
 
-def remembered(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table at ``path``, made by ``make`` and written there the first time: terrain does not change,
-    so its slope is computed once and not for each run."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-    make().write.parquet(path)
-    return spark.read.parquet(path)
+def box_key(box: Column) -> Column:
+    """A box as text, to about 0.1 m: what is remembered of it is found again by this."""
+    return F.format_string("%.6f %.6f %.6f %.6f", *[box[x].cast("double") for x in ("west", "south", "east", "north")])
 
 
-def with_cell(df: DataFrame, lon: str, lat: str, size: float) -> DataFrame:
-    """Adds the grid cell (cx, cy) that a point falls in."""
-    return df.withColumns({"cx": F.floor(F.col(lon) / size).cast("int"), "cy": F.floor(F.col(lat) / size).cast("int")})
+def slope_memo(spark: SparkSession, path: str) -> KeyedTable:
+    return KeyedTable(spark, path, "box_key string, slope_degrees double", ["box_key"])
 
 
-def boxes_to_cells(boxes: DataFrame, size: float, box: str = "box") -> DataFrame:
-    """One row for each grid cell that ``box`` overlaps: turns a range join into an equi-join."""
-    span = lambda a, b: F.sequence(F.floor(F.col(f"{box}.{a}") / size).cast("int"), F.floor(F.col(f"{box}.{b}") / size).cast("int"))
+def remembered(lakes: DataFrame, memo: KeyedTable, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(lake_id, slope_degrees) of ``lakes`` (lake_id, box): from ``memo``, and for boxes that it does not have
+    from ``make``, which gets these alone as (lake_id, box) and gives (lake_id, slope_degrees).
+
+    Terrain does not change, so a slope is computed once for a box; a lake that comes later costs its own
+    tiles only.  A box without a slope is not remembered and asked for again.  Runs at the same time may
+    compute one twice; the first that is written stays.
+    """
+    keyed = lakes.select("lake_id", "box", box_key(F.col("box")).alias("box_key"))
+    missing = keyed.join(memo.read().select("box_key"), "box_key", "left_anti")
+    if not missing.isEmpty():
+        one = missing.groupBy("box_key").agg(F.min(F.struct("lake_id", "box")).alias("o")).select("box_key", "o.lake_id", "o.box")
+        made = make(one.select("lake_id", "box")).filter("slope_degrees is not null")
+        memo.append(made.join(one.select("lake_id", "box_key"), "lake_id"))
+    return keyed.join(memo.read(), "box_key", "left").select("lake_id", "slope_degrees")
+
+
+#: The finest level of the quadtree: cells of 360 / 2**24 degrees, 2 m.
+FINEST = 24
+
+
+def _side(level: Column) -> Column:
+    return F.lit(360.0) / F.pow(F.lit(2.0), level)
+
+
+def level_of(box: Column) -> Column:
+    """The finest level whose cells are no smaller than the box, which so overlaps 2 x 2 of them at most."""
+    widest = F.greatest(box["east"] - box["west"], box["north"] - box["south"])
+    return F.when(widest > 0, F.greatest(F.lit(0), F.least(F.lit(FINEST), F.floor(F.log2(F.lit(360.0) / widest))))).otherwise(F.lit(FINEST)).cast("int")
+
+
+def with_level_cell(df: DataFrame, lon: Column, lat: Column) -> DataFrame:
+    """Adds the cell (cx, cy) of ``level`` that a point falls in."""
+    return df.withColumns({"cx": F.floor(lon / _side(F.col("level"))).cast("int"), "cy": F.floor(lat / _side(F.col("level"))).cast("int")})
+
+
+def cover(boxes: DataFrame, box: str = "box") -> DataFrame:
+    """One row for each cell of ``level`` that ``box`` overlaps."""
+    side = _side(F.col("level"))
+    span = lambda a, b: F.sequence(F.floor(F.col(f"{box}.{a}") / side).cast("int"), F.floor(F.col(f"{box}.{b}") / side).cast("int"))
     return boxes.withColumn("cx", F.explode(span("west", "east"))).withColumn("cy", F.explode(span("south", "north")))
 
 
-def points_in_boxes(boxes: DataFrame, points: DataFrame, size: float) -> DataFrame:
-    """Range join of rows with a box with points (lon, lat): by grid cell, then exactly."""
-    joined = boxes_to_cells(boxes, size).join(with_cell(points, "lon", "lat", size), ["cx", "cy"])
-    return joined.filter(geo.contains(F.col("box"), F.col("lon"), F.col("lat"))).drop("cx", "cy")
+def _levels(boxes: DataFrame, box: str) -> list[int]:
+    """The levels that occur: FINEST + 1 at most."""
+    return sorted(r[0] for r in boxes.select(level_of(F.col(box)).alias("level")).distinct().collect())
+
+
+def points_in_boxes(boxes: DataFrame, points: DataFrame) -> DataFrame:
+    """Range join of rows with a box with points (lon, lat).
+
+    Boxes may have any size: each is 4 rows at most, of cells as large as itself, and a point one row
+    for each level that occurs among the boxes.  A point meets a box in one cell.
+    """
+    levels = F.array(*map(F.lit, _levels(boxes, "box"))).cast("array<int>")
+    placed = with_level_cell(points.withColumn("level", F.explode(levels)), F.col("lon"), F.col("lat"))
+    joined = cover(boxes.withColumn("level", level_of(F.col("box")))).join(placed, ["level", "cx", "cy"])
+    return joined.filter(geo.contains(F.col("box"), F.col("lon"), F.col("lat"))).drop("level", "cx", "cy")
+
+
+def boxes_meet(a: DataFrame, b: DataFrame, box: str = "box", other: str = "other") -> DataFrame:
+    """The pairs of rows of ``a`` with a ``box`` and of ``b`` with a box ``other`` that overlap, each once.
+
+    Two boxes are compared in cells of the larger one's level: each box is in cells of its own level and
+    of those coarser ones that the other side has, 4 of each at most.  Of the cells that two share, the
+    one with the south-west corner of what they share counts, so no pair has to be made distinct.
+    """
+
+    def placed(df: DataFrame, name: str, theirs: list[int], mine: str) -> DataFrame:
+        own = df.withColumn(mine, level_of(F.col(name)))
+        coarser = F.filter(F.array(*map(F.lit, theirs)).cast("array<int>"), lambda x: x < F.col(mine))
+        return cover(own.withColumn("level", F.explode(F.array_union(F.array(F.col(mine)), coarser))), name)
+
+    left, right = placed(a, box, _levels(b, other), "_own"), placed(b, other, _levels(a, box), "_their")
+    met = left.join(right, ["level", "cx", "cy"]).filter(F.col("level") == F.least("_own", "_their"))
+    met = met.filter(geo.intersects(F.col(box), F.col(other)))
+    side, corner = _side(F.col("level")), lambda x: F.greatest(F.col(f"{box}.{x}"), F.col(f"{other}.{x}"))
+    first = (F.floor(corner("west") / side).cast("int") == F.col("cx")) & (F.floor(corner("south") / side).cast("int") == F.col("cy"))
+    return met.filter(first).drop("level", "cx", "cy", "_own", "_their")
+
+
+#: Level of the zones by which a table of places is laid out (1.4 degrees), and of the order in them.
+ZONE_LEVEL, PLACE_LEVEL = 8, 16
+
+
+def place_key(lon: Column, lat: Column, level: int) -> Column:
+    """The place on a space-filling curve (Z order) over the cells of ``level``: near places have near keys."""
+    side = 360.0 / 2**level
+    x, y = F.floor((lon + 180.0) / side).cast("long"), F.floor((lat + 180.0) / side).cast("long")
+    key = F.lit(0).cast("long")
+    for i in range(level):
+        bit = lambda v: F.shiftright(v, i).bitwiseAND(F.lit(1).cast("long"))  # noqa: E731, B023
+        key = key.bitwiseOR(F.shiftleft(bit(x), 2 * i)).bitwiseOR(F.shiftleft(bit(y), 2 * i + 1))
+    return key
+
+
+def write_by_place(places: DataFrame, path: str) -> None:
+    """Write a table with lon, lat by zones, in files of near places: a zone is a folder, and one with many
+    rows has several files, cut along the curve."""
+    keyed = places.withColumns({"zone": place_key(F.col("lon"), F.col("lat"), ZONE_LEVEL), "place": place_key(F.col("lon"), F.col("lat"), PLACE_LEVEL)})
+    keyed.repartitionByRange("zone", "place").sortWithinPartitions("zone", "place").write.partitionBy("zone").parquet(path)
+
+
+def zones_of(box: Column) -> Column:
+    """The zones that a box overlaps, as an array."""
+    side = 360.0 / 2**ZONE_LEVEL
+    span = lambda a, b: F.sequence(F.floor((box[a] + 180.0) / side).cast("int"), F.floor((box[b] + 180.0) / side).cast("int"))
+    middle = lambda i: (i + 0.5) * side - 180.0
+    return F.flatten(F.transform(span("west", "east"), lambda x: F.transform(span("south", "north"), lambda y: place_key(middle(x), middle(y), ZONE_LEVEL))))
+
+
+#: Zones that a filter names, at most; boxes over more of them open all folders.
+NAMED_ZONES = 4096
+
+
+def _of_zones(places: DataFrame, zones: DataFrame) -> DataFrame:
+    """The folders of a table written by :func:`write_by_place` that some zones need: others are not opened."""
+    found = [r["zone"] for r in zones.distinct().limit(NAMED_ZONES + 1).collect()]
+    return places.filter(F.col("zone").isin(found)) if len(found) <= NAMED_ZONES else places
+
+
+def in_window(places: DataFrame, west: float, south: float, east: float, north: float) -> DataFrame:
+    """Rows of a table written by :func:`write_by_place` within a window: folders of other zones are not
+    opened, and row groups of other places are skipped by the ranges of lon and lat."""
+    box = F.struct(F.lit(west).alias("west"), F.lit(south).alias("south"), F.lit(east).alias("east"), F.lit(north).alias("north"))
+    near = _of_zones(places, places.sparkSession.range(1).select(F.explode(zones_of(box)).alias("zone")))
+    return near.filter(F.col("lon").between(west, east) & F.col("lat").between(south, north))
+
+
+def in_boxes_by_place(boxes: DataFrame, places: DataFrame) -> DataFrame:
+    """:func:`points_in_boxes` with a table written by :func:`write_by_place`: only the folders of zones that
+    ``boxes`` overlap are opened."""
+    return points_in_boxes(boxes, _of_zones(places, boxes.select(F.explode(zones_of(F.col("box"))).alias("zone"))))
 
 
-def exposure(lakes: DataFrame, population: DataFrame, radius_km: float, size: float) -> DataFrame:
+def exposure(lakes: DataFrame, population: DataFrame, radius_km: float) -> DataFrame:
     """lake_id, population: of cells in the buffer box; negative (no data) counts 0, no cells 0."""
     boxes = lakes.select("lake_id", geo.buffer_box(F.col("lon"), F.col("lat"), F.lit(radius_km)).alias("box"))
     # each place and each box once in the range join
     places = population.groupBy("lon", "lat").agg(F.sum(F.greatest(F.col("pop").cast("double"), F.lit(0.0))).alias("p"))
-    found = points_in_boxes(boxes.select("box").distinct(), places, size).groupBy("box").agg(F.sum("p").alias("p"))
+    found = points_in_boxes(boxes.select("box").distinct(), places).groupBy("box").agg(F.sum("p").alias("p"))
     return boxes.join(found, "box", "left").select("lake_id", F.coalesce("p", F.lit(0.0)).alias("population"))
 
 

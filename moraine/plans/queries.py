@@ -142,7 +142,7 @@ def pixel_metres(s: SparkSession, d: str) -> DataFrame:
 
 def exposure_population(s: SparkSession, d: str) -> DataFrame:
     lakes = src.placed(src.table(s, d, "embeddings").select(F.col("vec_id").alias("lake_id")), "lake_id")
-    found = terrain.exposure(lakes, src.population(s, d), 5.0, 0.1)
+    found = terrain.exposure(lakes, src.population(s, d), 5.0)
     return found.select("lake_id", _r("population", 3).alias("population"))
 
 
@@ -164,8 +164,28 @@ def bbox_candidates(s: SparkSession, d: str) -> DataFrame:
     half = F.lit(0.05)
     lakes = src.placed(src.table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("lake_id")), "lake_id").select("lake_id", geo.box(F.col("lon"), F.col("lat"), half).alias("box"))
     other = src.placed(src.table(s, d, "customer").select(F.col("c_custkey").alias("scene_id")), "scene_id").select("scene_id", geo.box(F.col("lon"), F.col("lat"), half).alias("box"))
-    a, b = terrain.boxes_to_cells(lakes, 0.2), terrain.boxes_to_cells(other, 0.2).withColumnRenamed("box", "box2")
-    return a.join(b, ["cx", "cy"]).filter(geo.intersects(F.col("box"), F.col("box2"))).select("lake_id", "scene_id").distinct()
+    return terrain.boxes_meet(lakes, other.withColumnRenamed("box", "other")).select("lake_id", "scene_id")
+
+
+def _mixed_boxes(s: SparkSession, d: str) -> DataFrame:
+    """Boxes around customers' places, of half widths from 0.002 to 2 degrees."""
+    at = src.placed(src.table(s, d, "customer").select(F.col("c_custkey").alias("lake_id")), "lake_id")
+    wide = F.lit(0.002) * F.pow(F.lit(10.0), F.when(F.col("lake_id") % 100 == 0, 3).otherwise(F.col("lake_id") % 3))
+    return at.select("lake_id", geo.box(F.col("lon"), F.col("lat"), wide).alias("box"))
+
+
+def mixed_boxes_meet(s: SparkSession, d: str) -> DataFrame:
+    """Boxes of a village next to boxes of a country, against boxes around suppliers: pairs that overlap."""
+    other = src.placed(src.table(s, d, "supplier").select(F.col("s_suppkey").alias("scene_id")), "scene_id").select("scene_id", geo.box(F.col("lon"), F.col("lat"), F.lit(0.03)).alias("other"))
+    return terrain.boxes_meet(_mixed_boxes(s, d), other).select("lake_id", "scene_id")
+
+
+def population_by_place(s: SparkSession, d: str) -> DataFrame:
+    """People in boxes of mixed size, from a table laid out by place, of which the zones of the boxes are read."""
+    path = f"{Scratch(s, 'places').path}/population"
+    terrain.write_by_place(src.population(s, d), path)
+    found = terrain.in_boxes_by_place(_mixed_boxes(s, d), s.read.parquet(path))
+    return found.groupBy("lake_id").agg(F.count(F.lit(1)).alias("n_cells"), _r(F.sum(F.greatest("pop", F.lit(0.0))), 3).alias("population"))
 
 
 def run_summary(s: SparkSession, d: str) -> DataFrame:
@@ -191,7 +211,7 @@ def run_latest(s: SparkSession, d: str) -> DataFrame:
 def _hazard_run(s: SparkSession, d: str) -> DataFrame:
     """Customers as lakes: some not seeded, some without a static row, some without elevation."""
     registry, lakes, static = src.customer_lakes(s, d)
-    people = terrain.exposure(src.placed(static.select("lake_id"), "lake_id"), src.population(s, d), terrain.BUFFER_KM, 0.1)
+    people = terrain.exposure(src.placed(static.select("lake_id"), "lake_id"), src.population(s, d), terrain.BUFFER_KM)
     return runs.run_hazard(registry, lakes, static, src.observations(s, d, "c_custkey"), terrain.mean_slope(src.elevation(s, d)), AS_OF, people, NOW)
 
 
@@ -213,7 +233,7 @@ def lake_elevation(s: SparkSession, d: str) -> DataFrame:
     tiles, cells = src.elevation_tiles(s, d)
     at = tiles.select(F.col("tile").alias("lake_id"), (F.col("box.west") + 0.006).alias("lon"), (F.col("box.south") + 0.006).alias("lat"))
     lakes = at.select("lake_id", geo.box(F.col("lon"), F.col("lat"), F.lit(0.0075)).alias("box"))
-    return terrain.lake_elevation(lakes, tiles, cells, src.CELL, 0.02).select("lake_id", "row", "col", _r("z").alias("z"))
+    return terrain.lake_elevation(lakes, tiles, cells, src.CELL).select("lake_id", "row", "col", _r("z").alias("z"))
 
 
 def scene_processing(s: SparkSession, d: str) -> DataFrame:
@@ -261,7 +281,7 @@ QUERIES = {f.__name__: f for f in (
     water_index, usable_mask_counts, encoded_dn, scene_water_area, scene_candidates_top12, scenes_in_range, latest_usable_scene, observation_dedupe, observation_new_rows, lake_staleness, lake_seed_check,
     obs_lookback, latest_as_of, nearest_within_15d, growth_30_90, seasonal_anomaly, dam_type_risk, normalized_risks, hazard_score_tier, hazard_components, terrain_slope, pixel_metres, exposure_population,
     aoi_bbox_grid, band_align_upsample, bbox_candidates, run_summary, run_latest, run_hazard, score_reports, lake_elevation, scene_processing, backfill_rows,
-    latest_from_pixels, run_latest_with_faults, growth_history,
+    latest_from_pixels, run_latest_with_faults, growth_history, mixed_boxes_meet, population_by_place,
 )}
 
 PIXELS = "px AS (SELECT l_orderkey AS scene_id, CAST(l_quantity * 200 AS FLOAT) AS g, CAST(l_extendedprice / 10 AS FLOAT) AS n, l_quantity * 200 AS green, l_extendedprice / 10 AS nir, l_linenumber + 4 AS scl FROM lineitem)"
@@ -377,3 +397,8 @@ ORACLE["growth_history"] = f"""WITH {OBS}, d AS (SELECT lake_id, captured_at AS
 f AS (SELECT q.lake_id, q.as_of, max(o.day) AS latest_at, arg_max(o.area, o.day) AS area, {_NEAREST.format(w=30)} AS a30, {_NEAREST.format(w=90)} AS a90 FROM q LEFT JOIN d o ON o.lake_id = q.lake_id AND {_SINCE} GROUP BY 1, 2),
 m AS (SELECT f.lake_id, f.as_of, avg(o.area) AS base FROM f JOIN obs o ON o.lake_id = f.lake_id AND o.captured_at BETWEEN f.as_of - 548 AND f.as_of AND month(o.captured_at) = month(f.latest_at) AND year(o.captured_at) <> year(f.latest_at) GROUP BY 1, 2)
 SELECT lake_id, as_of, latest_at, round(area, 6) AS latest_km2, round(CASE WHEN a30 <> 0 THEN (area - a30) / a30 END, 6) AS growth_30, round(CASE WHEN a90 <> 0 THEN (area - a90) / a90 END, 6) AS growth_90, round(CASE WHEN base <> 0 THEN (area - base) / base END, 6) AS anomaly FROM f LEFT JOIN m USING (lake_id, as_of)"""
+_MIXED = "c AS (SELECT c_custkey AS lake_id, {place}, 0.002::DOUBLE * pow(10::DOUBLE, CASE WHEN c_custkey % 100 = 0 THEN 3 ELSE c_custkey % 3 END) AS h FROM customer)".format(place=PLACE.format(k="c_custkey"))
+ORACLE["mixed_boxes_meet"] = f"""WITH {_MIXED}, s AS (SELECT s_suppkey AS scene_id, {PLACE.format(k='s_suppkey')} FROM supplier)
+SELECT lake_id, scene_id FROM c JOIN s ON c.lon - h <= s.lon + 0.03::DOUBLE AND s.lon - 0.03::DOUBLE <= c.lon + h AND c.lat - h <= s.lat + 0.03::DOUBLE AND s.lat - 0.03::DOUBLE <= c.lat + h"""
+ORACLE["population_by_place"] = f"""WITH {GRID}, {_MIXED}, p AS (SELECT vec_id AS id, {PLACE.format(k='vec_id')} FROM embeddings), pop AS (SELECT lon + col * 0.002::DOUBLE AS x, lat + row * 0.002::DOUBLE AS y, greatest(100 * v, 0) AS pop FROM grid JOIN p ON id = lake_id)
+SELECT lake_id, count(*) AS n_cells, round(sum(pop), 3) AS population FROM c JOIN pop ON x BETWEEN lon - h AND lon + h AND y BETWEEN lat - h AND lat + h GROUP BY 1"""

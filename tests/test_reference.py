@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from moraine.functions import pixels as px, risk
-from moraine.operators import features, hazard, observations as ob, scenes as sc, terrain
+from moraine.operators import asof, features, hazard, observations as ob, scenes as sc, terrain
 from moraine.plans import queries, runs
 from moraine.sources import providers
 from moraine.streaming.ingest import ingest
@@ -125,16 +125,16 @@ def test_slope(spark, rise, want):
 def test_population(spark):
     lakes = spark.createDataFrame([(1, 74.6, 36.4), (2, 10.0, 10.0)], "lake_id long, lon double, lat double")
     pop = spark.createDataFrame([(74.6 + i / 1000, 36.4, 2.0) for i in range(5)] + [(74.6, 36.401, -99999.0), (75.6, 36.4, 7.0)], "lon double, lat double, pop double")
-    small, large = (dict(terrain.exposure(lakes, pop, r, 0.05).collect()) for r in (0.2, 5.0))
+    small, large = (dict(terrain.exposure(lakes, pop, r).collect()) for r in (0.2, 5.0))
     assert large == {1: 10.0, 2: 0.0} and 0 < small[1] < large[1]
 
 
 def test_population_of_shared_places(spark, monkeypatch):
     seen, join = [], terrain.points_in_boxes
-    monkeypatch.setattr(terrain, "points_in_boxes", lambda boxes, points, size: seen.append((boxes.count(), points.count())) or join(boxes, points, size))
+    monkeypatch.setattr(terrain, "points_in_boxes", lambda boxes, points: seen.append((boxes.count(), points.count())) or join(boxes, points))
     lakes = spark.createDataFrame([(i, 74.6 + i % 2, 36.4) for i in range(20)], "lake_id long, lon double, lat double")
     pop = spark.createDataFrame([(74.6, 36.4 + i % 3 / 1000, 2.0 - 3 * (i == 0)) for i in range(30)], "lon double, lat double, pop double")
-    assert dict(terrain.exposure(lakes, pop, 5.0, 0.05).collect()) == {i: 0.0 if i % 2 else 58.0 for i in range(20)}
+    assert dict(terrain.exposure(lakes, pop, 5.0).collect()) == {i: 0.0 if i % 2 else 58.0 for i in range(20)}
     assert seen == [(2, 3)]
 
 
@@ -309,17 +309,28 @@ def test_elevation_of_overlapping_tiles(spark):
     tiles = spark.createDataFrame([(1, box(0.0, 0.0, 0.3, 0.3)), (2, box(0.2, 0.0, 0.5, 0.3)), (3, box(5.0, 5.0, 5.3, 5.3))], f"tile int, {kind}")
     cells = [(t, w + c / 10, r / 10, 100.0 * t + c) for t, w in ((1, 0.0), (2, 0.2)) for r in range(4) for c in range(4)]
     lakes = spark.createDataFrame([(7, box(0.05, 0.05, 0.45, 0.15)), (8, box(2.0, 2.0, 2.1, 2.1))], f"lake_id long, {kind}")
-    got = terrain.lake_elevation(lakes, tiles, spark.createDataFrame(cells, "tile int, lon double, lat double, z double"), 0.1, 0.25)
+    got = terrain.lake_elevation(lakes, tiles, spark.createDataFrame(cells, "tile int, lon double, lat double, z double"), 0.1)
     assert {(r["lake_id"], r["row"], r["col"]): r["z"] for r in got.collect()} == {(7, -1, 1): 101.0, (7, -1, 2): 102.0, (7, -1, 3): 103.0, (7, -1, 4): 202.0}
-    assert {tuple(r) for r in terrain.tiles_of(lakes, tiles, 0.25).collect()} == {(7, 1), (7, 2)}  # lake 8 gets the error row
+    assert {tuple(r) for r in terrain.tiles_of(lakes, tiles).collect()} == {(7, 1), (7, 2)}  # lake 8 gets the error row
 
 
-def test_slope_is_made_once(spark, tmp_path):
-    made = []
-    make = lambda: made.append(1) or spark.createDataFrame([(1, 2.5)], "lake_id long, slope_degrees double")
-    for _ in range(2):
-        assert one(terrain.remembered(spark, str(tmp_path / "slope"), make))["slope_degrees"] == 2.5
-    assert made == [1]
+def test_a_later_lake_costs_its_own_tiles(spark, tmp_path):
+    box = lambda x: (x, 0.0, x + 1.0, 1.0)
+    lakes = lambda *ids: spark.createDataFrame([(i, box(float(i))) for i in ids], "lake_id long, box struct<west:double,south:double,east:double,north:double>")
+    memo, made = terrain.slope_memo(spark, str(tmp_path / "slope")), []
+
+    def make(missing):
+        made.append(sorted(r["lake_id"] for r in missing.collect()))
+        return missing.select("lake_id", F.when(F.col("lake_id") != 9, F.col("lake_id") * 2.5).alias("slope_degrees"))
+
+    found = lambda df: dict(terrain.remembered(df, memo, make).collect())
+    assert found(lakes(1, 2)) == found(lakes(1, 2)) == {1: 2.5, 2: 5.0}
+    assert found(lakes(1, 2, 3)) == {1: 2.5, 2: 5.0, 3: 7.5}
+    # a box without tiles is asked for again; another lake with a known box is not
+    assert found(lakes(9, 1)) == found(lakes(9, 1)) == {1: 2.5, 9: None}
+    twin = lakes(2).withColumn("lake_id", F.lit(22).cast("long"))
+    assert found(twin) == {22: 5.0}
+    assert made == [[1, 2], [3], [9], [9]]
 
 
 def test_source_choice(spark):
@@ -338,6 +349,165 @@ def test_source_choice(spark):
         providers.choose(spark, known, "other")
 
 
+def random_boxes(rng, n, name):
+    """(key, box): from a few metres to a country, some points, some at the edges of cells."""
+    out = []
+    for k in range(n):
+        w, h = (rng.choice([0.0, 0.0001, 0.01, 0.3, 5.0, 40.0]) for _ in range(2))
+        x, y = (rng.choice([rng.uniform(60, 90), 67.5, 70.3125]) for _ in range(2))
+        out.append((k, (x, y, x + w, y + h)))
+    return out, f"{name} long, {'box' if name == 'a' else 'other'} struct<west:double,south:double,east:double,north:double>"
+
+
+def test_boxes_of_any_size_meet_once(spark):
+    rng = random.Random(5)
+    (a, sa), (b, sb) = random_boxes(rng, 150, "a"), random_boxes(rng, 150, "b")
+    got = sorted(map(tuple, terrain.boxes_meet(spark.createDataFrame(a, sa), spark.createDataFrame(b, sb)).select("a", "b").collect()))
+    assert got == sorted((i, k) for i, p in a for k, q in b if p[0] <= q[2] and q[0] <= p[2] and p[1] <= q[3] and q[1] <= p[3])
+    # rows a box are bounded, whatever its size
+    rows = terrain.cover(spark.createDataFrame(a, sa).withColumn("level", terrain.level_of(F.col("box")))).groupBy("a").count()
+    assert rows.agg(F.max("count")).first()[0] <= 4
+    points = [(k, rng.choice([rng.uniform(60, 90), 67.5]), rng.uniform(60, 90)) for k in range(400)]
+    met = terrain.points_in_boxes(spark.createDataFrame(a, sa), spark.createDataFrame(points, "p long, lon double, lat double"))
+    assert sorted(map(tuple, met.select("a", "p").collect())) == sorted((i, k) for i, q in a for k, x, y in points if q[0] <= x <= q[2] and q[1] <= y <= q[3])
+
+
+def test_a_window_reads_the_files_of_its_zones(spark, tmp_path):
+    rng = random.Random(6)
+    points = [(k, rng.uniform(-179, 179), rng.uniform(-80, 80)) for k in range(3000)] + [(5000 + k, 74.5 + k / 1e4, 36.3) for k in range(1500)]  # a hot zone
+    path = str(tmp_path / "places")
+    terrain.write_by_place(spark.createDataFrame(points, "p long, lon double, lat double").repartition(8), path)
+    table = spark.read.parquet(path)
+    window = (74.0, 36.0, 75.5, 37.0)
+    found = terrain.in_window(table, *window)
+    assert sorted(r["p"] for r in found.collect()) == sorted(k for k, x, y in points if 74.0 <= x <= 75.5 and 36.0 <= y <= 37.0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(zone" in plan or "PartitionFilters: [zone" in plan
+    read = table.filter(F.col("zone").isin([r[0] for r in found.select("zone").distinct().collect()])).select(F.input_file_name()).distinct().count()
+    assert read < 20 < 500 < len(table.inputFiles())
+    # boxes of a table
+    boxes = spark.createDataFrame([(1, (74.0, 36.0, 75.5, 37.0)), (2, (-10.0, -10.0, 10.0, 10.0))], "a long, box struct<west:double,south:double,east:double,north:double>")
+    met = terrain.in_boxes_by_place(boxes, table)
+    assert "PartitionFilters: [zone" in met._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, met.select("a", "p").collect())) == sorted((a, k) for a, q in ((1, window), (2, (-10.0, -10.0, 10.0, 10.0))) for k, x, y in points if q[0] <= x <= q[2] and q[1] <= y <= q[3])
+    # near places have near keys
+    keys = spark.createDataFrame([(0.1, 0.1), (0.1001, 0.1001), (0.1, 60.0)], "x double, y double").select(terrain.place_key(F.col("x"), F.col("y"), 16)).collect()
+    assert keys[0][0] == keys[1][0] != keys[2][0]
+
+
+def pixel_table(spark, usable, n=4):
+    """Pixels of scenes: clear and half water, or cloudy."""
+    rows = [(i, 100, 20 if k % 2 else 300, 6 if ok else 9) for i, ok in usable.items() for k in range(n)]
+    return spark.createDataFrame(rows, "scene_id long, green int, nir int, scene_class int")
+
+
+def test_waves_read_what_is_still_open(spark, tmp_path):
+    at = lambda d: dt.datetime(2026, 7, d)
+    rows = [(lake, 100 * lake + k, at(28 - k), "s", 5.0) for lake in range(1, 6) for k in range(12)]
+    df = spark.createDataFrame(rows, "lake_id long, scene_id long, acquired_at timestamp_ntz, source string, cloud_cover_pct double")
+    # lakes 1 and 2 are clear at once, 3 at rank 2, 4 at rank 9, 5 never
+    clear = {100, 200, 301, 408, 411}
+    pixels, written = pixel_table(spark, {r[1]: r[1] in clear for r in rows}), {}
+
+    def store(table, name):
+        table.write.parquet(str(tmp_path / name))
+        written[name] = spark.read.parquet(str(tmp_path / name))
+        return written[name]
+
+    got = {r["lake_id"]: r for r in sc.latest_in_waves(df, pixels, store).collect()}
+    assert {k: (r["scene_id"], r["scenes_checked"]) for k, r in got.items()} == {1: (100, 1), 2: (200, 1), 3: (301, 2), 4: (408, 9), 5: (None, 12)}
+    assert got[3]["area_km2"] == pytest.approx(0.0002) and got[5]["area_km2"] is None
+    # scenes whose pixels were read: one of each lake, then those of open lakes alone
+    assert [written[f"wave-{k}"].count() for k in range(5)] == [5, 3, 4, 8, 4 + 4]
+    whole = sc.latest_usable(sc.processed(df, pixels)).select("lake_id", "scene_id", "scenes_checked", "area_km2", "error")
+    assert sorted(map(tuple, whole.collect())) == sorted((k, r["scene_id"], r["scenes_checked"], r["area_km2"], r["error"]) for k, r in got.items())
+    assert sc.latest_in_waves(df.filter("false"), pixels, lambda t, name: store(t, f"empty-{name}")).count() == 0
+
+
+def test_faults_are_rows_of_single_lakes(spark):
+    """A malformed date, cloud figure or pixel is its lake's error; the others are as without it."""
+    raw = [("a", "2026-07-20 05:00:00", "5"), ("a", "2026-07-10 05:00:00", "5"), ("b", "20 July", "5"), ("b", "2026-07-10 05:00:00", "5"), ("c", "2026-07-20 05:00:00", "x"), ("d", "2026-07-20 05:00:00", "5"), ("d", "2026-07-10 05:00:00", "5"), ("d", "2026-07-01 05:00:00", "5"), ("e", "2026-07-20 05:00:00", None)]
+    ids = {x: k for k, x in enumerate("abcde")}
+    df = spark.createDataFrame([(ids[x], k, t, "s", p) for k, (x, t, p) in enumerate(raw)], "lake_id long, scene_id long, acquired_at string, source string, cloud_cover_pct string")
+    bands = [(k, "100", "20", 6) for k in range(len(raw)) if k != 6] + [(6, "100", "?", 6), (6, "100", "20", 6)]
+    pixels = spark.createDataFrame(bands, "scene_id long, green string, nir string, scene_class int")
+    every = sc.processed(sc.checked(df), pixels)
+    registry = spark.createDataFrame(list(ids.items()), "slug string, ordinal int")
+    lakes = registry.withColumnRenamed("ordinal", "lake_id").withColumn("lake_id", F.col("lake_id").cast("long"))
+    none = spark.createDataFrame([], "lake_id long, captured_at date, source string")
+    new, results = runs.run_latest(registry, lakes, every, none, "2026-07-21 00:00:00")
+    got = {r["slug"]: (r["observations_written"], r["scenes_checked"], r["stale"], r["error"]) for r in results.collect()}
+    want = {"a": (1, 1, False, None), "b": (0, 0, True, "malformed acquired_at: 20 July"), "c": (0, 0, True, "malformed cloud_cover_pct: x"), "d": (1, 1, False, None), "e": (0, 0, True, None)}
+    assert got == want and {r["scene_id"] for r in new.collect()} == {0, 5}
+    # a backfill writes what comes before the fault, newest first, and counts it as checked
+    new, results = runs.run_backfill(registry, lakes, every, none, "2026-01-01", "2026-12-31", "2026-07-21 00:00:00")
+    got = {r["slug"]: (r["observations_written"], r["scenes_checked"], r["stale"], r["error"]) for r in results.collect()}
+    assert got == want | {"a": (2, 2, False, None), "d": (1, 2, True, "malformed pixels: 1")} and {r["scene_id"] for r in new.collect()} == {0, 1, 5}
+    # in waves the fault of a scene that is read stops its lake
+    found = sc.latest_in_waves(sc.checked(df.filter("scene_id in (6, 7)")), pixels, lambda t, _: t)
+    assert one(found.select("scene_id", "scenes_checked", "error")) == (None, 1, "malformed pixels: 1")
+
+
+def test_stream_then_backfill_then_daily(spark, tmp_path):
+    """Rows of all writers keep area, cloud fraction, scene and run, and are scored together."""
+    registry, lakes, static, _, slope, _ = hazard_tables(spark)
+    table = ob.table(spark, str(tmp_path / "obs"))
+    at = lambda *days: spark.createDataFrame([(1, 10 * k + m, dt.datetime(2026, m, d), "s", 5.0) for k, (m, d) in enumerate(days)], "lake_id long, scene_id long, acquired_at timestamp_ntz, source string, cloud_cover_pct double")
+    streamed = at((4, 2))
+    streamed.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(streamed.schema).parquet(str(tmp_path / "in"))
+    ingest(stream, table.path, str(tmp_path / "ck"), pixels=pixel_table(spark, {4: True}, 8)).awaitTermination()
+    past = at((4, 2), (6, 1))
+    commit, results = runs.backfill(registry, lakes, sc.processed(past, pixel_table(spark, {4: True, 16: True}, 4)), table, "2026-01-01", "2026-06-30", "2026-07-01 00:00:00")
+    assert commit.rows == 1 and [r["observations_written"] for r in results.orderBy("ordinal").collect()] == [1, 0, 0, 0, 0]
+    today = sc.processed(at((7, 1)), pixel_table(spark, {7: True}, 16))
+    for written in (1, 0):
+        results, scored = runs.run_daily(registry, lakes, static, today, table, slope, "2026-07-01", "2026-07-01 12:00:00")
+        assert one(results.filter("slug = 'a'").select("observations_written", "scenes_checked", "stale", "error")) == (written, 1, False, None)
+    rows = {r["scene_id"]: r for r in table.read().collect()}
+    assert {k: (r["area_km2"], r["cloud_fraction"], r["run_id"].split("-")[0]) for k, r in rows.items()} == {4: (0.0004, 0.0, "stream"), 16: (0.0002, 0.0, "backfill"), 7: (0.0008, 0.0, "latest")}
+    assert len({r["row_id"] for r in rows.values()}) == 3
+    raw = json.loads(one(scored.filter("slug = 'a'"))["components"])["raw_inputs"]
+    assert (raw["growth_30d_pct"], raw["growth_90d_pct"]) == (pytest.approx(3.0), pytest.approx(1.0))
+
+
+def test_history_is_each_day_as_it_was_seen(spark):
+    rng = random.Random(8)
+    days = lambda n: D("2022-01-01") + dt.timedelta(days=n)
+    rows = [(rng.randrange(4), days(rng.randrange(1500)), rng.choice("ab"), k, rng.choice([0.0, 1.0, rng.random(), None])) for k in range(700)]
+    rows += [(9, days(3 * k), "a", 10_000 + k, 1.0 + k % 7) for k in range(400)]  # a hot lake
+    seen = spark.createDataFrame(rows, OBS)
+    asked = [(lake, days(n)) for lake in (0, 1, 2, 3, 9, 77) for n in (-5, 0, 31, 200, 547, 548, 549, 700, 1499, 2300)]
+    requests = spark.createDataFrame([*asked, *asked[:3], (None, days(5)), (1, None)], "lake_id long, as_of date")
+    norm = lambda r: tuple(round(x, 9) if isinstance(x, float) else x for x in r)
+    got = {(r["lake_id"], r["as_of"]): norm(tuple(r)[2:]) for r in asof.history(seen, requests).collect()}
+    assert len(got) == len(asked) + 2 and got[None, days(5)] == got[1, None] == (None,) * 5
+    for day in sorted({d for _, d in asked}):
+        want = {r["lake_id"]: norm(tuple(r)[1:]) for r in features.together(ob.lookback(seen, str(day), strict=True), str(day)).collect()}
+        for lake in (0, 1, 2, 3, 9, 77):
+            assert got[lake, day] == want.get(lake, (None,) * 5), (lake, day)
+
+
+def test_merge_keeps_no_more_than_a_block(spark):
+    series = spark.createDataFrame([(1, D("2026-01-05"), (7,)), (1, D("2026-03-01"), (8,)), (2, D("2026-02-01"), (9,))], "k long, day date, v struct<x:int>")
+    asks = spark.createDataFrame([(1, D("2026-01-04"), "a"), (1, D("2026-01-05"), "b"), (1, D("2026-02-20"), "c"), (1, D("2027-01-01"), "d"), (3, D("2026-02-20"), "e"), (None, D("2026-02-20"), "f")], "k long, day date, tag string")
+    found = lambda **kw: {r["tag"]: r["v"] and r["v"]["x"] for r in asof.merge(asks, series, ["k"], "v", **kw).collect()}
+    assert found() == {"a": None, "b": 7, "c": 7, "d": 8, "e": None, "f": None}
+    assert found(forward=True) == {"a": 7, "b": 7, "c": 8, "d": None, "e": None, "f": None}
+    windows = [x for x in asof.merge(asks, series, ["k"], "v")._jdf.queryExecution().executedPlan().toString().split("\n") if "Window [" in x]
+    assert len(windows) == 2  # within a block, and over the table of blocks
+
+
+def test_reports_are_in_utc_wherever_the_session_is(spark):
+    registry, lakes, static, seen, slope, people = hazard_tables(spark)
+    done = runs.run_hazard(registry, lakes, static, seen, slope, "2026-07-20", people, "2026-07-20 00:00:00+00:00")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Karachi")
+    try:
+        assert {r["computedAt"] for r in runs.score_reports(done, "h").collect()} == {"2026-07-20T00:00:00+00:00"}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
