@@ -18,11 +18,13 @@ def _block(day: Column) -> Column:
     return F.year(day) * 12 + F.month(day)
 
 
-def merge(requests: DataFrame, series: DataFrame, by: list[str], value: str, forward: bool = False, name: str | None = None) -> DataFrame:
+def merge(requests: DataFrame, series: DataFrame, by: list[str], value: str, forward: bool = False, name: str | None = None, days: DataFrame | None = None, one_block: bool = False) -> DataFrame:
     """``requests`` with ``value`` of the row of ``series`` on or before ``day`` (``forward``: on or after it).
 
     Both have the columns ``by`` and ``day``; ``series`` has one row a key and day at most, and ``value``
-    is a struct.  Null where there is none; requests with a null key or day have none.
+    is a struct.  Null where there is none; requests with a null key or day have none.  ``days`` has the
+    keys and days of the requests where these cost much to make, for the table of blocks; with
+    ``one_block`` the key holds a month already, and there is none.
     """
     name = name or value
     sign = -1 if forward else 1
@@ -31,21 +33,25 @@ def merge(requests: DataFrame, series: DataFrame, by: list[str], value: str, for
     asked = requests.select(*by, "day", F.lit(1).alias("_asks"), F.struct(*[F.col(c) for c in rest] or [F.lit(None).alias("_")]).alias("_request"), F.lit(None).cast(kind).alias("_value"))
     given = series.filter(F.col("day").isNotNull()).select(*by, "day", F.lit(0).alias("_asks"), F.lit(None).cast(asked.schema["_request"].dataType).alias("_request"), F.col(value).alias("_value"))
     both = asked.unionByName(given).withColumn("_block", sign * _block(F.col("day"))).withColumn("_at", sign * F.unix_date("day"))
+    within = Window.partitionBy(*by, "_block").orderBy("_at", "_asks").rowsBetween(Window.unboundedPreceding, 0)
+    run = both.withColumn("_run", F.last("_value", ignorenulls=True).over(within)).filter("_asks = 1")
+    known = F.col("day").isNotNull()
+    for b in by:
+        known = known & F.col(b).isNotNull()
+    out = [*by, "day", *[F.col(f"_request.{c}").alias(c) for c in rest]]
+    if one_block:
+        return run.select(*out, F.when(known, F.col("_run")).alias(name))
     # of each block the last value, and of these the last before a block
-    last = both.groupBy(*by, "_block").agg(F.max(F.when(F.col("_asks") == 0, F.struct("_at", "_value"))).alias("_last"))
+    keys = (requests if days is None else days).select(*by, (sign * _block(F.col("day"))).alias("_block"), F.lit(None).cast(f"struct<_at:int,_value:{kind.simpleString()}>").alias("_last"))
+    ends = given.withColumns({"_block": sign * _block(F.col("day")), "_at": sign * F.unix_date("day")})
+    last = keys.unionByName(ends.select(*by, "_block", F.struct("_at", "_value").alias("_last"))).groupBy(*by, "_block").agg(F.max("_last").alias("_last"))
     blocks = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carried = last.select(*by, "_block", F.last("_last._value", ignorenulls=True).over(blocks).alias("_before"))
-    within = Window.partitionBy(*by, "_block").orderBy("_at", "_asks").rowsBetween(Window.unboundedPreceding, 0)
-    run = both.withColumn("_run", F.last("_value", ignorenulls=True).over(within)).filter("_asks = 1")
     right = carried.select(*[F.col(b).alias(f"_{b}_") for b in by], F.col("_block").alias("_block_"), "_before")
     on = F.col("_block").eqNullSafe(F.col("_block_"))
     for b in by:
         on = on & F.col(b).eqNullSafe(F.col(f"_{b}_"))
-    known = F.col("day").isNotNull()
-    for b in by:
-        known = known & F.col(b).isNotNull()
-    found = F.when(known, F.coalesce("_run", "_before"))
-    return run.join(right, on, "left").select(*by, "day", *[F.col(f"_request.{c}").alias(c) for c in rest], found.alias(name))
+    return run.join(right, on, "left").select(*out, F.when(known, F.coalesce("_run", "_before")).alias(name))
 
 
 def daily(observations: DataFrame) -> DataFrame:
@@ -77,9 +83,7 @@ def history(observations: DataFrame, requests: DataFrame, windows: tuple[int, ..
     # looking back: from the day itself, and from the days to compare with
     back = asked.select("lake_id", "as_of", F.explode(F.array(*[F.lit(w) for w in (0, *windows)])).alias("w"))
     back = back.withColumn("day", F.date_sub(day, F.col("w")))
-    found = merge(back, series, ["lake_id"], "of", name="before")
-    ahead = merge(found.filter("w > 0"), series, ["lake_id"], "of", forward=True, name="after")
-    both = found.filter("w = 0").withColumn("after", F.lit(None).cast(found.schema["before"].dataType)).unionByName(ahead)
+    both = merge(merge(back, series, ["lake_id"], "of", name="before"), series, ["lake_id"], "of", forward=True, name="after", days=back)
     gap = lambda c: F.abs(F.datediff(F.col(f"{c}.at"), F.col("day")))
     usable = lambda c: (gap(c) <= tolerance) & (F.col(f"{c}.at") <= day)
     near = F.when(usable("before") & ~F.coalesce(usable("after") & (gap("after") < gap("before")), F.lit(False)), F.col("before")).when(usable("after"), F.col("after"))
@@ -88,15 +92,15 @@ def history(observations: DataFrame, requests: DataFrame, windows: tuple[int, ..
     pick = lambda w: F.max(F.when(F.col("w") == w, F.col("of"))).alias(f"p{w}")
     wide = chosen.groupBy("lake_id", "as_of").agg(*[pick(w) for w in (0, *windows)])
     # months of the latest observation's name in earlier years that the lookback reaches
-    since = F.date_sub(day, LOOKBACK)
+    since, points = F.date_sub(day, LOOKBACK), [f"p{w}" for w in (0, *windows)]
     years = F.filter(F.sequence(F.year("p0.at") - (LOOKBACK // 365 + 1), F.year("p0.at") - 1), lambda y: F.last_day(F.make_date(y, F.month("p0.at"), F.lit(1))) >= since)
-    months = wide.filter("p0 is not null").select("lake_id", "as_of", F.month("p0.at").alias("month"), F.explode(years).alias("year"))
+    months = wide.select("lake_id", "as_of", *points, F.month("p0.at").alias("month"), F.explode_outer(years).alias("year"))
     first = F.make_date("year", "month", F.lit(1))
-    ends = months.select("lake_id", "as_of", "year", "month", F.explode(F.array(F.lit(1), F.lit(-1))).alias("sign"), first.alias("first"), since.alias("since"))
-    ends = ends.withColumn("day", F.when(F.col("sign") == 1, F.last_day("first")).otherwise(F.date_sub(F.col("since"), 1))).filter((F.col("sign") == 1) | (F.col("since") > F.col("first")))
-    sums = merge(ends.drop("first", "since"), _sums(observations), ["lake_id", "year", "month"], "of")
-    season = sums.groupBy("lake_id", "as_of").agg(F.sum(F.col("sign") * F.coalesce("of.s", F.lit(0.0))).alias("s"), F.sum(F.col("sign") * F.coalesce("of.n", F.lit(0))).alias("n"))
-    out = wide.join(season, ["lake_id", "as_of"], "left")
+    ends = months.select("*", F.explode(F.array(F.lit(1), F.lit(-1))).alias("sign"))
+    ends = ends.withColumn("day", F.when(F.col("sign") == 1, F.last_day(first)).when(since > first, F.date_sub(since, 1)))
+    sums = merge(ends, _sums(observations), ["lake_id", "year", "month"], "of", one_block=True)
+    of = lambda x, zero: F.sum(F.col("sign") * F.coalesce(F.col(f"of.{x}"), F.lit(zero))).alias(x)
+    out = sums.groupBy("lake_id", "as_of").agg(*[F.first(p).alias(p) for p in points], of("s", 0.0), of("n", 0))
     change = lambda new, old: F.try_divide(new - old, old)
     rates = [change(F.col("p0.area"), F.col(f"p{w}.area")).alias(f"growth_{w}") for w in windows]
     mean = F.when(F.col("n") > 0, F.col("s") / F.col("n"))
