@@ -274,7 +274,7 @@ def growth_history(s: SparkSession, d: str) -> DataFrame:
     ends = seen.groupBy("lake_id").agg(F.min("captured_at").alias("first"), F.max("captured_at").alias("last"))
     asked = ends.select("lake_id", F.explode(F.sequence("first", "last")).alias("as_of"))
     found = asof.history(seen, asked)
-    return found.select("lake_id", "as_of", "latest_at", _r("latest_km2").alias("latest_km2"), *[_r(f"growth_{w}").alias(f"growth_{w}") for w in features.WINDOWS], _r("anomaly").alias("anomaly"))
+    return found.select("lake_id", "as_of", "latest_at", "latest_km2", *[_r(f"growth_{w}").alias(f"growth_{w}") for w in features.WINDOWS], _r("anomaly").alias("anomaly"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -396,7 +396,7 @@ _NEAREST = "arg_min(o.area, abs(o.day - (q.as_of - {w})) * 2 + CASE WHEN o.day >
 ORACLE["growth_history"] = f"""WITH {OBS}, d AS (SELECT lake_id, captured_at AS day, arg_min(area, source) AS area FROM obs GROUP BY 1, 2), q AS (SELECT lake_id, CAST(unnest(generate_series(min(captured_at), max(captured_at), INTERVAL 1 DAY)) AS DATE) AS as_of FROM obs GROUP BY 1),
 f AS (SELECT q.lake_id, q.as_of, max(o.day) AS latest_at, arg_max(o.area, o.day) AS area, {_NEAREST.format(w=30)} AS a30, {_NEAREST.format(w=90)} AS a90 FROM q LEFT JOIN d o ON o.lake_id = q.lake_id AND {_SINCE} GROUP BY 1, 2),
 m AS (SELECT f.lake_id, f.as_of, avg(o.area) AS base FROM f JOIN obs o ON o.lake_id = f.lake_id AND o.captured_at BETWEEN f.as_of - 548 AND f.as_of AND month(o.captured_at) = month(f.latest_at) AND year(o.captured_at) <> year(f.latest_at) GROUP BY 1, 2)
-SELECT lake_id, as_of, latest_at, round(area, 6) AS latest_km2, round(CASE WHEN a30 <> 0 THEN (area - a30) / a30 END, 6) AS growth_30, round(CASE WHEN a90 <> 0 THEN (area - a90) / a90 END, 6) AS growth_90, round(CASE WHEN base <> 0 THEN (area - base) / base END, 6) AS anomaly FROM f LEFT JOIN m USING (lake_id, as_of)"""
+SELECT lake_id, as_of, latest_at, area AS latest_km2, round(CASE WHEN a30 <> 0 THEN (area - a30) / a30 END, 6) AS growth_30, round(CASE WHEN a90 <> 0 THEN (area - a90) / a90 END, 6) AS growth_90, round(CASE WHEN base <> 0 THEN (area - base) / base END, 6) AS anomaly FROM f LEFT JOIN m USING (lake_id, as_of)"""
 _MIXED = "c AS (SELECT c_custkey AS lake_id, {place}, 0.002::DOUBLE * pow(10::DOUBLE, CASE WHEN c_custkey % 100 = 0 THEN 3 ELSE c_custkey % 3 END) AS h FROM customer)".format(place=PLACE.format(k="c_custkey"))
 ORACLE["mixed_boxes_meet"] = f"""WITH {_MIXED}, s AS (SELECT s_suppkey AS scene_id, {PLACE.format(k='s_suppkey')} FROM supplier)
 SELECT lake_id, scene_id FROM c JOIN s ON c.lon - h <= s.lon + 0.03::DOUBLE AND s.lon - 0.03::DOUBLE <= c.lon + h AND c.lat - h <= s.lat + 0.03::DOUBLE AND s.lat - 0.03::DOUBLE <= c.lat + h"""
