@@ -18,14 +18,15 @@ NO_STATIC = "lake row found but static fields (damType/glacierContact/historical
 NO_SLOPE = "no elevation tile covers the lake"
 
 
-def inputs(lakes: DataFrame, obs: DataFrame, slope: DataFrame, as_of: str, strict: bool = False, exposure: DataFrame | None = None) -> DataFrame:
+def inputs(lakes: DataFrame, obs: DataFrame, slope: DataFrame, as_of: str, strict: bool = False, exposure: DataFrame | None = None, months: bool = False) -> DataFrame:
     """One row for each of ``lakes`` (lake_id, slug, static fields, perhaps ``error``).
 
     A lake without observations has null features and is scored.  ``error`` says why a lake is not:
-    what it said before, then that no slope is known.  ``exposure``: (lake_id, population).
+    what it said before, then that no slope is known.  ``exposure``: (lake_id, population).  With ``months``,
+    ``obs`` are the observations by lake and month (:func:`features.months`).
     """
-    seen = observations.lookback(obs, as_of, strict)
-    rows = lakes.join(features.together(seen, as_of), "lake_id", "left").join(slope, "lake_id", "left")
+    found = features.from_months(obs, as_of, strict) if months else features.together(observations.lookback(obs, as_of, strict), as_of)
+    rows = lakes.join(found, "lake_id", "left").join(slope, "lake_id", "left")
     if exposure is not None:
         rows = rows.join(exposure.select("lake_id", terrain.exposure_document(F.col("population")).alias("exposure")), "lake_id", "left")
     known = F.col("error") if "error" in lakes.columns else F.lit(None).cast("string")

@@ -29,6 +29,54 @@ def mean_slope(cells: DataFrame) -> DataFrame:
     return both.groupBy("lake_id").agg(F.degrees(F.avg(steep)).alias("slope_degrees"))
 
 
+#: Cells across a tile of :func:`mean_slope_tiled`.
+TILE = 64
+
+
+def mean_slope_tiled(cells: DataFrame, side: int = TILE) -> DataFrame:
+    """:func:`mean_slope` of cells (lake_id, row, col, z, dx_m, dy_m), perhaps with ``tile``, a row an array.
+
+    Cells are dealt into tiles of ``side`` by ``side``, those at its edge into the next one too (a halo of
+    4 / ``side`` more rows), and that is the one shuffle before the mean: where several elevation tiles
+    have a cell the first one's value counts, each row of a tile becomes one array, rows follow each other
+    in a window over the tile, and gradients are taken by position.  A large lake is many tiles, and an
+    array is never longer than ``side`` + 2.  A missing cell (or a null z) is an edge: its neighbours take
+    one-sided differences, where :func:`mean_slope` takes the next cell there is.
+    """
+    tile = lambda x: F.floor(F.col(x) / side)
+    at = lambda x: F.col(x) - tile(x) * side
+    home = F.struct(tile("row").alias("r"), tile("col").alias("c"))
+    beside = lambda when, r, c: F.when(when, F.struct((tile("row") + r).alias("r"), (tile("col") + c).alias("c")))
+    shared = [beside(at("row") == 0, -1, 0), beside(at("row") == side - 1, 1, 0), beside(at("col") == 0, 0, -1), beside(at("col") == side - 1, 0, 1)]
+    order = F.col("tile") if "tile" in cells.columns else F.lit(0)
+    dealt = cells.select("lake_id", F.explode(F.array_compact(F.array(home, *shared))).alias("t"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), order.alias("tile"), "z", "dx_m", "dy_m")
+    key = ["lake_id", "tr", "tc"]
+    dealt = dealt.select("lake_id", F.col("t.r").alias("tr"), F.col("t.c").alias("tc"), "row", "col", "tile", "z", "dx_m", "dy_m").repartition(*key)
+    one = dealt.groupBy(*key, "row", "col").agg(F.min(F.struct("tile", "z", "dx_m", "dy_m")).alias("v"))
+    strips = one.groupBy(*key, "row").agg(F.array_sort(F.collect_list(F.struct("col", F.col("v.z").alias("z")))).alias("cells"), F.max("v.dx_m").alias("dx_m"), F.max("v.dy_m").alias("dy_m"))
+    # z by position from the first column on; where columns are missing, with nulls
+    start, end = F.element_at("cells", 1)["col"], F.element_at("cells", -1)["col"]
+    filled = F.transform(F.sequence(start, end), lambda c: F.get(F.filter("cells", lambda x: x["col"] == c), 0)["z"])
+    strips = strips.select(*key, "row", "dx_m", "dy_m", start.alias("start"), F.when(F.size("cells") == end - start + 1, F.col("cells.z")).otherwise(filled).alias("z"))
+    rows = Window.partitionBy(*key).orderBy("row")
+    near = lambda f, step: F.when(f("row").over(rows) == F.col("row") + step, F.struct(f("start").over(rows).alias("start"), f("z").over(rows).alias("z")))
+    strips = strips.withColumns({"above": near(F.lag, -1), "below": near(F.lead, 1)}).filter(tile("row") == F.col("tr"))
+
+    def slope_at(z: Column, i: Column) -> Column:
+        def change(before: Column, after: Column, spacing: str) -> Column:
+            steps = F.when(before.isNull() | after.isNull(), 1.0).otherwise(2.0)
+            return (F.coalesce(after, z) - F.coalesce(before, z)) / (steps * F.col(spacing))
+
+        other = lambda strip: F.get(F.col(f"{strip}.z"), i + F.col("start") - F.col(f"{strip}.start"))
+        return F.atan(F.hypot(change(F.get("z", i - 1), F.get("z", i + 1), "dx_m"), change(other("above"), other("below"), "dy_m")))
+
+    # of a strip its own cells: neither the halo nor what is missing
+    own = lambda i: F.floor((F.col("start") + i) / side) == F.col("tc")
+    steep = F.filter(F.transform("z", lambda z, i: F.when(own(i) & z.isNotNull(), slope_at(z, i))), lambda x: x.isNotNull())
+    sums = strips.select("lake_id", steep.alias("steep")).select("lake_id", F.aggregate("steep", F.lit(0.0), lambda a, x: a + x).alias("s"), F.size("steep").alias("n"))
+    return sums.groupBy("lake_id").agg(F.degrees(F.try_divide(F.sum("s"), F.sum("n"))).alias("slope_degrees"))
+
+
 def mosaic(tiles: DataFrame) -> DataFrame:
     """Cells (lake_id, tile, row, col, z) of overlapping tiles: of a cell the first tile's value."""
     return tiles.groupBy("lake_id", "row", "col").agg(F.min(F.struct("tile", "z")).alias("t")).select("lake_id", "row", "col", F.col("t.z").alias("z"))
@@ -43,9 +91,21 @@ def lake_elevation(lakes: DataFrame, tiles: DataFrame, cells: DataFrame, step: f
     """(lake_id, row, col, z): elevation in each lake's box (lake_id, box), cut from the cells (tile, lon,
     lat, z) of the tiles that overlap it; where tiles overlap, the first tile's value counts.  A lake
     that no tile covers has no rows, and so an error row in the hazard pass."""
+    return mosaic(_cut(lakes, tiles, cells, step).drop("box"))
+
+
+def _cut(lakes: DataFrame, tiles: DataFrame, cells: DataFrame, step: float) -> DataFrame:
+    """(lake_id, tile, row, col, z, box): each tile's cells in a lake's box, in rows from north to south."""
     inside = tiles_of(lakes, tiles).join(cells, "tile").join(lakes.select("lake_id", "box"), "lake_id").filter(geo.contains(F.col("box"), F.col("lon"), F.col("lat")))
-    # rows from north to south
-    return mosaic(inside.select("lake_id", "tile", (-geo.cell(F.col("lat"), step)).alias("row"), geo.cell(F.col("lon"), step).alias("col"), "z"))
+    return inside.select("lake_id", "tile", (-geo.cell(F.col("lat"), step)).alias("row"), geo.cell(F.col("lon"), step).alias("col"), "z", "box")
+
+
+def lake_slopes(lakes: DataFrame, tiles: DataFrame, cells: DataFrame, step: float) -> DataFrame:
+    """(lake_id, slope_degrees) of each lake's box from the elevation tiles that overlap it, cell sizes as in the
+    middle of the box.  Cut, mosaic and slope in one shuffle; a lake that no tile covers has no row."""
+    cut = _cut(lakes, tiles, cells, step)
+    size = geo.pixel_metres(F.lit(step), F.lit(step), (F.col("box.south") + F.col("box.north")) / 2)
+    return mean_slope_tiled(cut.select("lake_id", "tile", "row", "col", "z", size["dx_m"].alias("dx_m"), size["dy_m"].alias("dy_m")))
 
 
 def box_key(box: Column) -> Column:

@@ -230,10 +230,18 @@ def score_reports(s: SparkSession, d: str) -> DataFrame:
 
 def lake_elevation(s: SparkSession, d: str) -> DataFrame:
     """Boxes around places between the tiles: of overlapping tiles the first one's cells."""
+    return terrain.lake_elevation(*_tiled_lakes(s, d), src.CELL).select("lake_id", "row", "col", _r("z").alias("z"))
+
+
+def _tiled_lakes(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     tiles, cells = src.elevation_tiles(s, d)
     at = tiles.select(F.col("tile").alias("lake_id"), (F.col("box.west") + 0.006).alias("lon"), (F.col("box.south") + 0.006).alias("lat"))
-    lakes = at.select("lake_id", geo.box(F.col("lon"), F.col("lat"), F.lit(0.0075)).alias("box"))
-    return terrain.lake_elevation(lakes, tiles, cells, src.CELL).select("lake_id", "row", "col", _r("z").alias("z"))
+    return at.select("lake_id", geo.box(F.col("lon"), F.col("lat"), F.lit(0.0075)).alias("box")), tiles, cells
+
+
+def lake_slopes(s: SparkSession, d: str) -> DataFrame:
+    """Slopes of the lakes of :func:`lake_elevation`, a row of a tile an array."""
+    return terrain.lake_slopes(*_tiled_lakes(s, d), src.CELL).select("lake_id", _r("slope_degrees").alias("slope_degrees"))
 
 
 def scene_processing(s: SparkSession, d: str) -> DataFrame:
@@ -277,11 +285,25 @@ def growth_history(s: SparkSession, d: str) -> DataFrame:
     return found.select("lake_id", "as_of", "latest_at", "latest_km2", *[_r(f"growth_{w}").alias(f"growth_{w}") for w in features.WINDOWS], _r("anomaly").alias("anomaly"))
 
 
+def features_by_month(s: SparkSession, d: str) -> DataFrame:
+    """Growth and anomaly from months that three appends were folded into: the rows of even years, of odd
+    years, and the first source's, which come late."""
+    scratch, seen = Scratch(s, "months"), src.observations(s, d)
+    table = ob.table(s, f"{scratch.path}/observations")
+    kept = features.months(table, f"{scratch.path}/months")
+    late, even = F.col("source") == "1-URGENT", F.year("captured_at") % 2 == 0
+    for part in (~late & even, ~late & ~even, late):
+        table.append(seen.filter(part))
+        kept.refresh()
+    found = features.from_months(kept.read(), AS_OF)
+    return found.select("lake_id", "latest_at", _r("latest_km2").alias("latest_km2"), *[_r(f"growth_{w}").alias(f"growth_{w}") for w in features.WINDOWS], _r("anomaly").alias("anomaly"))
+
+
 QUERIES = {f.__name__: f for f in (
     water_index, usable_mask_counts, encoded_dn, scene_water_area, scene_candidates_top12, scenes_in_range, latest_usable_scene, observation_dedupe, observation_new_rows, lake_staleness, lake_seed_check,
     obs_lookback, latest_as_of, nearest_within_15d, growth_30_90, seasonal_anomaly, dam_type_risk, normalized_risks, hazard_score_tier, hazard_components, terrain_slope, pixel_metres, exposure_population,
     aoi_bbox_grid, band_align_upsample, bbox_candidates, run_summary, run_latest, run_hazard, score_reports, lake_elevation, scene_processing, backfill_rows,
-    latest_from_pixels, run_latest_with_faults, growth_history, mixed_boxes_meet, population_by_place,
+    latest_from_pixels, run_latest_with_faults, growth_history, mixed_boxes_meet, population_by_place, features_by_month, lake_slopes,
 )}
 
 PIXELS = "px AS (SELECT l_orderkey AS scene_id, CAST(l_quantity * 200 AS FLOAT) AS g, CAST(l_extendedprice / 10 AS FLOAT) AS n, l_quantity * 200 AS green, l_extendedprice / 10 AS nir, l_linenumber + 4 AS scl FROM lineitem)"
@@ -376,6 +398,12 @@ SELECT lake_id, row, col, round(arg_min(z, tile), 6) AS z FROM i GROUP BY 1, 2,
     "scene_processing": f"WITH {PIXELS}, m AS (SELECT scene_id, scl NOT IN (3, 8, 9, 10) AS ok, {INDEX} AS i FROM px), a AS (SELECT o_orderkey AS scene_id, coalesce(count(*) FILTER (ok AND i > 0), 0) * 100 / 1e6 AS area, CASE WHEN count(m.scene_id) = 0 THEN 1 ELSE CAST(count(*) FILTER (NOT ok) AS DOUBLE) / count(m.scene_id) END AS cf FROM orders LEFT JOIN m ON m.scene_id = o_orderkey GROUP BY 1) SELECT scene_id, round(CAST(area AS DOUBLE), 6) AS area_km2, round(CAST(cf AS DOUBLE), 6) AS cloud_fraction, cf <= 0.5 AS accepted FROM a",
 }
 ORACLE["score_reports"] = f"""SELECT CAST(lake_id AS VARCHAR) AS "lakeId", 'hazard-1' AS "runId", score, tier, '2001-08-02T00:00:00+00:00' AS "computedAt", '{AS_OF}' AS as_of FROM ({ORACLE['run_hazard']}) WHERE computed"""
+ORACLE["lake_slopes"] = f"""WITH {GRID}, t AS (SELECT vec_id AS tile, 70 + (vec_id % 50) * 0.01::DOUBLE AS w, 30 + (vec_id // 50) * 0.01::DOUBLE AS s FROM embeddings), c AS (SELECT tile, w + col * 0.002::DOUBLE AS lon, s + row * 0.002::DOUBLE AS lat, 3000 + 100 * v AS z FROM grid JOIN t ON tile = lake_id),
+l AS (SELECT tile AS lake_id, w + 0.006::DOUBLE AS lon, s + 0.006::DOUBLE AS lat, 0.0075::DOUBLE AS h FROM t), i AS (SELECT lake_id, tile, l.lat AS mid, CAST(-round(c.lat / 0.002::DOUBLE) AS INT) AS row, CAST(round(c.lon / 0.002::DOUBLE) AS INT) AS col, z FROM l JOIN c ON c.lon BETWEEN l.lon - h AND l.lon + h AND c.lat BETWEEN l.lat - h AND l.lat + h),
+z AS (SELECT lake_id, row, col, arg_min(z, tile) AS z, 0.002::DOUBLE * 111320 AS dy, 0.002::DOUBLE * 111320 * cos(radians(any_value(mid))) AS dx FROM i GROUP BY 1, 2, 3), n AS (SELECT *, lag(z) OVER x AS zl, lead(z) OVER x AS zr, lag(z) OVER y AS zu, lead(z) OVER y AS zd FROM z WINDOW x AS (PARTITION BY lake_id, row ORDER BY col), y AS (PARTITION BY lake_id, col ORDER BY row)),
+g AS (SELECT lake_id, (coalesce(zr, z) - coalesce(zl, z)) / (CASE WHEN zl IS NULL OR zr IS NULL THEN 1 ELSE 2 END * dx) AS gx, (coalesce(zd, z) - coalesce(zu, z)) / (CASE WHEN zu IS NULL OR zd IS NULL THEN 1 ELSE 2 END * dy) AS gy FROM n)
+SELECT lake_id, round(degrees(avg(atan(sqrt(gx * gx + gy * gy)))), 6) AS slope_degrees FROM g GROUP BY 1"""
+ORACLE["features_by_month"] = f"WITH {GROWTH}, {SEASON} SELECT lake_id, latest_at, round(g.area, 6) AS latest_km2, round(g30, 6) AS growth_30, round(g90, 6) AS growth_90, round(anomaly, 6) AS anomaly FROM growth g LEFT JOIN anomaly USING (lake_id)"
 
 ORDER_SCENES = f"""{PIXELS}, m AS (SELECT scene_id, scl NOT IN (3, 8, 9, 10) AS ok, {INDEX} AS i, scene_id % 101 = 0 AND scl = 5 AS broken FROM px), a AS (SELECT scene_id, count(*) FILTER (ok AND i > 0 {{ok}}) * 100 / 1e6 AS area, CAST(count(*) FILTER (NOT ok) AS DOUBLE) / count(*) AS cf, count(*) FILTER (broken) AS n_broken FROM m GROUP BY 1),
 scenes AS (SELECT o_custkey AS lake_id, o_orderkey AS scene_id, o_orderdate AS acquired_at, o_orderpriority AS source, o_orderkey % 100 AS pct, coalesce(area, 0) AS area, coalesce(cf, 1) AS cf, coalesce(n_broken, 0) AS n_broken FROM orders LEFT JOIN a ON scene_id = o_orderkey)"""

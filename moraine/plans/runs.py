@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import hazard, observations, scenes
-from ..sources.keyed import Commit, KeyedTable
+from ..sources.keyed import Commit, KeyedTable, Rollup
 
 
 def run_id(kind: str) -> str:
@@ -123,15 +123,16 @@ def summary(results: DataFrame) -> DataFrame:
     )
 
 
-def run_hazard(registry: DataFrame, lakes: DataFrame, static: DataFrame, obs: DataFrame, slope: DataFrame, as_of: str, exposure: DataFrame | None = None, computed_at: str | None = None) -> DataFrame:
+def run_hazard(registry: DataFrame, lakes: DataFrame, static: DataFrame, obs: DataFrame, slope: DataFrame, as_of: str, exposure: DataFrame | None = None, computed_at: str | None = None, months: bool = False) -> DataFrame:
     """Score, tier and document of every lake of the registry, or why it has none; write it as the score
     table or send it on from there.
 
     Errors: the lake is not seeded, its static row is missing, no slope is known.  computed_at (a
     timestamp, by default now) is set for scored lakes; alert_created is for the receiver to fill.
+    With ``months``, ``obs`` are the observations by lake and month.
     """
     known = hazard.with_static(observations.seeded(registry, lakes), static)
-    done = hazard.components(hazard.risks(hazard.inputs(known, obs, slope, as_of, exposure=exposure)), as_of)
+    done = hazard.components(hazard.risks(hazard.inputs(known, obs, slope, as_of, exposure=exposure, months=months)), as_of)
     at = F.lit(computed_at).cast("timestamp") if computed_at else F.current_timestamp()
     return done.select("ordinal", "slug", "lake_id", "score", "tier", "components", F.lit(None).cast("boolean").alias("alert_created"), F.when(F.col("score").isNotNull(), at).alias("computed_at"), "error")
 
@@ -150,14 +151,18 @@ def report_lines(found: DataFrame) -> DataFrame:
     return found.select("slug", "exit_code", F.coalesce(F.when(F.col("exit_code") == 0, clear), F.concat_ws(": ", "slug", "message")).alias("line"))
 
 
-def run_daily(registry: DataFrame, lakes: DataFrame, static: DataFrame, all_scenes: DataFrame, table: KeyedTable, slope: DataFrame, as_of: str, now: str, exposure: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def run_daily(registry: DataFrame, lakes: DataFrame, static: DataFrame, all_scenes: DataFrame, table: KeyedTable, slope: DataFrame, as_of: str, now: str, exposure: DataFrame | None = None, months: Rollup | None = None) -> tuple[DataFrame, DataFrame]:
     """The daily job: observe, append to the observation ``table``, then score what is there.
 
     ``all_scenes`` has area_km2 and cloud_fraction.  Returns the results of both passes; whatever starts
     it each day is outside.  A second run of a day appends nothing, and what other writers (a stream, a
-    backfill) have appended is scored but not counted as written.
+    backfill) have appended is scored but not counted as written.  With ``months`` (:func:`features.months` of
+    the table) what is new is folded into them, and scores read some 20 rows a lake, not all its observations.
     """
     known = observations.seeded(registry, lakes)
     rows, checked = _newest(known, scenes.latest_usable(all_scenes), all_scenes)
     _, results = _write(known, rows, checked, table, run_id("latest"), now)
-    return results, run_hazard(registry, lakes, static, table.read(), slope, as_of, exposure, now)
+    if months:
+        months.refresh()
+    seen = months.read() if months else table.read()
+    return results, run_hazard(registry, lakes, static, seen, slope, as_of, exposure, now, bool(months))

@@ -5,6 +5,7 @@ claims the next version: a small file in the log that lists the data folders whi
 Only one writer can create the file of a version; whoever comes second takes the keys out of its rows
 that were committed meanwhile, and claims the version after.  Readers follow the latest version, so
 that they never see a half-written append, and staged rows of a writer that died are not seen at all.
+A :class:`Rollup` is a summary of such a table that is kept up by what was appended.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from urllib.parse import urlparse
 
@@ -54,17 +56,39 @@ class KeyedTable:
         return at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), at
 
     def version(self) -> Version:
-        """The latest version.  Names of versions sort by number."""
+        """The latest version."""
+        numbers = self._numbers()
+        return self._version(numbers[-1]) if numbers else Version(-1, ())
+
+    def _numbers(self) -> list[int]:
+        """The numbers of all versions; their names sort by number."""
         fs, log = self._fs(f"{self.path}/log")
         names = sorted(s.getPath().getName() for s in fs.listStatus(log)) if fs.exists(log) else []
-        names = [n for n in names if n.endswith(".json")]
-        if not names:
-            return Version(-1, ())
-        # any file system that Spark reads
-        text = self.spark.read.text(f"{self.path}/log/{names[-1]}", wholetext=True).first()[0]
-        return Version(int(names[-1].removesuffix(".json")), tuple(json.loads(text)["folders"]))
+        return [int(n.removesuffix(".json")) for n in names if n.endswith(".json")]
 
-    def _of(self, folders) -> DataFrame:
+    def _version(self, number: int) -> Version:
+        # any file system that Spark reads
+        text = self.spark.read.text(f"{self.path}/log/{number:012d}.json", wholetext=True).first()[0]
+        return Version(number, tuple(json.loads(text)["folders"]))
+
+    def added(self, since: int, upto: Version) -> tuple[str, ...] | None:
+        """The data folders with the rows that came after version ``since``, each row once.  None where some of
+        them were compacted and then removed."""
+        numbers = [n for n in self._numbers() if since < n < upto.number]
+        before = self._version(since).folders if since >= 0 else ()
+        # one append later there is nothing between, and no log to walk
+        steps = [*(self._version(n) for n in numbers), upto]
+        new: list[str] = []
+        for step in steps:
+            if set(before) <= set(step.folders):
+                new += [f for f in step.folders if f not in before]
+            # else compacted: its folder holds rows of those that it replaced, which are listed already
+            before = step.folders
+        fs, _ = self._fs(self.path)
+        return tuple(new) if all(fs.exists(self._fs(f"{self.path}/data/{f}")[1]) for f in new) else None
+
+    def _of(self, folders: tuple[str, ...]) -> DataFrame:
+        """The rows of some data folders."""
         if not folders:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*(f"{self.path}/data/{f}" for f in folders))
@@ -170,3 +194,40 @@ class KeyedTable:
         for at in old:
             fs.delete(at, True)
         return len(old)
+
+
+class Rollup:
+    """The rows of ``fold`` over all rows of ``source``, at ``path``.
+
+    ``fold`` gives partial rows of any part of the source and ``merge`` makes one of the partial rows of
+    several parts, so that the parts may be cut anywhere.  A version of the rollup has the number of the
+    version of the source that it holds, and lists the parts that make it up: a refresh that dies leaves
+    nothing behind, one that runs twice folds no row twice, and of two at once either may come first.
+    """
+
+    def __init__(self, source: KeyedTable, path: str, schema: StructType | str, fold: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame], DataFrame], parts: int = 16):
+        self.source, self.fold, self.merge, self.parts = source, fold, merge, parts
+        self.table = KeyedTable(source.spark, path, schema, [])
+
+    def refresh(self) -> Version:
+        """Fold what the source has got since; rows that are known are not read again.  More than ``parts``
+        parts are merged into one."""
+        known, now = self.table.version(), self.source.version()
+        if now.number <= known.number:
+            return known
+        folders = self.source.added(known.number, now)
+        if folders is None:  # the source has thrown away what was not folded yet
+            known, folders = Version(-1, ()), now.folders
+        kept = known.folders
+        if folders:
+            rows = self.fold(self.source._of(folders))
+            if len(kept) >= self.parts:
+                rows, kept = self.merge(self.table._of(kept).unionByName(rows)), ()
+            kept = (*kept, self.table._stage(rows)[0])
+        if not self.table._claim(now.number, kept) and folders:
+            self.table._remove(kept[-1])  # another refresh folded the same rows
+        return self.table.version()
+
+    def read(self) -> DataFrame:
+        """The rows as of the last refresh."""
+        return self.merge(self.table.read())

@@ -16,6 +16,7 @@ from moraine.functions import pixels as px, risk
 from moraine.operators import asof, features, hazard, observations as ob, scenes as sc, terrain
 from moraine.plans import queries, runs
 from moraine.sources import providers
+from moraine.sources.keyed import KeyedTable
 from moraine.streaming.ingest import ingest
 
 SF = "/root/testdata/sf0.001"
@@ -89,6 +90,68 @@ def test_features_together_are_those_apart(spark):
     assert norm(both.select(apart.columns)) == norm(apart) and len(norm(both)) == 14
 
 
+def test_months_give_the_features_of_the_series(spark, tmp_path):
+    """Folded after any batches, late rows, replays and compactions: the features of the observations themselves."""
+    rng = random.Random(11)
+    rows = [(rng.choice([1, 1, 2, 3, None]), D("2024-01-01") + dt.timedelta(days=rng.randrange(1100)), rng.choice("ab"), k, rng.choice([0.0, None, rng.random()])) for k in range(500)]
+    rows += [(7, D("2020-01-01"), "a", 900, 1.0), (8, D("2027-01-01"), "a", 901, 1.0), (9, None, "a", 902, 1.0)]
+    rng.shuffle(rows)
+    table = ob.table(spark, str(tmp_path / "obs"))
+    months = features.months(table, str(tmp_path / "months"))
+    assert features.from_months(months.read(), "2026-07-01").count() == 0
+    norm = lambda df: sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect()), key=str)
+    months.parts = 3
+    for k, cut in enumerate(range(0, len(rows), 90)):
+        table.append(spark.createDataFrame(rows[cut : cut + 90], OBS))
+        if k in (2, 4):
+            table.compact()
+        if k != 1:  # two appends at once
+            assert months.refresh() == months.refresh()
+        if k == 4:
+            table.vacuum()
+    assert months.table.version().number == table.version().number and len(months.table.version().folders) <= 4
+    got = months.read()
+    assert got.groupBy("lake_id", "month").count().filter("count > 1").count() == 0 and got.selectExpr("max(size(days))").first()[0] <= 31
+    for as_of in ("2026-07-01", "2025-02-28", "2027-03-01", "2019-01-01"):
+        for strict in (False, True):
+            want = features.together(ob.lookback(table.read(), as_of, strict), as_of)
+            assert norm(features.from_months(got, as_of, strict).select(want.columns)) == norm(want), (as_of, strict)
+    plan = features.from_months(got, "2026-07-01", True)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(month," in plan and "LessThanOrEqual(month," in plan  # older months are not read
+
+
+def test_months_read_new_rows_only(spark, tmp_path, monkeypatch):
+    table = ob.table(spark, str(tmp_path / "obs"))
+    read = []
+    months = features.months(table, str(tmp_path / "months"))
+    fold = months.fold
+    months.fold = lambda df: read.append(df.count()) or fold(df)
+    batch = lambda *ids: spark.createDataFrame([(1, D("2026-01-01") + dt.timedelta(days=k), "s", k, 1.0) for k in ids], OBS)
+    for ids in ((1, 2, 3), (3, 4), (1,), (9,)):
+        table.append(batch(*ids))
+        months.refresh()
+    assert read == [3, 1, 1]
+    # a refresh that another one overtakes leaves its part behind nowhere
+    table.append(batch(20))
+    other, claim, done = features.months(table, str(tmp_path / "months")), KeyedTable._claim, []
+
+    def late(self, number, folders):
+        if self is months.table and not done:
+            done.append(other.refresh())
+        return claim(self, number, folders)
+
+    monkeypatch.setattr(KeyedTable, "_claim", late)
+    assert months.refresh() == done[0] and months.table.vacuum() == 0
+    assert months.read().selectExpr("sum(size(days))").first()[0] == 6
+    # rows that were compacted and removed before they were folded: all is folded again
+    for k in (30, 31):
+        table.append(batch(k))
+    table.compact()
+    table.vacuum()
+    months.refresh()
+    assert read[-1] == 8 and months.read().selectExpr("sum(size(days))").first()[0] == 8
+
+
 def scored(spark, **over):
     base = dict(lake_id=1, dam_type="bedrock", glacier_contact=False, historical_glof=False, growth_30=None, growth_90=None, anomaly=None, slope_degrees=0.0)
     schema = "lake_id long, dam_type string, glacier_contact boolean, historical_glof boolean, growth_30 double, growth_90 double, anomaly double, slope_degrees double"
@@ -122,6 +185,43 @@ def test_slope(spark, rise, want):
     assert one(terrain.mean_slope(cells))["slope_degrees"] == pytest.approx(want)
 
 
+def brute_slope(z, dx, dy):
+    """Of cells {(row, col): z}: differences to the neighbours that are there."""
+    steep = []
+    for (r, c), v in z.items():
+        if v is None:
+            continue
+        def change(before, after, spacing):
+            steps = 2 if before is not None and after is not None else 1
+            return ((v if after is None else after) - (v if before is None else before)) / (steps * spacing)
+        steep.append(math.atan(math.hypot(change(z.get((r, c - 1)), z.get((r, c + 1)), dx), change(z.get((r - 1, c)), z.get((r + 1, c)), dy))))
+    return math.degrees(sum(steep) / len(steep)) if steep else None
+
+
+def test_slope_of_tiles_is_that_of_cells(spark):
+    rng = random.Random(12)
+    shapes = {1: (7, 9), 2: (1, 1), 3: (1, 12), 4: (12, 1), 5: (3, 3), 6: (4, 4)}
+    whole = {k: {(r - 5, c - 4): rng.uniform(3000, 3100) for r in range(h) for c in range(w)} for k, (h, w) in shapes.items()}
+    schema = "lake_id long, row int, col int, z double, dx_m double, dy_m double"
+    table = lambda grids: spark.createDataFrame([(k, r, c, z, 30.0, 20.0 + k) for k, g in grids.items() for (r, c), z in g.items()], schema)
+    want = dict(terrain.mean_slope(table(whole)).collect())
+    # holes, null cells, a row and a column that are missing, a lake of nulls only
+    holes = {k: {at: (None if rng.random() < 0.1 else z) for at, z in g.items() if rng.random() < 0.8 and at[0] != -3} for k, g in whole.items() if k in (1, 5, 6)} | {7: {(0, 0): None}}
+    for side in (1, 2, 3, 4, 64):
+        got = dict(terrain.mean_slope_tiled(table(whole), side).collect())
+        assert got == {k: pytest.approx(v, abs=1e-9) for k, v in want.items()}, side
+        got = dict(terrain.mean_slope_tiled(table(holes), side).collect())
+        assert got == {k: pytest.approx(v, abs=1e-9) if v is not None else None for k, v in ((k, brute_slope(g, 30.0, 20.0 + k)) for k, g in holes.items())}, side
+    assert terrain.mean_slope_tiled(table({}).limit(0)).count() == 0
+
+
+def test_tiles_save_two_exchanges(spark):
+    cells = spark.range(4000).selectExpr("id % 3 AS lake_id", "CAST(id % 2 AS int) AS tile", "CAST(id / 60 AS int) AS row", "CAST(id % 60 AS int) AS col", "CAST(id AS double) AS z", "30D AS dx_m", "30D AS dy_m")
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    merged = cells.groupBy("lake_id", "row", "col").agg(F.min(F.struct("tile", "z", "dx_m", "dy_m")).alias("t")).select("lake_id", "row", "col", "t.z", "t.dx_m", "t.dy_m")
+    assert (exchanges(terrain.mean_slope(merged)), exchanges(terrain.mean_slope_tiled(cells))) == (4, 2)
+
+
 def test_population(spark):
     lakes = spark.createDataFrame([(1, 74.6, 36.4), (2, 10.0, 10.0)], "lake_id long, lon double, lat double")
     pop = spark.createDataFrame([(74.6 + i / 1000, 36.4, 2.0) for i in range(5)] + [(74.6, 36.401, -99999.0), (75.6, 36.4, 7.0)], "lon double, lat double, pop double")
@@ -467,6 +567,14 @@ def test_stream_then_backfill_then_daily(spark, tmp_path):
     rows = {r["scene_id"]: r for r in table.read().collect()}
     assert {k: (r["area_km2"], r["cloud_fraction"], r["run_id"].split("-")[0]) for k, r in rows.items()} == {4: (0.0004, 0.0, "stream"), 16: (0.0002, 0.0, "backfill"), 7: (0.0008, 0.0, "latest")}
     assert len({r["row_id"] for r in rows.values()}) == 3
+    months = features.months(table, str(tmp_path / "months"))
+    _, by_month = runs.run_daily(registry, lakes, static, today, table, slope, "2026-07-01", "2026-07-01 12:00:00", months=months)
+    assert sorted(map(str, by_month.collect())) == sorted(map(str, scored.collect()))
+    later = at((7, 2))
+    later.write.parquet(str(tmp_path / "in2"))
+    stream = spark.readStream.schema(later.schema).parquet(str(tmp_path / "in2"))
+    ingest(stream, table.path, str(tmp_path / "ck2"), pixels=pixel_table(spark, {7: True}, 4), months=months).awaitTermination()
+    assert months.table.version().number == table.version().number and months.read().selectExpr("sum(size(days))").first()[0] == 4
     raw = json.loads(one(scored.filter("slug = 'a'"))["components"])["raw_inputs"]
     assert (raw["growth_30d_pct"], raw["growth_90d_pct"]) == (pytest.approx(3.0), pytest.approx(1.0))
 
