@@ -40,20 +40,23 @@ def mean_slope_tiled(cells: DataFrame, side: int = TILE) -> DataFrame:
     4 / ``side`` more rows), and that is the one shuffle before the mean: where several elevation tiles
     have a cell the first one's value counts, each row of a tile becomes one array, rows follow each other
     in a window over the tile, and gradients are taken by position.  A large lake is many tiles, and an
-    array is never longer than ``side`` + 2.  A missing cell (or a null z) is an edge: its neighbours take
+    array is not longer than ``side`` + 2 for each tile that covers it.  A missing cell (or a null z) is an edge: its neighbours take
     one-sided differences, where :func:`mean_slope` takes the next cell there is.
     """
-    tile = lambda x: F.floor(F.col(x) / side)
+    tile = lambda x: F.floor(F.col(x) / side).cast("int")
     at = lambda x: F.col(x) - tile(x) * side
     home = F.struct(tile("row").alias("r"), tile("col").alias("c"))
     beside = lambda when, r, c: F.when(when, F.struct((tile("row") + r).alias("r"), (tile("col") + c).alias("c")))
     shared = [beside(at("row") == 0, -1, 0), beside(at("row") == side - 1, 1, 0), beside(at("col") == 0, 0, -1), beside(at("col") == side - 1, 0, 1)]
-    order = F.col("tile") if "tile" in cells.columns else F.lit(0)
-    dealt = cells.select("lake_id", F.explode(F.array_compact(F.array(home, *shared))).alias("t"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), order.alias("tile"), "z", "dx_m", "dy_m")
+    inner = at("row").between(1, side - 2) & at("col").between(1, side - 2)
+    value = ["col", *[c for c in ("tile",) if c in cells.columns], "z"]
+    dealt = cells.select("lake_id", F.explode(F.when(inner, F.array(home)).otherwise(F.array_compact(F.array(home, *shared)))).alias("t"), F.col("row").cast("int").alias("row"), F.struct(*value).alias("v"), "dx_m", "dy_m")
     key = ["lake_id", "tr", "tc"]
-    dealt = dealt.select("lake_id", F.col("t.r").alias("tr"), F.col("t.c").alias("tc"), "row", "col", "tile", "z", "dx_m", "dy_m").repartition(*key)
-    one = dealt.groupBy(*key, "row", "col").agg(F.min(F.struct("tile", "z", "dx_m", "dy_m")).alias("v"))
-    strips = one.groupBy(*key, "row").agg(F.array_sort(F.collect_list(F.struct("col", F.col("v.z").alias("z")))).alias("cells"), F.max("v.dx_m").alias("dx_m"), F.max("v.dy_m").alias("dy_m"))
+    dealt = dealt.select("lake_id", F.col("t.r").alias("tr"), F.col("t.c").alias("tc"), "row", "v", "dx_m", "dy_m").repartition(*key)
+    strips = dealt.groupBy(*key, "row").agg(F.array_sort(F.collect_list("v")).alias("cells"), F.max("dx_m").alias("dx_m"), F.max("dy_m").alias("dy_m"))
+    if "tile" in cells.columns:
+        first = F.filter("cells", lambda x, i: (i == 0) | (F.get("cells", i - 1)["col"] != x["col"]))
+        strips = strips.withColumn("cells", first)
     # z by position from the first column on; where columns are missing, with nulls
     start, end = F.element_at("cells", 1)["col"], F.element_at("cells", -1)["col"]
     filled = F.transform(F.sequence(start, end), lambda c: F.get(F.filter("cells", lambda x: x["col"] == c), 0)["z"])
@@ -62,19 +65,26 @@ def mean_slope_tiled(cells: DataFrame, side: int = TILE) -> DataFrame:
     near = lambda f, step: F.when(f("row").over(rows) == F.col("row") + step, F.struct(f("start").over(rows).alias("start"), f("z").over(rows).alias("z")))
     strips = strips.withColumns({"above": near(F.lag, -1), "below": near(F.lead, 1)}).filter(tile("row") == F.col("tr"))
 
-    def slope_at(z: Column, i: Column) -> Column:
-        def change(before: Column, after: Column, spacing: str) -> Column:
-            steps = F.when(before.isNull() | after.isNull(), 1.0).otherwise(2.0)
-            return (F.coalesce(after, z) - F.coalesce(before, z)) / (steps * F.col(spacing))
+    def beside_z(strip: str) -> Column:
+        """The array of another strip, shifted so that its columns stand where this strip's do."""
+        shift = F.col(f"{strip}.start") - F.col("start")
+        there = F.col(f"{strip}.z")
+        return F.when(shift == 0, there).when(shift > 0, F.concat(F.array_repeat(F.lit(None).cast("double"), shift), there)).otherwise(F.slice(there, 1 - shift, F.size(there)))
 
-        other = lambda strip: F.get(F.col(f"{strip}.z"), i + F.col("start") - F.col(f"{strip}.start"))
-        return F.atan(F.hypot(change(F.get("z", i - 1), F.get("z", i + 1), "dx_m"), change(other("above"), other("below"), "dy_m")))
+    none = F.array(F.lit(None).cast("double"))
+    around = {"z": F.col("z"), "left": F.concat(none, "z"), "right": F.slice("z", 2, F.size("z")), "up": beside_z("above"), "down": beside_z("below")}
+    # arrays that end sooner, or are not there, are nulls
+    zipped = strips.select("lake_id", "tc", "dx_m", "dy_m", F.sequence("start", F.col("start") + F.size("z") - 1).alias("col"), *[F.coalesce(v, none).alias(k) for k, v in around.items()])
+    each = zipped.select("lake_id", "tc", "dx_m", "dy_m", F.inline(F.arrays_zip("col", *around)))
 
+    def change(before: str, after: str, spacing: str) -> Column:
+        steps = F.when(F.col(before).isNull() | F.col(after).isNull(), 1.0).otherwise(2.0)
+        return (F.coalesce(after, "z") - F.coalesce(before, "z")) / (steps * F.col(spacing))
+
+    across, along = change("left", "right", "dx_m"), change("up", "down", "dy_m")
     # of a strip its own cells: neither the halo nor what is missing
-    own = lambda i: F.floor((F.col("start") + i) / side) == F.col("tc")
-    steep = F.filter(F.transform("z", lambda z, i: F.when(own(i) & z.isNotNull(), slope_at(z, i))), lambda x: x.isNotNull())
-    sums = strips.select("lake_id", steep.alias("steep")).select("lake_id", F.aggregate("steep", F.lit(0.0), lambda a, x: a + x).alias("s"), F.size("steep").alias("n"))
-    return sums.groupBy("lake_id").agg(F.degrees(F.try_divide(F.sum("s"), F.sum("n"))).alias("slope_degrees"))
+    steep = F.when((tile("col") == F.col("tc")) & F.col("z").isNotNull(), F.atan(F.sqrt(across * across + along * along)))
+    return each.groupBy("lake_id").agg(F.degrees(F.avg(steep)).alias("slope_degrees"))
 
 
 def mosaic(tiles: DataFrame) -> DataFrame:
