@@ -42,6 +42,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/moraine/{name}-{uuid.uuid4().hex}"
 
 
+def made(spark: SparkSession, name: str) -> list[str]:
+    """Paths of the tables of that name in the shared folder that were written to their end."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/moraine/{name}-*/_SUCCESS")
+    found = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(at)
+    return sorted(x.getPath().getParent().toString() for x in found or [])
+
+
 #: Removes the shuffle files of a query when it has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

@@ -1,7 +1,7 @@
 """Near duplicates by bottom-k sketches from one hash function.
 
-1. A text's shingle set is hashed once; its sketch is the K least hashes.  Texts with equal sets
-   (a 128-bit fingerprint of all hashes) become one class and go on as its least id.
+1. A text's shingle set is hashed once; its sketch is the K least hashes.  Texts with the same words
+   in the same order (BLAKE2b of the words) become one class and go on as its least id.
 2. Inverted lists: retained value -> classes.  Two sets with Jaccard t share at least ``need`` of
    their retained values but for one pair in MISS, so each class enters only its rarest
    ``K - need + 1`` values, rarest by the number of classes: one of these is shared.  Values that
@@ -15,10 +15,13 @@
    lists by bands of size, in which a set that is far from the centre of its group has only values
    of its own.  They are paired with the most ordinary member, then those pairs follow that the
    components still separate, so no link between components is lost.
+
+With ``exact`` all classes go to step 5 at once and no pair is estimated, so MISS plays no part.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, scratch, skew_join, stored, without
 from .graph import components
-from .shingles import mix, shingle_sets
+from .shingles import shingle_sets, text_bytes
 
 K = 32
 #: Texts of an Arrow batch that are held as hashes or words at once.
@@ -73,20 +76,20 @@ def _texts(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def sketches(docs: DataFrame, size: int = 5, k: int | None = K) -> DataFrame:
-    """id, h (hash of the text), n (size of the shingle set), fp (binary fingerprint of it), sketch
-    (array<long>, ascending; the whole set if k is None).
+    """id, h (hash of the text), n (size of the shingle set), fp (binary fingerprint of the lower-cased
+    words in order), sketch (array<long>, ascending; the whole set if k is None).
 
     A text of fewer than ``size`` words has its whole sequence as one shingle; a null text or one
     without words has the empty set, n 0.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salts = np.array([0x5851F42D4C957F2D, 0x14057B7EF767814F], dtype=np.uint64)
         for batch in _slices(batches):
-            ns, fps, kept = [], [], []
+            data, ends = text_bytes(batch.column("text"))
+            fps = [hashlib.blake2b(b" ".join(data[a:b].tobytes().lower().split()), digest_size=16).digest() for a, b in zip(ends[:-1], ends[1:])]
+            ns, kept = [], []
             for s in shingle_sets(batch.column("text"), size):
                 ns.append(len(s))
-                fps.append(b"".join(mix(s.view(np.uint64) ^ x).sum(dtype=np.uint64).tobytes() for x in salts))
                 kept.append(s[:k])
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in kept]))).astype(np.int32)
             flat = np.concatenate([*kept, np.zeros(0, np.int64)])
@@ -235,33 +238,39 @@ def _classes(rows: DataFrame) -> DataFrame:
     return stored(split.filter("not own").drop("own").withColumn("id", F.col("rep")).unionByName(extra), "near-split-classes")
 
 
-def _named(rows: DataFrame, docs: DataFrame, percent: int, size: int, k: int) -> DataFrame:
-    """(fp, component, members), stored: the component of each set."""
+def _named(rows: DataFrame, docs: DataFrame, percent: int, size: int, k: int, exact: bool) -> DataFrame:
+    """(fp, component, members), stored: the component of each sequence of words."""
     classes = _classes(rows)
     firsts = classes.select(F.col("rep").alias("_rep"), F.col("fp").alias("_fp"), F.col("id").alias("_class"))
     reps = rows.join(firsts, (F.col("id") == F.col("_rep")) & (F.col("fp") == F.col("_fp"))).select(F.col("_class").alias("id"), "n", "sketch")
     reps = stored(reps.dropDuplicates(["id"]), "near-reps")
 
-    # lists by value and size: linked sizes are in one class of sizes or in neighbouring ones
-    step = math.log(100 / percent)
-    entries = _index(reps, percent, k).withColumn("s", F.floor(F.log("n") / step + 1e-9).cast("int"))
-    lists = stored(entries.select("v", "id", "n", "own", F.explode(F.array(F.struct(F.col("s"), F.lit(True).alias("home")), F.struct((F.col("s") - 1).alias("s"), F.lit(False).alias("home")))).alias("t")).select("v", "t.s", "t.home", "id", "n", "own"), "near-lists")
     close = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
     def accepted(pairs: DataFrame) -> DataFrame:
         """Of (a, b, na, nb): the links."""
         pairs = pairs.filter(close & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         sa, sb = (reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
-        likely = pairs.join(sb, "b").join(sa, "a").filter(_estimate(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb"), percent, k)).select("a", "b")
-        return stored(_verify(stored(likely, "near-likely"), docs, classes, percent, size), "near-links")
+        if not exact:
+            pairs = pairs.join(sb, "b").join(sa, "a").filter(_estimate(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb"), percent, k)).select("a", "b")
+        return stored(_verify(stored(pairs, "near-likely"), docs, classes, percent, size), "near-links")
+
+    if exact:
+        open_, links = stored(reps.select("id"), "near-open-ids"), docs.sparkSession.createDataFrame([], "a long, b long")
+        found = stored(components(links), "near-components")
+    else:
+        # lists by value and size: linked sizes are in one class of sizes or in neighbouring ones
+        step = math.log(100 / percent)
+        entries = _index(reps, percent, k).withColumn("s", F.floor(F.log("n") / step + 1e-9).cast("int"))
+        lists = stored(entries.select("v", "id", "n", "own", F.explode(F.array(F.struct(F.col("s"), F.lit(True).alias("home")), F.struct((F.col("s") - 1).alias("s"), F.lit(False).alias("home")))).alias("t")).select("v", "t.s", "t.home", "id", "n", "own"), "near-lists")
+        links = accepted(_star(lists))
+        found = stored(components(links), "near-components")
 
-    links = accepted(_star(lists))
-    found = stored(components(links), "near-components")
+        # members of lists that have more than one component still
+        placed = _placed(lists, found)
+        mixed = placed.groupBy("v", "s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("home").alias("any")).filter("lo < hi and any").select("v", "s")
+        open_ = stored(placed.join(mixed, ["v", "s"], "left_semi").select("id").distinct(), "near-open-ids")
 
-    # members of lists that have more than one component still
-    placed = _placed(lists, found)
-    mixed = placed.groupBy("v", "s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("home").alias("any")).filter("lo < hi and any").select("v", "s")
-    open_ = stored(placed.join(mixed, ["v", "s"], "left_semi").select("id").distinct(), "near-open-ids")
     if not open_.isEmpty():
         whole = stored(_whole_lists(docs, classes, open_, percent, size), "near-whole")
         links = links.unionAll(accepted(_star(whole)))
@@ -279,31 +288,34 @@ def _named(rows: DataFrame, docs: DataFrame, percent: int, size: int, k: int) ->
     return stored(named.select("fp", "component", "members"), "near-named")
 
 
-def _rows(docs: DataFrame, percent: int, size: int, k: int) -> DataFrame:
+def _rows(docs: DataFrame, percent: int, size: int, k: int, exact: bool) -> DataFrame:
     """``near_components`` and h, the hash of the row's text.  Of what is stored on the way only the
     sketches and the table of classes stay."""
     with scratch() as keep:
         rows = keep(stored(sketches(docs, size, k), "near-sketches"))
-        named = keep(_named(rows, docs, percent, size, k))
+        named = keep(_named(rows, docs, percent, size, k, exact))
     joined = skew_join(rows.select("id", "h", "n", F.when(F.col("n") > 0, F.col("fp")).alias("fp")), named, "fp", "members", "id")
     component = F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
     return joined.select("id", "h", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
 
 
-def near_components(docs: DataFrame, percent: int = 80, size: int = 5, k: int = K) -> DataFrame:
+def near_components(docs: DataFrame, percent: int = 80, size: int = 5, k: int = K, exact: bool = False) -> DataFrame:
     """id, n_shingles, component_id, kept for each row of ``docs``.
 
     Texts are linked when 100 * |intersection| >= percent * |union| of their shingle sets;
     component_id is the least id that links reach, kept the rows with that id.  Empty sets are
     linked with nothing.  Rows with one id and different texts are searched each by its own text.
     A text that only rows without an id have is linked with nothing.
+
+    A pair just at the threshold stays unlinked with odds of MISS.  ``exact`` finds every link, but
+    for chance equality of 64-bit hashes, at the price of whole sets of all classes in prefix lists.
     """
-    return _rows(docs, percent, size, k).drop("h")
+    return _rows(docs, percent, size, k, exact).drop("h")
 
 
-def near_dedup(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
+def near_dedup(docs: DataFrame, percent: int = 80, size: int = 5, exact: bool = False) -> DataFrame:
     """The rows of ``docs``, whole, that are the least of their component; null ids stay."""
     with scratch() as keep:
-        dropped = _rows(docs, percent, size, K).filter(~F.col("kept") & F.col("id").isNotNull())
+        dropped = _rows(docs, percent, size, K, exact).filter(~F.col("kept") & F.col("id").isNotNull())
         dropped = keep(stored(dropped.select("id", F.col("h").alias("digest")).distinct(), "near-dropped"))
     return without(docs, dropped, text_hash())

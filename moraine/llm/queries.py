@@ -15,14 +15,16 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    led = rules.apply_policy(rules.ledger(_docs(spark, sf_dir)), "v1")
+    """Evaluates the rules anew, whatever ledgers there are, and leaves one for ``quality_rule_ablations``."""
+    led = rules.apply_policy(rules.keep_ledger(_docs(spark, sf_dir)), "v1")
     base = rules.fails(F.col("fail_bits"), rules.mask_of(*rules.POLICIES["base"]))
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "fail_bits")
 
 
 def quality_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each rule of the policy does to the corpus, from the ledger alone."""
-    return rules.ablations(rules.ledger(_docs(spark, sf_dir)), "v1")
+    """What each rule of the policy does to the corpus, from the ledger alone: the one that
+    ``op1_quality_rules`` left, if the files are still the same."""
+    return rules.ablations(rules.kept_ledger(_docs(spark, sf_dir)), "v1")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,14 +7,17 @@ or taken apart without reading a text again.  All of it is built-in Spark expres
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, words_of
+from .common import let, made, stored, words_of
 
 WINDOW = 8
+#: Goes up when a measurement comes to mean something else: ledgers kept before are not found then.
+MEASURES = 1
 
 
 @dataclass(frozen=True)
@@ -132,11 +135,44 @@ def ledger(docs: DataFrame) -> DataFrame:
     """
     names = ("n_words", "word_chars", "n_symbols", "n_capitals", "n_lines", "n_dup_lines", "n_repeat_words", "n_stutter")
     keep = [x for x in ("doc_id", "source") if x in docs.columns]
-    measured = measure(docs.select(*keep, "text")).select(*keep, *names)
-    bits = F.lit(0).cast("long")
+    led = measure(docs.select(*keep, "text")).select(*keep, *names).withColumn("fail_bits", F.lit(0).cast("long"))
     for r in _rules():
-        bits = bits.bitwiseOR(F.when(r.fails, F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long"))
-    return measured.withColumn("fail_bits", bits)
+        led = with_rule(led, r)
+    return led
+
+
+def with_rule(led: DataFrame, rule: Rule) -> DataFrame:
+    """``led`` with the bit of ``rule`` set from the measurements, and no other changed: a rule that is
+    new, or has a new limit, costs no reading of texts.  Where ``fails`` is null the bit is 0."""
+    others = F.col("fail_bits").bitwiseAND(F.bitwise_not(F.lit(1 << rule.bit).cast("long")))
+    return led.withColumn("fail_bits", others.bitwiseOR(F.when(rule.fails, F.lit(1 << rule.bit)).otherwise(F.lit(0)).cast("long")))
+
+
+def ledger_key(docs: DataFrame) -> str:
+    """Names the ledger of ``docs``, a table as it was read from files: the files' paths, sizes and
+    times with the rules and what they measure.  A file without rows adds nothing to a ledger."""
+    files = docs.select(*(f"_metadata.{x}" for x in ("file_path", "file_size", "file_modification_time"))).distinct()
+    marks = (F.bit_xor(F.xxhash64(F.lit(salt), *files.columns)) for salt in (1, 2))
+    found = files.agg(F.count(F.lit(1)), *marks).first()
+    said = [(r.bit, r.name, str(r.fails)) for r in _rules()]
+    return hashlib.sha256(repr((MEASURES, said, tuple(found))).encode()).hexdigest()[:32]
+
+
+def keep_ledger(docs: DataFrame) -> DataFrame:
+    """Evaluate the rules on all of ``docs`` (read from files) and keep the ledger in the shared folder,
+    where ``kept_ledger`` finds it for as long as the files and the rules stay as they are."""
+    return stored(ledger(docs), f"ledger-{ledger_key(docs)}")
+
+
+def kept_ledger(docs: DataFrame) -> DataFrame:
+    """The ledger of ``docs`` that was kept, and evaluated now only where there is none.
+
+    Only a ledger that was written to its end counts, so a writer that died or is not done is passed
+    over; of two that were written at once either serves."""
+    paths = made(docs.sparkSession, f"ledger-{ledger_key(docs)}")
+    if not paths:
+        return keep_ledger(docs)
+    return docs.sparkSession.read.schema(ledger(docs).schema).parquet(paths[0])
 
 
 def fails(bits: Column, mask: int) -> Column:

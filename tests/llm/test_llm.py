@@ -73,6 +73,42 @@ def test_rules_against_brute_force(spark, docs, texts, empty):
         assert (r["n_failed"], r["n_failed_alone"], r["n_kept_without"]) == (sum(b & m > 0 for b in bits), sum(b & mask == m for b in bits), sum(b & mask & ~m == 0 for b in bits))
 
 
+def test_ledger_is_kept_and_found(spark, docs, tmp_path, monkeypatch):
+    path = str(tmp_path / "documents.parquet")
+    docs.write.parquet(path)
+    read = lambda: spark.read.parquet(path)
+    want = sorted(map(tuple, rules.ledger(read()).collect()), key=str)
+    assert sorted(map(tuple, rules.kept_ledger(read()).collect()), key=str) == want
+    key = rules.ledger_key(read())
+    assert len(common.made(spark, f"ledger-{key}")) == 1
+    with monkeypatch.context() as m:  # no text is read again
+        m.setattr(rules, "keep_ledger", lambda *_: pytest.fail("evaluated again"))
+        found = rules.kept_ledger(read())
+        assert sorted(map(tuple, found.collect()), key=str) == want
+        assert found.inputFiles() and not any("documents" in x for x in found.inputFiles())
+    # new rows: another ledger, and one whose writer died does not count
+    docs.limit(1).write.mode("append").parquet(path)
+    assert rules.ledger_key(read()) != key
+    common.stored(rules.ledger(read()).limit(0), f"ledger-{rules.ledger_key(read())}")
+    (gone,) = common.made(spark, f"ledger-{rules.ledger_key(read())}")
+    from pathlib import Path
+
+    (Path(gone.removeprefix("file:")) / "_SUCCESS").unlink()
+    assert rules.kept_ledger(read()).count() == len(want) + 1
+
+
+def test_a_new_rule_is_set_from_the_ledger(spark, docs):
+    led = rules.ledger(docs)
+    before = rows_of(led)
+    long_words = rules.Rule(9, "long_words", F.col("word_chars") > 3 * F.col("n_words"))
+    looser = rules.Rule(0, "few_words", F.col("n_words") < 3)
+    unknown = rules.Rule(10, "unknown", F.lit(None).cast("boolean"))
+    after = rows_of(rules.with_rule(rules.with_rule(rules.with_rule(led, long_words), looser), unknown))
+    for i, r in before.items():
+        want = (r["fail_bits"] & ~1) | (r["n_words"] < 3) | (512 if r["word_chars"] > 3 * r["n_words"] else 0)
+        assert after[i] == r | {"fail_bits": want}
+
+
 def test_exact(spark, docs, texts, empty):
     import re
 
@@ -103,12 +139,35 @@ def brute_components(texts, percent):
     return [len(s) for s in sets], [find(i) for i in range(len(sets))]
 
 
-@pytest.mark.parametrize("percent", [85, 95])
-def test_near(spark, docs, texts, empty, percent):
+@pytest.mark.parametrize("percent, exact", [(85, False), (95, False), (85, True)])
+def test_near(spark, docs, texts, empty, percent, exact):
     sizes, want = brute_components(texts, percent)
-    for r in neardup.near_components(docs, percent).collect():
+    for r in neardup.near_components(docs, percent, exact=exact).collect():
         assert (r["n_shingles"], r["component_id"], r["kept"]) == (sizes[r["id"]], want[r["id"]], want[r["id"]] == r["id"])
-    assert neardup.near_components(empty).count() == 0
+    assert neardup.near_components(empty, exact=exact).count() == 0
+
+
+def test_exact_near_does_without_sketches(spark):
+    """Links at the threshold among others just below it, found with the poorest sketches there are."""
+    rng = random.Random(5)
+    texts = []
+    for _ in range(12):
+        w = [f"u{rng.random()}" for _ in range(104)]  # 100 shingles; k changed words at the end cost k of them
+        texts += [" ".join(w), *(" ".join(w[:-k] + [f"v{rng.random()}" for _ in range(k)]) for k in (8, 9))]
+    sizes, want = brute_components(texts, 85)
+    assert want[1] == 0 and want[2] in (0, 2)
+    found = neardup.near_components(frame(spark, texts), 85, k=1, exact=True).collect()
+    assert {r["id"]: (r["n_shingles"], r["component_id"]) for r in found} == {i: (n, c) for i, (n, c) in enumerate(zip(sizes, want))}
+
+
+def test_equal_sets_of_other_word_orders_are_compared(spark):
+    """Texts with one set of shingles and different words in a row are classes of their own, linked by their words."""
+    turn = " ".join(f"t{i}" for i in range(7))
+    texts = [" ".join([turn] * 3), " ".join([turn] * 4), (" ".join([turn] * 3)).upper().replace(" ", "\n"), "z " * 9, "z " * 400]
+    rows = neardup.sketches(frame(spark, texts)).collect()
+    assert len({bytes(r["fp"]) for r in rows}) == 4
+    found = neardup.near_components(frame(spark, texts), 85).collect()
+    assert {r["id"]: r["component_id"] for r in found} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3}
 
 
 def test_components(spark):
