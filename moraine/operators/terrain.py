@@ -262,13 +262,23 @@ def in_boxes_by_place(boxes: DataFrame, places: DataFrame) -> DataFrame:
     return points_in_boxes(boxes, _of_zones(places, boxes.select(F.explode(zones_of(F.col("box"))).alias("zone"))))
 
 
+def totals_in_boxes(boxes: DataFrame, places: DataFrame) -> DataFrame:
+    """(box, n, p) of each box with a cell in it: its cells (lon, lat, pop) and their people; negative counts 0.
+    Each place and each box once in the range join, however many rows have them."""
+    at = places.groupBy("lon", "lat").agg(F.count(F.lit(1)).alias("n"), F.sum(F.greatest(F.col("pop").cast("double"), F.lit(0.0))).alias("p"))
+    return points_in_boxes(boxes.select("box").distinct(), at).groupBy("box").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+
+
+def totals_by_place(boxes: DataFrame, places: DataFrame) -> DataFrame:
+    """:func:`totals_in_boxes` with a table written by :func:`write_by_place`: of it the zones of ``boxes`` are read."""
+    each = boxes.select("box").distinct()
+    return totals_in_boxes(each, _of_zones(places, each.select(F.explode(zones_of(F.col("box"))).alias("zone"))))
+
+
 def exposure(lakes: DataFrame, population: DataFrame, radius_km: float) -> DataFrame:
     """lake_id, population: of cells in the buffer box; negative (no data) counts 0, no cells 0."""
     boxes = lakes.select("lake_id", geo.buffer_box(F.col("lon"), F.col("lat"), F.lit(radius_km)).alias("box"))
-    # each place and each box once in the range join
-    places = population.groupBy("lon", "lat").agg(F.sum(F.greatest(F.col("pop").cast("double"), F.lit(0.0))).alias("p"))
-    found = points_in_boxes(boxes.select("box").distinct(), places).groupBy("box").agg(F.sum("p").alias("p"))
-    return boxes.join(found, "box", "left").select("lake_id", F.coalesce("p", F.lit(0.0)).alias("population"))
+    return boxes.join(totals_in_boxes(boxes, population), "box", "left").select("lake_id", F.coalesce("p", F.lit(0.0)).alias("population"))
 
 
 def exposure_document(population: Column, radius_km: float = BUFFER_KM) -> Column:

@@ -184,8 +184,9 @@ def population_by_place(s: SparkSession, d: str) -> DataFrame:
     """People in boxes of mixed size, from a table laid out by place, of which the zones of the boxes are read."""
     path = f"{Scratch(s, 'places').path}/population"
     terrain.write_by_place(src.population(s, d), path)
-    found = terrain.in_boxes_by_place(_mixed_boxes(s, d), s.read.parquet(path))
-    return found.groupBy("lake_id").agg(F.count(F.lit(1)).alias("n_cells"), _r(F.sum(F.greatest("pop", F.lit(0.0))), 3).alias("population"))
+    boxes = _mixed_boxes(s, d)
+    found = boxes.join(terrain.totals_by_place(boxes, s.read.parquet(path)), "box")
+    return found.groupBy("lake_id").agg(F.sum("n").alias("n_cells"), _r(F.sum("p"), 3).alias("population"))
 
 
 def run_summary(s: SparkSession, d: str) -> DataFrame:

@@ -472,6 +472,27 @@ def test_boxes_of_any_size_meet_once(spark):
     assert sorted(map(tuple, met.select("a", "p").collect())) == sorted((i, k) for i, q in a for k, x, y in points if q[0] <= x <= q[2] and q[1] <= y <= q[3])
 
 
+def copies(spark, into, times):
+    """The tables of places, so many times with other keys: places and widths of boxes repeat."""
+    for name, key in (("customer", "c_custkey"), ("supplier", "s_suppkey"), ("embeddings", "vec_id")):
+        t = spark.read.parquet(f"{SF}/{name}.parquet")
+        t.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).withColumn(key, F.col("_i") * 3000 + F.col(key)).drop("_i").write.parquet(f"{into}/{name}.parquet")
+
+
+def test_population_by_place_takes_each_box_and_place_once(spark, tmp_path, monkeypatch):
+    seen, join = [], terrain.points_in_boxes
+    monkeypatch.setattr(terrain, "points_in_boxes", lambda boxes, points: seen.append((boxes.count(), points.count())) or join(boxes, points))
+    got = []
+    for times in (1, 3):
+        copies(spark, tmp_path / str(times), times)
+        got.append(queries.population_by_place(spark, str(tmp_path / str(times))).collect())
+    assert seen[0] == seen[1]
+    one, three = ({r["lake_id"]: r for r in rows} for rows in got)
+    assert len(three) == 3 * len(one) > 0
+    for k, r in three.items():
+        assert r["n_cells"] == 3 * one[k % 3000]["n_cells"] and r["population"] == pytest.approx(3 * one[k % 3000]["population"], abs=0.01)
+
+
 def test_a_window_reads_the_files_of_its_zones(spark, tmp_path):
     rng = random.Random(6)
     points = [(k, rng.uniform(-179, 179), rng.uniform(-80, 80)) for k in range(400)] + [(5000 + k, 74.5 + k / 1e4, 36.3) for k in range(1500)]  # a hot zone
