@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -175,6 +176,44 @@ def _levels(boxes: DataFrame, box: str) -> list[int]:
     return sorted(r[0] for r in boxes.select(level_of(F.col(box)).alias("level")).distinct().collect())
 
 
+#: Comparisons in one piece of a crowded cell, and in one task of a join by cells, about; rows of such a task.
+PIECE, TASK, TASK_ROWS = 16_000_000, 64_000_000, 1_000_000
+
+#: Crowded cells that are broadcast, at most.
+CROWDED = 1_000_000
+
+_CELL = ["level", "cx", "cy"]
+
+
+def _compared(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Joins rows placed in cells: each of ``left`` with each of ``right`` in its cell, in tasks of about equal work.
+
+    A cell with more than PIECE pairs to compare is dealt: each side is cut by a hash of its rows into pieces,
+    of about the root of PIECE rows where both sides have many, and each piece of one side meets each of the
+    other apart.  There are as many tasks as the comparisons need, so that none grows with the tables, and no
+    side is broadcast.  Rows equal in all columns stay together.
+    """
+    count = lambda df, n: df.groupBy(_CELL).agg(F.count(F.lit(1)).cast("double").alias(n))
+    cells = count(left, "_n").join(count(right, "_m"), _CELL, "full").withColumns({c: F.coalesce(c, F.lit(1.0)) for c in ("_n", "_m")})
+    crowded = F.col("_n") * F.col("_m") > PIECE
+    pairs, rows, n_crowded = cells.agg(F.sum(F.col("_n") * F.col("_m")), F.sum(F.col("_n") + F.col("_m")), F.count_if(crowded)).first()
+    tasks = max(left.sparkSession.sparkContext.defaultParallelism, math.ceil((pairs or 0) / TASK), math.ceil((rows or 0) / TASK_ROWS))
+    if n_crowded:
+        cut = lambda n, m: F.ceil(F.col(n) / F.greatest(F.lit(math.sqrt(PIECE)), PIECE / F.col(m)))
+        dealt = cells.filter(crowded).select(*_CELL, cut("_n", "_m").alias("_ln"), cut("_m", "_n").alias("_rn"))
+        dealt = F.broadcast(dealt) if n_crowded <= CROWDED else dealt
+
+    def deal(df: DataFrame, mine: str, theirs: str) -> DataFrame:
+        if not n_crowded:
+            return df.repartition(tasks, *_CELL)
+        piece, n = F.pmod(F.xxhash64(*df.columns), F.coalesce(f"{mine}n", F.lit(1))), F.coalesce(f"{theirs}n", F.lit(1))
+        copies = df.join(dealt, _CELL, "left").withColumns({mine: piece, theirs: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))})
+        return copies.select(*df.columns, "_l", "_r").repartition(tasks, *_CELL, "_l", "_r")
+
+    key = [*_CELL, "_l", "_r"] if n_crowded else _CELL
+    return deal(left, "_l", "_r").join(deal(right, "_r", "_l").hint("merge"), key).drop("_l", "_r")
+
+
 def points_in_boxes(boxes: DataFrame, points: DataFrame) -> DataFrame:
     """Range join of rows with a box with points (lon, lat).
 
@@ -183,8 +222,8 @@ def points_in_boxes(boxes: DataFrame, points: DataFrame) -> DataFrame:
     """
     levels = F.array(*map(F.lit, _levels(boxes, "box"))).cast("array<int>")
     placed = with_level_cell(points.withColumn("level", F.explode(levels)), F.col("lon"), F.col("lat"))
-    joined = cover(boxes.withColumn("level", level_of(F.col("box")))).join(placed, ["level", "cx", "cy"])
-    return joined.filter(geo.contains(F.col("box"), F.col("lon"), F.col("lat"))).drop("level", "cx", "cy")
+    joined = _compared(cover(boxes.withColumn("level", level_of(F.col("box")))), placed)
+    return joined.filter(geo.contains(F.col("box"), F.col("lon"), F.col("lat"))).drop(*_CELL)
 
 
 def boxes_meet(a: DataFrame, b: DataFrame, box: str = "box", other: str = "other") -> DataFrame:
@@ -201,11 +240,11 @@ def boxes_meet(a: DataFrame, b: DataFrame, box: str = "box", other: str = "other
         return cover(own.withColumn("level", F.explode(F.array_union(F.array(F.col(mine)), coarser))), name)
 
     left, right = placed(a, box, _levels(b, other), "_own"), placed(b, other, _levels(a, box), "_their")
-    met = left.join(right, ["level", "cx", "cy"]).filter(F.col("level") == F.least("_own", "_their"))
+    met = _compared(left.withColumn("_side", _side(F.col("level"))), right).filter(F.col("level") == F.least("_own", "_their"))
     met = met.filter(geo.intersects(F.col(box), F.col(other)))
-    side, corner = _side(F.col("level")), lambda x: F.greatest(F.col(f"{box}.{x}"), F.col(f"{other}.{x}"))
-    first = (F.floor(corner("west") / side).cast("int") == F.col("cx")) & (F.floor(corner("south") / side).cast("int") == F.col("cy"))
-    return met.filter(first).drop("level", "cx", "cy", "_own", "_their")
+    corner = lambda x: F.greatest(F.col(f"{box}.{x}"), F.col(f"{other}.{x}"))
+    first = (F.floor(corner("west") / F.col("_side")).cast("int") == F.col("cx")) & (F.floor(corner("south") / F.col("_side")).cast("int") == F.col("cy"))
+    return met.filter(first).drop(*_CELL, "_own", "_their", "_side")
 
 
 #: Level of the zones by which a table of places is laid out (1.4 degrees), and of the order in them.

@@ -472,6 +472,26 @@ def test_boxes_of_any_size_meet_once(spark):
     assert sorted(map(tuple, met.select("a", "p").collect())) == sorted((i, k) for i, q in a for k, x, y in points if q[0] <= x <= q[2] and q[1] <= y <= q[3])
 
 
+def test_crowded_cells_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(terrain, "PIECE", 400, raising=False)
+    monkeypatch.setattr(terrain, "TASK", 2000, raising=False)
+    rng = random.Random(7)
+    (a, sa), (b, sb) = random_boxes(rng, 150, "a"), random_boxes(rng, 150, "b")
+    # villages of one cell, all of which meet, and copies of a box
+    a += [(1000 + k, (75.0, 35.0, 75.3, 35.3) if k % 2 else (75.0 + k / 1e4, 35.0, 75.3, 35.3)) for k in range(150)]
+    b += [(1000 + k, (75.1, 35.1, 75.4, 35.4 + k / 1e4)) for k in range(150)]
+    met = terrain.boxes_meet(spark.createDataFrame(a, sa), spark.createDataFrame(b, sb)).select("a", "b")
+    want = sorted((i, k) for i, p in a for k, q in b if p[0] <= q[2] and q[0] <= p[2] and p[1] <= q[3] and q[1] <= p[3])
+    assert sorted(map(tuple, met.collect())) == want and len(want) > 150 * 150
+    per_task = met.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert per_task < 6000
+    points = [(k, 75.2 + k / 1e5, 35.2) for k in range(300)] + [(1000 + k, rng.uniform(60, 90), rng.uniform(60, 90)) for k in range(100)]
+    met = terrain.points_in_boxes(spark.createDataFrame(a, sa), spark.createDataFrame(points, "p long, lon double, lat double")).select("a", "p")
+    want = sorted((i, k) for i, q in a for k, x, y in points if q[0] <= x <= q[2] and q[1] <= y <= q[3])
+    assert sorted(map(tuple, met.collect())) == want and len(want) > 150 * 300
+    assert met.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 9000
+
+
 def copies(spark, into, times):
     """The tables of places, so many times with other keys: places and widths of boxes repeat."""
     for name, key in (("customer", "c_custkey"), ("supplier", "s_suppkey"), ("embeddings", "vec_id")):
